@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Executors get the tree functions with the task, whether or not this package is installed there.
@@ -25,7 +25,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES = 100
 SAMPLE = 256
-POOL_SAMPLES = 64
 SEED = 42
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
 
@@ -113,38 +112,35 @@ class IsolationForest:
     threshold: float = 0.6
 
     def draw(self, df: DataFrame, row_id: Sequence[str]) -> DataFrame:
-        """``tree`` plus features: each tree's own sample without replacement.
+        """``tree`` plus features: about ``sample`` rows per tree, none twice in a tree.
 
-        The rows with the smallest hashes form a pool of ``POOL_SAMPLES * sample`` rows, and each
-        tree takes its rows from the pool by a second hash. The row count gives a hash bound that
-        about four pools of rows pass, so the top-k never merges a pool from every input split.
+        The ``trees * sample`` rows with the smallest hashes are dealt out to the trees; a table
+        with fewer rows is dealt out several times, each time shifted by one tree. The row count
+        gives a hash bound that about four times the wanted rows pass, so the top-k never merges
+        candidates from every input split.
         """
-        size = POOL_SAMPLES * self.sample
-        share = min(1.0, 4.0 * size / max(df.count(), 1))
-        bound = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+        wanted = self.trees * self.sample
+        rows = df.count()
+        bound = min(int(-(2**63) + min(1.0, 4.0 * wanted / max(rows, 1)) * 2**64), 2**63 - 1)
+        deals = min(self.trees, -(-wanted // max(rows, 1)))
         inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features]
         ids = [F.col(c) for c in row_id]
-        pool = (
+        chosen = (
             df.select(*inputs, F.xxhash64(*ids, F.lit(self.seed)).alias("_hash"))
             .where(F.col("_hash") <= bound)
             .orderBy("_hash")
-            .limit(size)
-        )
-        per_tree = pool.withColumn(
-            "tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
-        )
-        pick = Window.partitionBy("tree").orderBy(F.xxhash64("_hash", "tree"), "_hash")
-        return (
-            per_tree.withColumn("_pick", F.row_number().over(pick))
-            .where(F.col("_pick") <= self.sample)
-            .select("tree", *self.features)
+            .limit(wanted)
         )
+        deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))
+        first = F.pmod(F.xxhash64("_hash"), F.lit(self.trees))
+        tree = F.pmod(first + F.col("_deal"), F.lit(self.trees)).cast("int")
+        return chosen.withColumn("_deal", deal).select(tree.alias("tree"), *self.features)
 
     def fit(self, df: DataFrame, row_id: Sequence[str]) -> IsolationForestModel:
         features, seed = list(self.features), self.seed
         limit = int(np.ceil(np.log2(max(self.sample, 2))))
 
-        def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def grow(key, rows):
             points = rows.sort_values(features)[features].to_numpy(dtype="float64")
             return grow_tree(int(key[0]), points, limit, seed).assign(
                 size=len(points)
@@ -158,6 +154,6 @@ class IsolationForest:
         )
         if grown.empty:
             raise ValueError("the training table has no rows")
-        size = int(grown["size"].max())
+        size = int(round(grown.groupby("tree")["size"].first().mean()))
         return IsolationForestModel(self.features, grown.drop(columns="size"), size,
                                     self.threshold)

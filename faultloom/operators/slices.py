@@ -9,6 +9,9 @@ instead of joining keeps every operator at one shuffle of the data on ``(key, sl
 Results do not depend on where the cuts fall: slices are a monotone function of the sort key and
 rows with equal sort keys share a slice. Cuts come from exact minima, maxima and counts, so a
 recomputed task sees the same slices.
+
+A table that the optimizer estimates to be no larger than one slice is left whole, which keeps the
+plan of a small table at a single window.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import types as T
 ROWS_PER_SLICE = 2_000_000
 SLICES = ["_slice_1", "_slice_2"]
 _SPLIT = "_split"
+# A row of key and sort column takes at least this much; smaller tables need no cuts.
+_ROW_BYTES = 16
 # Cutting finer than needed lets the second level zoom into a burst or a dense value range.
 _OVERSPLIT = 8
 
@@ -43,6 +48,16 @@ def order_position(df: DataFrame, column: str) -> Column:
     return c
 
 
+def fits_one_slice(df: DataFrame, rows_per_slice: int) -> bool:
+    """Whether the size estimate of the plan (file sizes, no job) is below one slice of rows.
+
+    The estimate only chooses between two plans with the same result. An input of unknown size,
+    such as local rows, counts as large.
+    """
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) <= rows_per_slice * _ROW_BYTES
+
+
 def add_slices(
     df: DataFrame,
     keys: Sequence[str],
@@ -116,9 +131,13 @@ def lookback_series(
     Only the last ``depth`` rows of each slice of a split key are ranked and copied. That boundary
     table is ``depth`` rows per slice, so one task can walk the boundaries of one key.
     """
-    sliced = add_slices(df, keys, order_position(df, order[0]), rows_per_slice)
     place = [*keys, *SLICES]
     ascending = [F.col(c).asc() for c in order]
+    window = Window.partitionBy(*place).orderBy(*ascending)
+    if fits_one_slice(df, rows_per_slice):
+        whole = {s: F.lit(0).cast("bigint") for s in SLICES}
+        return Series(df.withColumns({**whole, "_carried": F.lit(False)}), window)
+    sliced = add_slices(df, keys, order_position(df, order[0]), rows_per_slice)
 
     from_end = Window.partitionBy(*place).orderBy(*[F.col(c).desc() for c in order])
     tails = (
@@ -141,7 +160,7 @@ def lookback_series(
         .select("_row.*", *SLICES, F.lit(True).alias("_carried"))
     )
     rows = sliced.drop(_SPLIT).withColumn("_carried", F.lit(False)).unionByName(carried)
-    return Series(rows, Window.partitionBy(*place).orderBy(*ascending))
+    return Series(rows, window)
 
 
 def running_totals(
@@ -159,12 +178,21 @@ def running_totals(
     Slice sums are combined map-side; the sums of all earlier slices then enter each slice as one
     leading row, so no ordered window ever spans a whole key.
     """
+    along_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    if fits_one_slice(df, rows_per_slice):
+        walk = along_key.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        added = {}
+        for m, c in measures.items():
+            added[f"{m}_upto"] = F.sum(c).over(walk)
+            added[f"{m}_total"] = F.sum(c).over(along_key)
+        return df.withColumns(added)
     if position is None:
         position = order_position(df, order[0])
     sliced = add_slices(df.withColumns({f"_m_{m}": c for m, c in measures.items()}),
                         keys, position, rows_per_slice).drop(_SPLIT)
     place = [*keys, *SLICES]
-    along_key = Window.partitionBy(*(keys or [F.lit(0)]))
     earlier = along_key.orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     leading = (
         sliced.groupBy(*place)

@@ -37,8 +37,18 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(out, key=repr)
 
 
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(spark_df, con, sql):
     """(equal, message)."""
+    got_types = {c: KINDS.get(t, t) for c, t in spark_df.dtypes}
+    want_types = {c: str(t) for c, t, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if got_types != want_types:
+        return False, f"types {set(got_types.items()) ^ set(want_types.items())}"
     got_columns, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cursor = con.execute(sql)
     want_columns, want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
