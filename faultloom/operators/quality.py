@@ -132,6 +132,9 @@ def validate(
 
 
 def kpi_ids(df: DataFrame, column: str = "kpi_id") -> DataFrame:
+    """Distinct KPI IDs; none for a table without the column."""
+    if column not in df.columns:
+        return df.sparkSession.range(0).select(F.col("id").cast("string").alias("kpi_id"))
     name = f"`{column}`"
     return df.where(F.col(name).isNotNull()).select(F.col(name).alias("kpi_id")).distinct()
 

@@ -6,8 +6,8 @@ and carry over the little state a slice needs from its predecessors as extra *ro
 the last few rows (``lookback_series``) or the sums so far (``running_totals``). Carrying rows
 instead of joining keeps every operator at one shuffle of the data on ``(key, slice)``.
 
-Results do not depend on where the cuts fall: slices are a monotone function of the sort key and
-rows with equal sort keys share a slice. Cuts come from exact minima, maxima and counts, so a
+Results do not depend on where the cuts fall: slices are a monotone function of the sort order.
+Cuts come from exact minima, maxima and counts, so a
 recomputed task sees the same slices.
 
 A table that the optimizer estimates to be no larger than one slice is left whole, which keeps the
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 2_000_000
-SLICES = ["_slice_1", "_slice_2"]
+SLICES = ["_slice_1", "_slice_2", "_slice_3"]
 _SPLIT = "_split"
 # A row of key and sort column takes at least this much; smaller tables need no cuts.
 _ROW_BYTES = 16
-# Cutting finer than needed lets the second level zoom into a burst or a dense value range.
+# Cutting finer than needed lets two levels zoom into a burst or a dense value range. Empty slices
+# cost nothing, and a long key has so many rows that this many slices are still large.
 _OVERSPLIT = 8
+_MIN_PARTS = 1024
 
 
 def order_position(df: DataFrame, column: str) -> Column:
@@ -58,31 +60,52 @@ def fits_one_slice(df: DataFrame, rows_per_slice: int) -> bool:
     return int(str(stats.sizeInBytes())) <= rows_per_slice * _ROW_BYTES
 
 
+def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Sort column and, if it has numbers or times, the first tie-break."""
+    sortable = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    return [
+        order_position(df, c)
+        for c in order[:2]
+        if isinstance(df.schema[c].dataType, sortable)
+    ]
+
+
 def add_slices(
     df: DataFrame,
     keys: Sequence[str],
-    position: Column,
+    positions: Sequence[Column],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Adds the slice columns. Keys of up to ``rows_per_slice`` rows stay in one slice; longer
-    ones are cut into equal widths of ``position``, and slices that are still too long once more.
+    ones are cut into equal widths of the first position, and slices that are still too long are
+    cut once more. A slice that is too long because all its rows share one position is cut along
+    the second position, the tie-break.
 
     The table of cuts has one row per key (then per slice) longer than ``rows_per_slice``, so it
     has at most ``rows(df) / rows_per_slice`` rows whatever the number of keys: the broadcast is
     bounded by the parameter.
     """
-    out = df.withColumn("_position", position.cast("double"))
+    out = df.withColumns({f"_position_{i}": p.cast("double") for i, p in enumerate(positions)})
     path = list(keys)
     for level, name in enumerate(SLICES):
+        along = "_position_1" if level == 2 else "_position_0"
+        if along not in out.columns:
+            out = out.withColumn(name, F.lit(0).cast("bigint"))
+            continue
+        long = F.count(F.lit(1)) > rows_per_slice
+        if level == 2:
+            long = long & (F.min("_position_0") == F.max("_position_0"))
         cuts = (
             out.groupBy(*path)
             .agg(
-                F.min("_position").alias("_lo"),
-                F.max("_position").alias("_hi"),
-                F.count(F.lit(1)).alias("_rows"),
+                F.min(along).alias("_lo"),
+                F.max(along).alias("_hi"),
+                F.greatest(
+                    F.ceil(F.count(F.lit(1)) / rows_per_slice) * _OVERSPLIT, F.lit(_MIN_PARTS)
+                ).alias("_parts"),
+                long.alias("_long"),
             )
-            .where((F.col("_rows") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
-            .withColumn("_parts", F.ceil(F.col("_rows") / rows_per_slice) * _OVERSPLIT)
+            .where(F.col("_long") & (F.col("_hi") > F.col("_lo")))
         )
         if path:
             cuts = cuts.select(
@@ -98,13 +121,13 @@ def add_slices(
                 {c: F.col(f"_cut.{c}") for c in ("_lo", "_hi", "_parts")}
             )
         lo, hi, parts = F.col("_lo"), F.col("_hi"), F.col("_parts")
-        index = F.floor((F.col("_position") - lo) / (hi - lo) * parts)
+        index = F.floor((F.col(along) - lo) / (hi - lo) * parts)
         out = out.withColumn(name, F.coalesce(F.least(index, parts - 1), F.lit(0).cast("bigint")))
-        if level == 0:
-            out = out.withColumn(_SPLIT, lo.isNotNull())
+        here = lo.isNotNull()
+        out = out.withColumn(_SPLIT, here if level == 0 else F.col(_SPLIT) | here)
         out = out.drop("_lo", "_hi", "_parts", "_cut", *[f"_at_{i}" for i in range(len(path))])
         path.append(name)
-    return out.drop("_position")
+    return out.drop("_position_0", "_position_1")
 
 
 class Series(NamedTuple):
@@ -137,7 +160,7 @@ def lookback_series(
     if fits_one_slice(df, rows_per_slice):
         whole = {s: F.lit(0).cast("bigint") for s in SLICES}
         return Series(df.withColumns({**whole, "_carried": F.lit(False)}), window)
-    sliced = add_slices(df, keys, order_position(df, order[0]), rows_per_slice)
+    sliced = add_slices(df, keys, _positions(df, order), rows_per_slice)
 
     from_end = Window.partitionBy(*place).orderBy(*[F.col(c).desc() for c in order])
     tails = (
@@ -170,7 +193,6 @@ def running_totals(
     measures: Mapping[str, Column],
     position: Column | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
-    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Adds, for each measure ``m``, its sum up to and including the row (``m_upto``) and over
     the whole key (``m_total``). ``order`` must be unique within the key.
@@ -188,10 +210,9 @@ def running_totals(
             added[f"{m}_upto"] = F.sum(c).over(walk)
             added[f"{m}_total"] = F.sum(c).over(along_key)
         return df.withColumns(added)
-    if position is None:
-        position = order_position(df, order[0])
-    sliced = add_slices(df.withColumns({f"_m_{m}": c for m, c in measures.items()}),
-                        keys, position, rows_per_slice).drop(_SPLIT)
+    positions = _positions(df, order) if position is None else [position]
+    measured = df.withColumns({f"_m_{m}": c for m, c in measures.items()})
+    sliced = add_slices(measured, keys, positions, rows_per_slice).drop(_SPLIT)
     place = [*keys, *SLICES]
     earlier = along_key.orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     leading = (

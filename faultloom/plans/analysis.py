@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributions, profile, quality
-from ..sources import load_both, to_series, typed, write_json_object, write_report
+from ..sources import load_both, to_series, write_json_object, write_report
 
 log = logging.getLogger("faultloom")
 
@@ -152,6 +153,20 @@ def save_all_reports(train: DataFrame, test: DataFrame, directory: str) -> None:
     )
 
 
+def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes a table as Parquet and reads it back, so that later passes scan only the columns
+    they need instead of parsing text again, and a lost executor costs a re-read."""
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def staging_folder(spark: SparkSession, report_dir: str) -> str:
+    """The shared folder the cluster names for checkpoints, else one next to the reports."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/kpi_series" if shared else f"{report_dir.rstrip('/')}/_series"
+
+
 def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
     """Runs the whole analysis. The validation report is written even when validation fails; the
     profile and chart tables only follow when both tables are valid."""
@@ -172,8 +187,9 @@ def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
     if not (train_result.is_valid and test_result.is_valid):
         return False
 
-    train = to_series(typed(loaded.train_df))
-    test = to_series(typed(loaded.test_df))
+    folder = f"{staging_folder(spark, base)}/{uuid.uuid4().hex}"
+    train = stage(to_series(loaded.train_df), folder, "train")
+    test = stage(to_series(loaded.test_df), folder, "test")
     save_all_reports(train, test, base)
     for name, frame in distributions.all_distributions(train, test).items():
         write_report(frame, f"{base}/plots", name)
