@@ -32,10 +32,10 @@ def explode_traces(traces: DataFrame) -> DataFrame:
 def log_positions(
     events: DataFrame, order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """Adds ``position``, the place of each event in its block, counted from 1."""
+    """Adds (or renumbers) ``position``, the place of each event in its block, counted from 1."""
     one = {"_n": F.lit(1).cast("bigint")}
     placed = running_totals(events, [BLOCK], order, one, rows_per_slice=rows_per_slice)
-    return placed.withColumnRenamed("_n_upto", "position").drop("_n_total")
+    return placed.withColumn("position", F.col("_n_upto")).drop("_n_upto", "_n_total")
 
 
 def log_sequences(
