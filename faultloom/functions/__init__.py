@@ -3,6 +3,7 @@ from .columns import (
     band,
     class_imbalance,
     classify,
+    epoch_micros,
     fuse,
     is_fault,
     label_name,
@@ -17,6 +18,7 @@ __all__ = [
     "band",
     "class_imbalance",
     "classify",
+    "epoch_micros",
     "fuse",
     "is_fault",
     "label_name",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NORMAL = "Normal"
 ANOMALY = "Anomaly"
@@ -27,6 +28,18 @@ DEFAULT_IMBALANCE: tuple[tuple[float, str], ...] = (
 )
 
 
+def epoch_micros(column: str, kind: T.DataType) -> Column:
+    """Microseconds since the epoch of a timestamp column. A timestamp without time zone counts
+    as it reads, whatever the session time zone."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(
+            f"unix_date(CAST(`{column}` AS DATE)) * 86400000000L + hour(`{column}`) * 3600000000L"
+            f" + minute(`{column}`) * 60000000L"
+            f" + CAST(extract(SECOND FROM `{column}`) * 1000000 AS BIGINT)"
+        )
+    return F.unix_micros(column)
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 

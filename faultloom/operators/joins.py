@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import estimated_bytes
+
 SALTS = 32
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def attach(
@@ -18,13 +21,14 @@ def attach(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Joins ``summary`` (one row per key) to ``rows``, spreading each key over ``salts`` tasks by
-    a hash of the ``spread`` columns.
+    """Joins ``summary`` (one row per key) to ``rows``.
 
-    There is no broadcast hint, because the number of keys is not bounded: the adaptive planner
-    switches to a broadcast join only when the measured summary is below its threshold, and
-    otherwise the salted shuffle (plus adaptive skew splitting) keeps a hot key apart.
+    A summary estimated below ``BROADCAST_BYTES`` is broadcast. A larger one, or one of unknown
+    size, is copied ``salts`` times and shuffled with the rows, each key spread over ``salts``
+    tasks by a hash of the ``spread`` columns; adaptive execution may still find it small.
     """
+    if estimated_bytes(summary) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(summary), list(keys), how)
     salted = rows.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
     )

@@ -11,9 +11,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import class_imbalance, label_name, percentage
+from ..functions import class_imbalance, epoch_micros, label_name, percentage
 from .quantiles import exact_quantiles, value_counts
 from .slices import ROWS_PER_SLICE
 
@@ -25,17 +24,10 @@ def _labelled(df: DataFrame) -> bool:
     return "label" in df.columns
 
 
-def _epoch_seconds(c: Column, df: DataFrame) -> Column:
-    """Seconds since the epoch of an aggregated timestamp, without a time-zone shift."""
-    if isinstance(df.schema["event_time"].dataType, T.TimestampNTZType):
-        days = F.unix_date(c.cast("date")).cast("double") * 86400
-        clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
-        return days + clock
-    return F.unix_micros(c) / F.lit(1e6)
-
-
-def span_seconds(df: DataFrame, first: Column, last: Column) -> Column:
-    return _epoch_seconds(last, df) - _epoch_seconds(first, df)
+def span_seconds(df: DataFrame, first: str, last: str) -> Column:
+    """Seconds between two columns that hold aggregated ``event_time`` values of ``df``."""
+    kind = df.schema["event_time"].dataType
+    return (epoch_micros(last, kind) - epoch_micros(first, kind)) / F.lit(1e6)
 
 
 def kpi_records(df: DataFrame) -> DataFrame:
@@ -128,7 +120,7 @@ def dataset_summary(train: DataFrame, test: DataFrame | None = None) -> DataFram
     figures NULL for an unlabelled table."""
 
     def long(df: DataFrame) -> DataFrame:
-        seconds = {c: _epoch_seconds(F.col(c), df) for c in ("min_timestamp", "max_timestamp")}
+        kind = df.schema["event_time"].dataType
         wide = summary_record(df).select(
             F.col("total_records").alias("rows"),
             F.col("total_columns").alias("columns"),
@@ -136,9 +128,9 @@ def dataset_summary(train: DataFrame, test: DataFrame | None = None) -> DataFram
             F.col("anomaly_count").alias("anomalies"),
             F.col("normal_count").alias("normal_records"),
             F.round("anomaly_percentage", 6).alias("anomaly_percentage"),
-            seconds["min_timestamp"].alias("min_timestamp"),
-            seconds["max_timestamp"].alias("max_timestamp"),
-            span_seconds(df, F.col("min_timestamp"), F.col("max_timestamp")).alias("span_seconds"),
+            (epoch_micros("min_timestamp", kind) / 1e6).alias("min_timestamp"),
+            (epoch_micros("max_timestamp", kind) / 1e6).alias("max_timestamp"),
+            span_seconds(df, "min_timestamp", "max_timestamp").alias("span_seconds"),
             F.col("unique_timestamps"),
         )
         wide = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
@@ -159,7 +151,7 @@ def timestamp_analysis(train: DataFrame, test: DataFrame | None = None) -> DataF
             F.max("event_time").alias("last_ts"),
             F.count(F.lit(1)).alias("unique_timestamps"),
         )
-        span = span_seconds(df, F.col("first_ts"), F.col("last_ts"))
+        span = span_seconds(df, "first_ts", "last_ts")
         return spread.select(
             F.lit(name).alias("dataset"),
             "first_ts",

@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import epoch_micros
+from .sizes import estimated_bytes
+
 ROWS_PER_SLICE = 2_000_000
 SLICES = ["_slice_1", "_slice_2", "_slice_3"]
 _SPLIT = "_split"
@@ -36,28 +39,17 @@ _MIN_PARTS = 1024
 
 def order_position(df: DataFrame, column: str) -> Column:
     """``column`` as a number with the same order, independent of the session time zone."""
-    c = F.col(column)
     kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(kind, T.TimestampNTZType):
-        seconds = (
-            F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
-        )
-        return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(column, kind)
     if isinstance(kind, T.DateType):
-        return F.unix_date(c)
-    return c
+        return F.unix_date(column)
+    return F.col(column)
 
 
 def fits_one_slice(df: DataFrame, rows_per_slice: int) -> bool:
-    """Whether the size estimate of the plan (file sizes, no job) is below one slice of rows.
-
-    The estimate only chooses between two plans with the same result. An input of unknown size,
-    such as local rows, counts as large.
-    """
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= rows_per_slice * _ROW_BYTES
+    """Whether the estimated table is below one slice of rows, so that cutting it is no use."""
+    return estimated_bytes(df) <= rows_per_slice * _ROW_BYTES
 
 
 def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:

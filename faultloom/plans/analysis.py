@@ -75,7 +75,7 @@ def summary_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame
 
 def _summary(df: DataFrame) -> DataFrame:
     record = profile.summary_record(df)
-    seconds = profile.span_seconds(df, F.col("min_timestamp"), F.col("max_timestamp"))
+    seconds = profile.span_seconds(df, "min_timestamp", "max_timestamp")
     return record.withColumn("span_seconds", seconds)
 
 

@@ -29,8 +29,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
-def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return views.kpi_train(spark, d), views.kpi_test(spark, d)
+_both = views.kpi_sets
 
 
 def _file_form(df: DataFrame) -> DataFrame:

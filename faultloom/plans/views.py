@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLIT_TIME = "2024-01-16 00:00:00"
@@ -13,10 +13,6 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def _split_time() -> Column:
-    return F.to_timestamp_ntz(F.lit(SPLIT_TIME))
-
-
 def kpi(spark: SparkSession, directory: str) -> DataFrame:
     """Events as 26 labelled KPI series."""
     number = F.lpad((F.col("user_id") % 26).cast("string"), 2, "0")
@@ -30,14 +26,22 @@ def kpi(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def kpi_sets(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows before the split time, unlabelled rows after it."""
+    rows = kpi(spark, directory).drop("event_type")
+    split = F.to_timestamp_ntz(F.lit(SPLIT_TIME))
+    return (
+        rows.where(F.col("event_time") < split),
+        rows.where(F.col("event_time") >= split).drop("label"),
+    )
+
+
 def kpi_train(spark: SparkSession, directory: str) -> DataFrame:
-    rows = kpi(spark, directory).where(F.col("event_time") < _split_time())
-    return rows.select("event_id", "kpi_id", "event_time", "value", "label")
+    return kpi_sets(spark, directory)[0]
 
 
 def kpi_test(spark: SparkSession, directory: str) -> DataFrame:
-    rows = kpi(spark, directory).where(F.col("event_time") >= _split_time())
-    return rows.select("event_id", "kpi_id", "event_time", "value")
+    return kpi_sets(spark, directory)[1]
 
 
 def scores(spark: SparkSession, directory: str) -> DataFrame:
