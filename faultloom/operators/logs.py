@@ -165,7 +165,9 @@ def next_event_misses(
         F.count(F.lit(1)).alias("n")
     )
     known = expected.withColumn("_known", F.lit(True))
-    checked = attach(per_block, known, ["history", "next_event"], [BLOCK], how="left")
+    checked = attach(
+        per_block, known, ["history", "next_event"], [BLOCK], how="left", count_keys=False
+    )
     missed = F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0))
     return checked.groupBy(BLOCK).agg(missed.alias("misses")).withColumn(
         "flagged", (F.col("misses") > tolerated).cast("int")

@@ -7,8 +7,7 @@ the last few rows (``lookback_series``) or the sums so far (``running_totals``).
 instead of joining keeps every operator at one shuffle of the data on ``(key, slice)``.
 
 Results do not depend on where the cuts fall: slices are a monotone function of the sort order.
-Cuts come from exact minima, maxima and counts, so a
-recomputed task sees the same slices.
+Cuts come from exact minima, maxima and counts, so a recomputed task sees the same slices.
 
 A table that the optimizer estimates to be no larger than one slice is left whole, which keeps the
 plan of a small table at a single window.
@@ -29,8 +28,8 @@ from .sizes import estimated_bytes
 ROWS_PER_SLICE = 2_000_000
 SLICES = ["_slice_1", "_slice_2", "_slice_3"]
 _SPLIT = "_split"
-# A row of key and sort column takes at least this much; smaller tables need no cuts.
-_ROW_BYTES = 16
+# A row of key and sort column takes about this much in a compressed file.
+_ROW_BYTES = 8
 # Cutting finer than needed lets two levels zoom into a burst or a dense value range. Empty slices
 # cost nothing, and a long key has so many rows that this many slices are still large.
 _OVERSPLIT = 8

@@ -53,6 +53,14 @@ def test_summary_record(train, test):
         3, None, None)
 
 
+def test_reports_of_training_only(train):
+    summary = analysis.summary_report(train).collect()
+    assert len(summary) == 10 and summary[0].asDict() == {
+        "Metric": "Number of Rows", "Training": "10"}
+    assert analysis.statistics_report(train).columns == ["Statistic", "Training"]
+    assert analysis.timestamp_report(train).columns == ["Metric", "Training"]
+
+
 def test_descriptive_statistics(train, test):
     rows = {r["statistic"]: (r["training"], r["testing"])
             for r in profile.descriptive_statistics(train, test).collect()}
