@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rolling import add_rolling
 from .slices import ROWS_PER_SLICE, SLICES, Series, lookback_series
 
 HISTORY = 10
@@ -27,18 +28,11 @@ def _with_range(
     series = lookback_series(
         df, ["kpi_id"], ["event_time", *ties], history + extra_depth, rows_per_slice
     )
-    recent = series.window.rowsBetween(-history, -1)
-    full = F.count("value").over(recent) == history
-    centre = F.avg("value").over(recent)
-    reach = F.lit(width) * F.stddev_samp("value").over(recent)
-    rows = series.rows.withColumns(
-        {"_full": full, "_centre": centre, "_reach": reach}
-    ).withColumns(
-        {
-            "lower": F.when(F.col("_full"), F.col("_centre") - F.col("_reach")),
-            "upper": F.when(F.col("_full"), F.col("_centre") + F.col("_reach")),
-        }
-    ).drop("_full", "_centre", "_reach")
+    rows = add_rolling(series.rows, series.window, "value", {"_recent": (1, history)})
+    reach = F.lit(width) * F.col("_recent_std")
+    rows = rows.withColumns(
+        {"lower": F.col("_recent_mean") - reach, "upper": F.col("_recent_mean") + reach}
+    ).drop("_recent_mean", "_recent_std")
     kind = F.when(F.col("value") > F.col("upper"), "spike").when(
         F.col("value") < F.col("lower"), "drop"
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rolling import add_rolling
 from .slices import ROWS_PER_SLICE, lookback_series
 
 LAGS = (1, 5, 10)
@@ -59,13 +60,14 @@ def add_series_features(
     """
     depth = max([*lags, *(n - 1 for n in windows)], default=0)
     series = lookback_series(df, ["kpi_id"], ["event_time", *ties], depth, rows_per_slice)
-    added = {f"lag_{n}": F.lag("value", n).over(series.window) for n in lags}
-    for n in windows:
-        frame = series.window.rowsBetween(-(n - 1), Window.currentRow)
-        full = F.count("value").over(frame) == n
-        added[f"rolling_mean_{n}"] = F.when(full, F.avg("value").over(frame))
-        added[f"rolling_std_{n}"] = F.when(full, F.stddev_samp("value").over(frame))
-    return series.finish(series.rows.withColumns(added))
+    rows = add_rolling(
+        series.rows.withColumns({f"lag_{n}": F.lag("value", n).over(series.window) for n in lags}),
+        series.window,
+        "value",
+        {f"_{n}": (0, n - 1) for n in windows},
+    )
+    named = {f"_{n}_{f}": f"rolling_{f}_{n}" for n in windows for f in ("mean", "std")}
+    return series.finish(rows.withColumnsRenamed(named))
 
 
 def kpi_features(

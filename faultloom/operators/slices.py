@@ -87,36 +87,38 @@ def add_slices(
         if level == 2:
             long = long & (F.min("_position_0") == F.max("_position_0"))
         cuts = (
-            out.groupBy(*path)
+            (out if level == 0 else out.where(_SPLIT))
+            .groupBy(*path)
             .agg(
                 F.min(along).alias("_lo"),
-                F.max(along).alias("_hi"),
+                F.nullif(F.max(along) - F.min(along), F.lit(0.0)).alias("_width"),
                 F.greatest(
                     F.ceil(F.count(F.lit(1)) / rows_per_slice) * _OVERSPLIT, F.lit(_MIN_PARTS)
                 ).alias("_parts"),
                 long.alias("_long"),
             )
-            .where(F.col("_long") & (F.col("_hi") > F.col("_lo")))
+            .where("_long")
         )
         if path:
             cuts = cuts.select(
-                *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)], "_lo", "_hi", "_parts"
+                *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)],
+                "_lo", "_width", "_parts",
             )
             match = F.lit(True)
             for i, k in enumerate(path):
                 match = match & F.col(k).eqNullSafe(F.col(f"_at_{i}"))
             out = out.join(F.broadcast(cuts), match, "left")
         else:
-            cut = cuts.select(F.struct("_lo", "_hi", "_parts")).scalar()
+            cut = cuts.select(F.struct("_lo", "_width", "_parts")).scalar()
             out = out.withColumn("_cut", cut).withColumns(
-                {c: F.col(f"_cut.{c}") for c in ("_lo", "_hi", "_parts")}
+                {c: F.col(f"_cut.{c}") for c in ("_lo", "_width", "_parts")}
             )
-        lo, hi, parts = F.col("_lo"), F.col("_hi"), F.col("_parts")
-        index = F.floor((F.col(along) - lo) / (hi - lo) * parts)
+        parts = F.col("_parts")
+        index = F.floor((F.col(along) - F.col("_lo")) / F.col("_width") * parts)
         out = out.withColumn(name, F.coalesce(F.least(index, parts - 1), F.lit(0).cast("bigint")))
-        here = lo.isNotNull()
-        out = out.withColumn(_SPLIT, here if level == 0 else F.col(_SPLIT) | here)
-        out = out.drop("_lo", "_hi", "_parts", "_cut", *[f"_at_{i}" for i in range(len(path))])
+        if level == 0:
+            out = out.withColumn(_SPLIT, parts.isNotNull())
+        out = out.drop("_lo", "_width", "_parts", "_cut", *[f"_at_{i}" for i in range(len(path))])
         path.append(name)
     return out.drop("_position_0", "_position_1")
 

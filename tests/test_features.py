@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.operators import detect, features
+from faultloom.operators import detect, features, rolling
 
 START = datetime.datetime(2024, 1, 1, 22)
 
@@ -34,6 +34,17 @@ def test_features_match_pandas(spark):
     assert got["day_of_week"].tolist() == times.dt.dayofweek.tolist()
 
 
+@pytest.mark.parametrize("unrolled", [0, 16])
+def test_long_frames_match_short_ones(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(rolling, "LONGEST_UNROLLED", unrolled)
+    values = [1.0, 2.5, None, 4.0, 8.0, 16.0, 3.0, 5.5, 7.0, 9.0]
+    got = features.add_series_features(series(spark, values), lags=(), windows=(3,))
+    got = got.orderBy("event_time").toPandas()
+    want = pd.Series(values, dtype="float64").rolling(3)
+    np.testing.assert_allclose(got["rolling_mean_3"], want.mean())
+    np.testing.assert_allclose(got["rolling_std_3"], want.std())
+
+
 def test_short_series_has_no_rolling_values(spark):
     row = features.kpi_features(series(spark, [1, 2, 3])).agg(
         F.count("rolling_mean_5").alias("n"), F.count("lag_1").alias("l")).first()
