@@ -1,7 +1,8 @@
 """Dataset profiles: per-KPI and dataset-level counts, timestamps and descriptive statistics.
 
-Dataset figures are rolled up from the per-KPI aggregate, so one map-side combined scan serves
-both; only the number of distinct timestamps and the quantiles need their own pass.
+Training and test rows are tagged and aggregated together, so a report over both tables takes one
+pass, and dataset figures are rolled up from the per-KPI aggregate of that pass; only the number of
+distinct timestamps and the quantiles need another one.
 All functions take the series form ``kpi_id, event_time, value[, label]``.
 """
 
@@ -20,8 +21,22 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 NO_LABELS = "N/A (No labels)"
 
 
-def _labelled(df: DataFrame) -> bool:
-    return "label" in df.columns
+TRAINING, TESTING = "Training", "Testing"
+
+
+def _tagged(train: DataFrame, test: DataFrame | None, *columns: str) -> DataFrame:
+    """Both tables in one, with ``dataset`` naming the table; absent columns are NULL."""
+    rows = None
+    for name, df in ((TRAINING, train), (TESTING, test)):
+        if df is not None:
+            kept = df.select(F.lit(name).alias("dataset"), *[c for c in columns if c in df.columns])
+            rows = kept if rows is None else rows.unionByName(kept, allowMissingColumns=True)
+    return rows
+
+
+def _labelled(train: DataFrame, test: DataFrame | None) -> list[str]:
+    tables = ((TRAINING, train), (TESTING, test))
+    return [name for name, df in tables if df is not None and "label" in df.columns]
 
 
 def span_seconds(df: DataFrame, first: str, last: str) -> Column:
@@ -30,65 +45,77 @@ def span_seconds(df: DataFrame, first: str, last: str) -> Column:
     return (epoch_micros(last, kind) - epoch_micros(first, kind)) / F.lit(1e6)
 
 
-def kpi_records(df: DataFrame) -> DataFrame:
-    """Rows, anomalies, normal rows, first and last time per KPI ID (a NULL ID is one group)."""
-    missing = F.lit(None).cast("bigint")
-    if _labelled(df):
-        anomalies, normals = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+def _record_figures(rows: DataFrame) -> list[Column]:
+    """Rows, anomalies, normal rows, first and last time; without labels their counts are NULL."""
+    if "label" in rows.columns:
+        label = F.col("label")
+        classes = [F.count_if(label == 1).alias("anomalies"), F.count_if(label == 0).alias("normals")]
     else:
-        anomalies, normals = F.max(missing), F.max(missing)
-    return df.groupBy("kpi_id").agg(
+        missing = F.max(F.lit(None).cast("bigint"))
+        classes = [missing.alias("anomalies"), missing.alias("normals")]
+    return [
         F.count(F.lit(1)).alias("records"),
-        anomalies.alias("anomalies"),
-        normals.alias("normals"),
+        *classes,
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
-    )
+    ]
+
+
+def kpi_records(df: DataFrame) -> DataFrame:
+    """Rows, anomalies, normal rows, first and last time per KPI ID (a NULL ID is one group)."""
+    return df.groupBy("kpi_id").agg(*_record_figures(df))
 
 
 def kpi_distribution(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row per KPI ID of either table, training and test figures side by side."""
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        per_kpi = kpi_records(df).where(F.col("kpi_id").isNotNull())
-        return per_kpi.select("kpi_id", *[
-            F.col(c).alias(f"{name}_{c}") for c in per_kpi.columns if c != "kpi_id"
-        ])
-
-    zero = F.lit(0).cast("bigint")
-    both = side(train, "train").join(side(test, "test"), "kpi_id", "full_outer")
-    return both.select(
-        "kpi_id",
-        F.coalesce("train_records", zero).alias("train_records"),
-        F.coalesce("train_anomalies", zero).alias("train_anomalies"),
-        F.round(percentage(F.col("train_anomalies"), F.col("train_records")), 2).alias(
-            "train_anomaly_pct"
-        ),
-        F.coalesce("test_records", zero).alias("test_records"),
-        F.col("train_first_time").alias("train_first"),
-        F.col("train_last_time").alias("train_last"),
-        F.col("test_first_time").alias("test_first"),
-        F.col("test_last_time").alias("test_last"),
-    ).orderBy("kpi_id")
+    rows = _tagged(train, test, "kpi_id", "event_time", "label").where(F.col("kpi_id").isNotNull())
+    in_train, in_test = F.col("dataset") == TRAINING, F.col("dataset") == TESTING
+    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("int")
+    train_time, test_time = (F.when(c, F.col("event_time")) for c in (in_train, in_test))
+    return (
+        rows.groupBy("kpi_id")
+        .agg(
+            F.count_if(in_train).alias("train_records"),
+            F.count_if(in_train & (label == 1)).alias("train_anomalies"),
+            F.count_if(in_test).alias("test_records"),
+            F.min(train_time).alias("train_first"),
+            F.max(train_time).alias("train_last"),
+            F.min(test_time).alias("test_first"),
+            F.max(test_time).alias("test_last"),
+        )
+        .withColumn(
+            "train_anomaly_pct",
+            F.round(percentage(F.col("train_anomalies"), F.col("train_records")), 2),
+        )
+        .orderBy("kpi_id")
+    )
 
 
-def summary_record(df: DataFrame) -> DataFrame:
-    """The dataset as one flat row."""
-    anomalies, records = F.sum("anomalies"), F.sum("records")
-    rolled = kpi_records(df).agg(
-        F.coalesce(records, F.lit(0).cast("bigint")).alias("total_records"),
-        F.lit(4 if _labelled(df) else 3).alias("total_columns"),
+def summary_records(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    """One flat row per dataset."""
+    rows = _tagged(train, test, "kpi_id", "event_time", "label")
+    labelled = F.col("dataset").isin(_labelled(train, test))
+    per_kpi = rows.groupBy("dataset", "kpi_id").agg(*_record_figures(rows))
+    rolled = per_kpi.groupBy("dataset").agg(
+        F.sum("records").alias("total_records"),
         F.count("kpi_id").alias("kpi_count"),
-        anomalies.alias("anomaly_count"),
+        F.sum("anomalies").alias("anomaly_count"),
         F.sum("normals").alias("normal_count"),
-        percentage(anomalies, records).alias("anomaly_percentage"),
         F.min("first_time").alias("min_timestamp"),
         F.max("last_time").alias("max_timestamp"),
     )
-    distinct_times = df.select("event_time").where(F.col("event_time").isNotNull()).distinct()
-    return rolled.select(
+    times = rows.where(F.col("event_time").isNotNull()).select("dataset", "event_time").distinct()
+    unique = times.groupBy("dataset").agg(F.count(F.lit(1)).alias("unique_timestamps"))
+    with_times = rolled.join(unique, "dataset", "left").withColumns(
+        {
+            "anomaly_count": F.when(labelled, F.col("anomaly_count")),
+            "normal_count": F.when(labelled, F.col("normal_count")),
+        }
+    ).withColumn("anomaly_percentage", percentage(F.col("anomaly_count"), F.col("total_records")))
+    return with_times.select(
+        "dataset",
         "total_records",
-        "total_columns",
+        F.when(labelled, 4).otherwise(3).alias("total_columns"),
         "kpi_count",
         "anomaly_count",
         "normal_count",
@@ -97,71 +124,59 @@ def summary_record(df: DataFrame) -> DataFrame:
         "min_timestamp",
         "max_timestamp",
         (F.col("max_timestamp") - F.col("min_timestamp")).alias("time_span"),
-        distinct_times.select(F.count(F.lit(1))).scalar().alias("unique_timestamps"),
+        F.coalesce("unique_timestamps", F.lit(0).cast("bigint")).alias("unique_timestamps"),
     )
 
 
-def side_by_side(
-    training: DataFrame, testing: DataFrame | None, name: str
-) -> DataFrame:
-    """Two ``(name, value)`` tables of a fixed handful of rows as ``name, training, testing``."""
-    rows = training.select(name, F.col("value").alias("training"), F.lit(None).alias("testing"))
-    if testing is not None:
-        rows = rows.unionByName(
-            testing.select(name, F.lit(None).alias("training"), F.col("value").alias("testing"))
-        )
-    return rows.groupBy(name).agg(
-        F.max("training").alias("training"), F.max("testing").alias("testing")
+def summary_record(df: DataFrame) -> DataFrame:
+    """The dataset as one flat row."""
+    return summary_records(df).drop("dataset")
+
+
+def side_by_side(long: DataFrame, name: str) -> DataFrame:
+    """``dataset, name, value`` rows of a few fixed names as ``name, training, testing``."""
+    value = F.col("value")
+    return long.groupBy(name).agg(
+        F.max(F.when(F.col("dataset") == TRAINING, value)).alias("training"),
+        F.max(F.when(F.col("dataset") == TESTING, value)).alias("testing"),
     )
 
 
 def dataset_summary(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """Dataset figures as numbers: ``metric, training, testing``; times in epoch seconds, label
     figures NULL for an unlabelled table."""
-
-    def long(df: DataFrame) -> DataFrame:
-        kind = df.schema["event_time"].dataType
-        wide = summary_record(df).select(
-            F.col("total_records").alias("rows"),
-            F.col("total_columns").alias("columns"),
-            F.col("kpi_count").alias("kpi_ids"),
-            F.col("anomaly_count").alias("anomalies"),
-            F.col("normal_count").alias("normal_records"),
-            F.round("anomaly_percentage", 6).alias("anomaly_percentage"),
-            (epoch_micros("min_timestamp", kind) / 1e6).alias("min_timestamp"),
-            (epoch_micros("max_timestamp", kind) / 1e6).alias("max_timestamp"),
-            span_seconds(df, "min_timestamp", "max_timestamp").alias("span_seconds"),
-            F.col("unique_timestamps"),
-        )
-        wide = wide.select(*[F.col(c).cast("double").alias(c) for c in wide.columns])
-        return wide.unpivot([], wide.columns, "metric", "value")
-
-    return side_by_side(long(train), None if test is None else long(test), "metric")
+    kind = train.schema["event_time"].dataType
+    wide = summary_records(train, test).select(
+        "dataset",
+        F.col("total_records").alias("rows"),
+        F.col("total_columns").alias("columns"),
+        F.col("kpi_count").alias("kpi_ids"),
+        F.col("anomaly_count").alias("anomalies"),
+        F.col("normal_count").alias("normal_records"),
+        F.round("anomaly_percentage", 6).alias("anomaly_percentage"),
+        (epoch_micros("min_timestamp", kind) / 1e6).alias("min_timestamp"),
+        (epoch_micros("max_timestamp", kind) / 1e6).alias("max_timestamp"),
+        span_seconds(train, "min_timestamp", "max_timestamp").alias("span_seconds"),
+        F.col("unique_timestamps"),
+    )
+    figures = [c for c in wide.columns if c != "dataset"]
+    wide = wide.withColumns({c: F.col(c).cast("double") for c in figures})
+    return side_by_side(wide.unpivot(["dataset"], figures, "metric", "value"), "metric")
 
 
 def timestamp_analysis(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     """First and last time, span and distinct times, one row per dataset."""
-
-    def one(df: DataFrame, name: str) -> DataFrame:
-        per_time = df.where(F.col("event_time").isNotNull()).groupBy("event_time").agg(
-            F.lit(1).alias("one")
-        )
-        spread = per_time.agg(
+    rows = _tagged(train, test, "event_time").where(F.col("event_time").isNotNull())
+    return (
+        rows.distinct()
+        .groupBy("dataset")
+        .agg(
             F.min("event_time").alias("first_ts"),
             F.max("event_time").alias("last_ts"),
             F.count(F.lit(1)).alias("unique_timestamps"),
         )
-        span = span_seconds(df, "first_ts", "last_ts")
-        return spread.select(
-            F.lit(name).alias("dataset"),
-            "first_ts",
-            "last_ts",
-            span.alias("span_seconds"),
-            "unique_timestamps",
-        )
-
-    rows = one(train, "Training")
-    return rows if test is None else rows.unionByName(one(test, "Testing"))
+        .withColumn("span_seconds", span_seconds(train, "first_ts", "last_ts"))
+    )
 
 
 # Statistic names of the report, in its (alphabetical) order.
@@ -178,9 +193,13 @@ STATISTICS: Mapping[str, str] = {
 }
 
 
-def value_statistics(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """``statistic, value`` rows of the KPI values."""
-    moments = df.agg(
+def descriptive_statistics(
+    train: DataFrame, test: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Count, extremes, mean, quartiles, IQR and sample deviation: ``statistic, training,
+    testing`` sorted by name."""
+    rows = _tagged(train, test, "value")
+    moments = rows.groupBy("dataset").agg(
         F.count("value").cast("double").alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -188,27 +207,15 @@ def value_statistics(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
         F.stddev_samp("value").alias("std"),
     )
     quartiles = exact_quantiles(
-        value_counts(df.select("value"), [], "value"), [], "value", QUARTILES, rows_per_slice
+        value_counts(rows, ["dataset"], "value"), ["dataset"], "value", QUARTILES, rows_per_slice
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    names = {column: name for name, column in STATISTICS.items()}
 
     def long(wide: DataFrame) -> DataFrame:
-        named = wide.select(*[F.col(c).alias(names[c]) for c in wide.columns])
-        return named.unpivot([], named.columns, "statistic", "value")
-
-    return long(moments).unionByName(long(quartiles))
-
+        named = wide.withColumnsRenamed({column: name for name, column in STATISTICS.items()})
+        figures = [c for c in named.columns if c != "dataset"]
+        return named.unpivot(["dataset"], figures, "statistic", "value")
 
-def descriptive_statistics(
-    train: DataFrame, test: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Count, extremes, mean, quartiles, IQR and sample deviation: ``statistic, training,
-    testing`` sorted by name."""
-    return side_by_side(
-        value_statistics(train, rows_per_slice),
-        None if test is None else value_statistics(test, rows_per_slice),
-        "statistic",
-    ).orderBy("statistic")
+    return side_by_side(long(moments).unionByName(long(quartiles)), "statistic").orderBy("statistic")
 
 
 def label_distribution(df: DataFrame) -> DataFrame:

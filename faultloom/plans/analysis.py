@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributions, profile, quality
-from ..sources import load_both, to_series, write_json_object, write_report
+from ..sources import load_both, to_series, write_json_object, write_report, write_table
 
 log = logging.getLogger("faultloom")
 
@@ -29,70 +29,53 @@ def _text_span(c: Column) -> Column:
     )
 
 
-def _metric_rows(train: DataFrame, test: DataFrame | None, describe) -> DataFrame:
-    """``Metric, Training, Testing`` of a fixed list of text metrics, in list order."""
-
-    def long(df: DataFrame) -> DataFrame:
-        pairs = [
-            F.struct(F.lit(i).alias("_at"), F.lit(m).alias("Metric"), c.alias("value"))
-            for i, (m, c) in enumerate(describe().items())
-        ]
-        return df.select(F.inline(F.array(*pairs)))
-
-    names = ["_at", "Metric"]
-    rows = long(train).select(*names, F.col("value").alias("Training"))
-    if test is None:
-        return rows.orderBy("_at").drop("_at")
-    other = long(test).select(*names, F.col("value").alias("Testing"))
-    return rows.join(other, names).orderBy("_at").select("Metric", "Training", "Testing")
+def _metric_rows(
+    records: DataFrame, metrics: dict[str, Column], both: bool
+) -> DataFrame:
+    """``Metric, Training[, Testing]`` of text metrics, in the order given, from one row per
+    dataset."""
+    pairs = [
+        F.struct(F.lit(i).alias("_at"), F.lit(m).alias("Metric"), c.alias("value"))
+        for i, (m, c) in enumerate(metrics.items())
+    ]
+    long = records.select("dataset", F.inline(F.array(*pairs)))
+    shown = [profile.TRAINING, profile.TESTING] if both else [profile.TRAINING]
+    sides = [F.max(F.when(F.col("dataset") == d, F.col("value"))).alias(d) for d in shown]
+    return long.groupBy("_at", "Metric").agg(*sides).orderBy("_at").drop("_at")
 
 
 def summary_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
-    def describe() -> dict[str, Column]:
-        def label_text(c: Column) -> Column:
-            return F.coalesce(c.cast("string"), F.lit(profile.NO_LABELS))
-
-        return {
-            "Number of Rows": F.col("total_records").cast("string"),
-            "Number of Columns": F.col("total_columns").cast("string"),
-            "Number of KPI IDs": F.col("kpi_count").cast("string"),
-            "Number of Anomalies": label_text(F.col("anomaly_count")),
-            "Number of Normal Records": label_text(F.col("normal_count")),
-            "Anomaly Percentage (%)": label_text(
-                F.when(
-                    F.col("anomaly_percentage").isNotNull(),
-                    F.format_string("%.2f", F.col("anomaly_percentage")),
-                )
-            ),
-            "Class Imbalance": label_text(F.col("class_imbalance")),
-            "Min Timestamp": _text_time(F.col("min_timestamp")),
-            "Max Timestamp": _text_time(F.col("max_timestamp")),
-            "Time Span": _text_span(F.col("span_seconds")),
-        }
-
-    return _metric_rows(_summary(train), None if test is None else _summary(test), describe)
-
-
-def _summary(df: DataFrame) -> DataFrame:
-    record = profile.summary_record(df)
-    seconds = profile.span_seconds(df, "min_timestamp", "max_timestamp")
-    return record.withColumn("span_seconds", seconds)
+    records = profile.summary_records(train, test).withColumn(
+        "span_seconds", profile.span_seconds(train, "min_timestamp", "max_timestamp")
+    )
+
+    def label_text(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(profile.NO_LABELS))
+
+    pct = F.col("anomaly_percentage")
+    metrics = {
+        "Number of Rows": F.col("total_records").cast("string"),
+        "Number of Columns": F.col("total_columns").cast("string"),
+        "Number of KPI IDs": F.col("kpi_count").cast("string"),
+        "Number of Anomalies": label_text(F.col("anomaly_count")),
+        "Number of Normal Records": label_text(F.col("normal_count")),
+        "Anomaly Percentage (%)": label_text(F.when(pct.isNotNull(), F.format_string("%.2f", pct))),
+        "Class Imbalance": label_text(F.col("class_imbalance")),
+        "Min Timestamp": _text_time(F.col("min_timestamp")),
+        "Max Timestamp": _text_time(F.col("max_timestamp")),
+        "Time Span": _text_span(F.col("span_seconds")),
+    }
+    return _metric_rows(records, metrics, test is not None)
 
 
 def timestamp_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
-    def describe() -> dict[str, Column]:
-        return {
-            "First Timestamp": _text_time(F.col("first_ts")),
-            "Last Timestamp": _text_time(F.col("last_ts")),
-            "Time Span": _text_span(F.col("span_seconds")),
-            "Number of Unique Timestamps": F.col("unique_timestamps").cast("string"),
-        }
-
-    return _metric_rows(
-        profile.timestamp_analysis(train),
-        None if test is None else profile.timestamp_analysis(test),
-        describe,
-    )
+    metrics = {
+        "First Timestamp": _text_time(F.col("first_ts")),
+        "Last Timestamp": _text_time(F.col("last_ts")),
+        "Time Span": _text_span(F.col("span_seconds")),
+        "Number of Unique Timestamps": F.col("unique_timestamps").cast("string"),
+    }
+    return _metric_rows(profile.timestamp_analysis(train, test), metrics, test is not None)
 
 
 def statistics_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
@@ -135,22 +118,18 @@ def save_all_reports(train: DataFrame, test: DataFrame, directory: str) -> None:
     """Writes the five CSV reports and the JSON summary of the training table."""
     write_report(summary_report(train, test), directory, "dataset_summary")
     write_report(statistics_report(train, test), directory, "descriptive_statistics")
-    write_report(kpi_report(train, test), directory, "kpi_distribution")
+    write_table(kpi_report(train, test), directory, "kpi_distribution", ["KPI ID"])
     if "label" in train.columns:
         write_report(label_report(train), directory, "anomaly_distribution")
     write_report(timestamp_report(train, test), directory, "timestamp_analysis")
-    record = _summary(train)
-    write_json_object(
-        record.withColumns(
-            {
-                "min_timestamp": _text_time(F.col("min_timestamp")),
-                "max_timestamp": _text_time(F.col("max_timestamp")),
-                "time_span": _text_span(F.col("span_seconds")),
-            }
-        ).drop("span_seconds"),
-        directory,
-        "dataset_summary",
-    )
+    record = profile.summary_record(train)
+    span = profile.span_seconds(train, "min_timestamp", "max_timestamp")
+    texts = {
+        "time_span": _text_span(span),
+        "min_timestamp": _text_time(F.col("min_timestamp")),
+        "max_timestamp": _text_time(F.col("max_timestamp")),
+    }
+    write_json_object(record.withColumns(texts), directory, "dataset_summary")
 
 
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -192,5 +171,8 @@ def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
     test = stage(to_series(loaded.test_df), folder, "test")
     save_all_reports(train, test, base)
     for name, frame in distributions.all_distributions(train, test).items():
-        write_report(frame, f"{base}/plots", name)
+        if "kpi_id" in frame.columns:
+            write_table(frame, f"{base}/plots", name, ["kpi_id"])
+        else:
+            write_report(frame, f"{base}/plots", name)
     return True

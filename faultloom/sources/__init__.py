@@ -11,7 +11,7 @@ from .kpi import (
     typed,
 )
 from .logs import LogTables, load_logs
-from .sinks import write_json_object, write_report
+from .sinks import write_json_object, write_report, write_table
 
 __all__ = [
     "KPI_COLUMNS",
@@ -28,4 +28,5 @@ __all__ = [
     "typed",
     "write_json_object",
     "write_report",
+    "write_table",
 ]

@@ -1,39 +1,61 @@
-"""Report sinks. Reports are written by Spark; a report small enough to be one file is given a
-plain file name, larger ones stay a directory of part files under that name."""
+"""Report sinks. Every report is computed once. Reports of a few rows become one file with the
+report's name; reports with a row per KPI do so only if the rows that were written turn out to be
+few, and otherwise stay a directory of part files under that name."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 SINGLE_FILE_ROWS = 100_000
 
 
+def _hadoop(df: DataFrame):
+    spark = df.sparkSession
+    return spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+
 def _promote(df: DataFrame, directory: str, name: str, fmt: str) -> None:
     """Writes one part file and gives it its report name, on any Hadoop file system."""
-    spark = df.sparkSession
     base = str(directory).rstrip("/")
     staging = f"{base}/_{name}.parts"
     df.coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(staging)
 
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    target = hadoop.fs.Path(f"{base}/{name}")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = fs.globStatus(hadoop.fs.Path(f"{staging}/part-*"))[0].getPath()
+    files, conf = _hadoop(df)
+    target = files.Path(f"{base}/{name}")
+    fs = target.getFileSystem(conf)
+    part = fs.globStatus(files.Path(f"{staging}/part-*"))[0].getPath()
     fs.delete(target, True)
     fs.rename(part, target)
-    fs.delete(hadoop.fs.Path(staging), True)
+    fs.delete(files.Path(staging), True)
+
 
+def write_report(df: DataFrame, directory: str, name: str) -> None:
+    """A report of a few rows as ``directory/name.csv``."""
+    _promote(df, directory, f"{name}.csv", "csv")
 
-def write_report(
-    df: DataFrame, directory: str, name: str, single_file_rows: int = SINGLE_FILE_ROWS
+
+def write_table(
+    df: DataFrame,
+    directory: str,
+    name: str,
+    order: Sequence[str],
+    single_file_rows: int = SINGLE_FILE_ROWS,
 ) -> None:
-    """``directory/name.csv``. The size decides: beyond ``single_file_rows`` rows the parts are
-    written in parallel and stay separate."""
-    if df.limit(single_file_rows + 1).count() <= single_file_rows:
-        _promote(df, directory, f"{name}.csv", "csv")
+    """A report with any number of rows as ``directory/name.csv``, sorted by ``order``. It is
+    written in parallel first; its measured size then decides between one file and part files."""
+    base = str(directory).rstrip("/")
+    staging = f"{base}/_{name}.rows"
+    df.write.mode("overwrite").parquet(staging)
+    rows = df.sparkSession.read.parquet(staging)
+    if rows.count() <= single_file_rows:
+        _promote(rows.orderBy(*order), directory, f"{name}.csv", "csv")
     else:
-        path = f"{str(directory).rstrip('/')}/{name}.csv"
-        df.write.mode("overwrite").option("header", True).csv(path)
+        rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(f"{base}/{name}.csv")
+    files, conf = _hadoop(df)
+    path = files.Path(staging)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def write_json_object(df: DataFrame, directory: str, name: str) -> None:

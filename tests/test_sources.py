@@ -12,6 +12,7 @@ from faultloom.sources import (
     paths_exist,
     to_series,
     write_report,
+    write_table,
 )
 
 TRAIN = """timestamp,value,label,KPI ID
@@ -81,11 +82,15 @@ def test_epochs_isos_and_bad_fields(spark, tmp_path):
 
 
 def test_large_report_stays_in_parts(spark, tmp_path):
-    write_report(spark.range(10).repartition(3), str(tmp_path), "big", single_file_rows=5)
+    write_table(spark.range(10).repartition(3), str(tmp_path), "big", ["id"], single_file_rows=5)
     assert (tmp_path / "big.csv").is_dir()
     assert spark.read.option("header", True).csv(str(tmp_path / "big.csv")).count() == 10
-    write_report(spark.range(3), str(tmp_path), "small")
-    assert (tmp_path / "small.csv").read_text().split() == ["id", "0", "1", "2"]
+    write_table(spark.range(3).repartition(3), str(tmp_path), "small", ["id"])
+    write_report(spark.range(3), str(tmp_path), "few")
+    for name in ("small", "few"):
+        assert (tmp_path / f"{name}.csv").read_text().split() == ["id", "0", "1", "2"]
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name[0] != ".") == [
+        "big.csv", "few.csv", "small.csv"]
 
 
 def test_log_files(spark, tmp_path):
