@@ -34,6 +34,8 @@ _ROW_BYTES = 8
 # cost nothing, and a long key has so many rows that this many slices are still large.
 _OVERSPLIT = 8
 _MIN_PARTS = 1024
+# Most rows a broadcast table of cuts may have.
+MAX_CUTS = 500_000
 
 
 def order_position(df: DataFrame, column: str) -> Column:
@@ -72,10 +74,12 @@ def add_slices(
     cut once more. A slice that is too long because all its rows share one position is cut along
     the second position, the tie-break.
 
-    The table of cuts has one row per key (then per slice) longer than ``rows_per_slice``, so it
-    has at most ``rows(df) / rows_per_slice`` rows whatever the number of keys: the broadcast is
-    bounded by the parameter.
+    The table of cuts has one row per key (then per slice) that is longer than a slice. Slices
+    get longer where ``rows_per_slice`` would allow more than ``MAX_CUTS`` of them, so the
+    broadcast has at most ``MAX_CUTS`` rows, whatever the number of rows and keys.
     """
+    most = F.ceil(df.select(F.count(F.lit(1))).scalar() / MAX_CUTS)
+    limit = F.greatest(F.lit(rows_per_slice).cast("bigint"), most)
     out = df.withColumns({f"_position_{i}": p.cast("double") for i, p in enumerate(positions)})
     path = list(keys)
     for level, name in enumerate(SLICES):
@@ -83,21 +87,24 @@ def add_slices(
         if along not in out.columns:
             out = out.withColumn(name, F.lit(0).cast("bigint"))
             continue
-        long = F.count(F.lit(1)) > rows_per_slice
-        if level == 2:
-            long = long & (F.min("_position_0") == F.max("_position_0"))
+        one_position = F.min("_position_0") == F.max("_position_0")
         cuts = (
             (out if level == 0 else out.where(_SPLIT))
             .groupBy(*path)
             .agg(
                 F.min(along).alias("_lo"),
                 F.nullif(F.max(along) - F.min(along), F.lit(0.0)).alias("_width"),
+                F.count(F.lit(1)).alias("_rows"),
+                (one_position if level == 2 else F.lit(True)).alias("_cut_here"),
+            )
+            .withColumn("_limit", limit)
+            .where((F.col("_rows") > F.col("_limit")) & F.col("_cut_here"))
+            .withColumn(
+                "_parts",
                 F.greatest(
-                    F.ceil(F.count(F.lit(1)) / rows_per_slice) * _OVERSPLIT, F.lit(_MIN_PARTS)
-                ).alias("_parts"),
-                long.alias("_long"),
+                    F.ceil(F.col("_rows") / F.col("_limit")) * _OVERSPLIT, F.lit(_MIN_PARTS)
+                ),
             )
-            .where("_long")
         )
         if path:
             cuts = cuts.select(

@@ -53,6 +53,7 @@ def summary_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame
         return F.coalesce(c.cast("string"), F.lit(profile.NO_LABELS))
 
     pct = F.col("anomaly_percentage")
+    # Metric names of the report, in its order.
     metrics = {
         "Number of Rows": F.col("total_records").cast("string"),
         "Number of Columns": F.col("total_columns").cast("string"),
@@ -69,6 +70,7 @@ def summary_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame
 
 
 def timestamp_report(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    # Metric names of the report, in its order.
     metrics = {
         "First Timestamp": _text_time(F.col("first_ts")),
         "Last Timestamp": _text_time(F.col("last_ts")),
@@ -86,6 +88,7 @@ def statistics_report(train: DataFrame, test: DataFrame | None = None) -> DataFr
 
 
 def kpi_report(train: DataFrame, test: DataFrame) -> DataFrame:
+    # Column names of the report, in its order.
     return profile.kpi_distribution(train, test).select(
         F.col("kpi_id").alias("KPI ID"),
         F.col("train_records").alias("Train Records"),

@@ -9,7 +9,15 @@ from conftest import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultloom.operators import detect, distributions, evaluate, features, logs, profile
+from faultloom.operators import (
+    detect,
+    distributions,
+    evaluate,
+    features,
+    logs,
+    profile,
+    slices,
+)
 from faultloom.operators.quantiles import exact_quantiles, value_counts
 from faultloom.operators.slices import (
     SLICES,
@@ -207,6 +215,13 @@ def test_quantiles_match_percentile(spark, rows):
             assert a[k][n] == pytest.approx(b[k][n], rel=1e-12)
 
 
+def test_slices_grow_to_keep_the_cuts_few(spark, monkeypatch):
+    df = spark.createDataFrame(bursty_rows(), SCHEMA)
+    monkeypatch.setattr(slices, "MAX_CUTS", 2)
+    longer = add_slices(df, ["kpi_id"], _positions(df, ["event_time"]), 5)
+    assert [r[0] for r in longer.where("_split").select("kpi_id").distinct().collect()] == ["hot"]
+
+
 def test_cuts_are_broadcast_only_for_long_keys(spark):
     df = spark.createDataFrame(bursty_rows(), SCHEMA)
     one_long = add_slices(df, ["kpi_id"], _positions(df, ["event_time", "event_id"]), 300)
