@@ -80,6 +80,7 @@ class IsolationForestModel:
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
+                columns = [columns] if isinstance(columns, pd.Series) else columns
                 points = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
                 points = np.nan_to_num(points, nan=0.0)
                 total = np.zeros(len(points))

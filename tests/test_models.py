@@ -43,6 +43,12 @@ def test_forest_finds_outliers_and_matches_a_plain_walk(points):
         assert r["score"] == pytest.approx(want)
 
 
+def test_forest_on_one_feature(points):
+    model = forest.IsolationForest(("x",), trees=5, sample=32).fit(points, ["id"])
+    top = model.transform(points).orderBy(F.col("score").desc()).limit(5).collect()
+    assert all(abs(r["x"]) > 2 for r in top)
+
+
 def test_forest_does_not_depend_on_partitioning(points):
     grow = forest.IsolationForest(("x", "y"), trees=5, sample=64)
     a = grow.fit(points.repartition(7), ["id"]).nodes
