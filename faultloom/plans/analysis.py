@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributions, profile, quality
-from ..sources import load_both, to_series, write_json_object, write_report, write_table
+from ..sources import (
+    UNLABELLED_COLUMNS,
+    load_both,
+    to_series,
+    write_json_object,
+    write_report,
+    write_table,
+)
+from ..sources.kpi import KPI_ID
 
 log = logging.getLogger("faultloom")
 
@@ -157,10 +165,16 @@ def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
         log.error("%s", error)
     if loaded.train_df is None or loaded.test_df is None:
         return False
+    base = str(report_dir).rstrip("/")
     train_result = quality.validate(loaded.train_df, labelled=True)
     test_result = quality.validate(loaded.test_df, labelled=False)
-    ids = quality.compare_kpi_ids(loaded.train_df, loaded.test_df)
-    base = str(report_dir).rstrip("/")
+    train, test = loaded.train_df, loaded.test_df
+    complete = all(set(UNLABELLED_COLUMNS) <= set(df.columns) for df in (train, test))
+    if complete:
+        folder = f"{staging_folder(spark, base)}/{uuid.uuid4().hex}"
+        train = stage(to_series(train), folder, "train")
+        test = stage(to_series(test), folder, "test")
+    ids = quality.compare_kpi_ids(train, test, "kpi_id" if complete else KPI_ID)
     quality.write_validation_report(
         spark, train_result, test_result, ids, f"{base}/validation_report.txt"
     )
@@ -169,9 +183,6 @@ def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
     if not (train_result.is_valid and test_result.is_valid):
         return False
 
-    folder = f"{staging_folder(spark, base)}/{uuid.uuid4().hex}"
-    train = stage(to_series(loaded.train_df), folder, "train")
-    test = stage(to_series(loaded.test_df), folder, "test")
     save_all_reports(train, test, base)
     for name, frame in distributions.all_distributions(train, test).items():
         if "kpi_id" in frame.columns:
