@@ -58,7 +58,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     mine = with_digests(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), F.col("t")).drop("t")
     groups = exact_groups(docs, id_col, text_col, keep, fan_in)
-    return mine.join(groups.hint("merge"), list(KEY)).select(
+    return mine.join(groups, list(KEY)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -77,5 +77,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = F.col("__id").eqNullSafe(F.col("__keep"))
     for k in KEY:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    kept = mine.join(groups.hint("merge"), same).groupBy("__id", *KEY).agg(F.first("__row").alias("__row"))
+    kept = mine.join(groups, same).groupBy("__id", *KEY).agg(F.first("__row").alias("__row"))
     return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
