@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import exact_dedup, mixing, near_dedup, substring
+from faultloom.llm import exact_dedup, labelled, mixing, near_dedup, quality_knn, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = labelled.fold("doc_id", 5) == 0
+    scores = quality_knn.quality_scores(docs.select("doc_id", "text"), labels, ~held)
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = labelled.fold("doc_id", 4) == 2
+    scores = toxicity.toxicity_scores(docs.select("doc_id", "text"), labels, ~held)
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -32,6 +46,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": op1_quality_knn,
+    "op2_toxicity": op2_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
