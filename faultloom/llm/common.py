@@ -14,16 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that are hashed at a time inside a task; a longer text is hashed in pieces of this size.
 SLICE_BYTES = 1 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the folder the cluster names; lost executors do not lose it."""
+    """A reliable checkpoint of df in the folder the cluster names; lost executors do not lose it.
+
+    The shuffle files behind it are removed as soon as it is written.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def ship(spark: SparkSession) -> None:
