@@ -70,13 +70,20 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, odds: float)
     """(weight of every bucket, its share of the logit, bias): what scoring needs of embeddings and softmax.
 
     Embeddings and softmax are trained together by Adagrad on the cross entropy. An n-gram enters the average
-    of its text with its count times its inverse document frequency. `odds`: log odds of label 1 among all
+    of its text with its count, weighted by how far apart its document frequencies in the two labels are (in
+    standard errors), so that the many n-grams of ordinary words do not drown the few that tell. `odds`: log odds of label 1 among all
     rows less those of the sample; added to the bias, as the sample is taken by class.
     """
     seen = np.zeros(BUCKETS, np.float32)
     for b, _ in bags:
         seen[b] += 1
-    weight = np.where(seen > 0, np.log((1 + len(bags)) / (1 + seen)) + 0.05, 0).astype(np.float32)
+    with_1 = np.zeros(BUCKETS, np.float32)
+    for (b, _), one in zip(bags, y):
+        with_1[b] += one
+    n_1, n_0 = float((y == 1).sum()), float((y == 0).sum())
+    share = (seen + 1) / (len(bags) + 2)
+    apart = np.abs((with_1 + 0.5) / (n_1 + 1) - (seen - with_1 + 0.5) / (n_0 + 1)) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
+    weight = np.where(seen > 1, np.maximum(apart - 1.5, 0) + 0.02, 0).astype(np.float32)
     rng = np.random.default_rng(0)
     table = rng.uniform(-0.5, 0.5, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     table[seen == 0] = 0
