@@ -77,12 +77,15 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word `[^\\x20\\x09-\\x0D]+`; words do not cross row bounds."""
+def words_of(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; words do not cross row bounds.
+
+    between: which bytes are no part of a word, white space (\\x20, \\x09-\\x0D) if not given.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds] = True
     before = np.concatenate(([False], inside[:-1])) & ~edge[:-1]
