@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -20,14 +21,27 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _shared_folder(spark: SparkSession) -> None:
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder the cluster names; it goes when the cluster clears that folder."""
+    spark = df.sparkSession
+    _shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the folder the cluster names; lost executors do not lose it.
 
     The shuffle files behind it are removed as soon as it is written.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
+    _shared_folder(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

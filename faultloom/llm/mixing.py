@@ -75,7 +75,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     NULL texts have size 0, a NULL source is a source of its own, documents of size 0 are never repeated for
     their words (repeats follow the draw all the same); rows with the same identifier and size share one draw
-    and are told apart by nothing else. An empty table gives no rows.
+    and are told apart by nothing else. An extra column named like one of the above makes that one mix_<name>.
+    An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -106,7 +107,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # A document is drawn if more than half of its words lie before the cut.
     edge = edge.withColumn("more", (F.col("before") + F.col("size") / 2 < F.col("left")).cast("long")).drop("before")
     out = sure.unionByName(edge).withColumn("repeats", (F.col("whole") + F.col("more")).cast("long"))
-    more = [F.col(f"__more.`{c}`").alias(c) for c in extra]
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"),
-                      F.col("target").cast("double").alias("target"), "repeats",
-                      (F.col("repeats") * F.col("size")).alias("taken"), *more)
+    own = {
+        "doc_id": F.col("doc_id"), "size": F.col("size"), "source_size": F.col("source_size").cast("long"),
+        "target": F.col("target").cast("double"), "repeats": F.col("repeats"), "taken": F.col("repeats") * F.col("size"),
+    }
+    more = [F.col("__more").getField(c).alias(c) for c in extra]
+    return out.select(*[v.alias(f"mix_{k}" if k in extra else k) for k, v in own.items()], *more)

@@ -278,3 +278,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     joined = signed.select("id", "n_shingles").join(found_of, "id", "left")
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"),
                          F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the document of the smallest identifier of each group (see near_duplicates), all columns as they were."""
+    kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")

@@ -102,7 +102,8 @@ def votes(vectors: np.ndarray, known: np.ndarray, y: np.ndarray, share: float, b
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                   label: str = "quality", keep: list[str] | None = None, per_class: int = PER_CLASS) -> DataFrame:
+                   label: str = "quality", keep: list[str] | None = None, per_class: int = PER_CLASS,
+                    score_col: str = "score") -> DataFrame:
     """(doc_id, score, *keep) of every document: the weighted share of label 1 among its nearest labelled vectors.
 
     At most `per_class` labelled rows of each label (those with the smallest hash of the identifier) are turned
@@ -131,10 +132,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
             scores = [np.zeros(0)]
             for _, _, data, bounds in text_slices(batch.column(0)):
                 scores.append(votes(unit(terms(data, bounds) @ project), known, y, share))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.clip(np.concatenate(scores), 0, 1))], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.clip(np.concatenate(scores), 0, 1))], names=[*batch.schema.names[1:], score_col])
 
     names = [*([id_col] if id_col not in (keep or []) else []), *(keep or [])]
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    out = rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "score double"]))
+    out = rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{score_col}` double"]))
     return out

@@ -122,7 +122,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, odds: float)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
-                    label: str = "toxic", keep: list[str] | None = None, per_class: int = PER_CLASS) -> DataFrame:
+                    label: str = "toxic", keep: list[str] | None = None, per_class: int = PER_CLASS,
+                    score_col: str = "score") -> DataFrame:
     """(doc_id, *keep, score) of every document: the softmax probability of label 1.
 
     At most `per_class` labelled rows of each label (those with the smallest hash of the identifier) are turned
@@ -155,9 +156,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: Column, id_c
                 total = np.bincount(of, weights=weight[bucket], minlength=len(group))
                 logit = np.bincount(of, weights=both[bucket], minlength=len(group)) / np.maximum(total, 1e-9) + bias
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores))], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores))], names=[*batch.schema.names[1:], score_col])
 
     names = [*([id_col] if id_col not in (keep or []) else []), *(keep or [])]
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "score double"]))
+    return rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{score_col}` double"]))
