@@ -45,7 +45,7 @@ def staged(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a query made under this setting
     finally:
         spark.conf.set(CLEANUP, before)
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultloom.llm.common import staged
+
 KEY = ("text_sha256", "text_chars", "text_check")
 
 
@@ -57,7 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows. Columns besides the two named ones are ignored.
     """
     mine = with_digests(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), F.col("t")).drop("t")
-    groups = exact_groups(docs, id_col, text_col, keep, fan_in)
+    # Staged, so that the join shuffles both sides anew and Spark can split a digest of very many copies.
+    groups = staged(exact_groups(docs, id_col, text_col, keep, fan_in))
     return mine.join(groups, list(KEY)).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     slot = F.pmod(F.col("uid"), F.lit(buckets)).cast("int")
 
     copies = with_digests(rows, F.col("t")).select("id", "uid", *KEY).join(
-        exact_groups(rows, "id", "t"), list(KEY)).where(F.col("id") != F.col("keep_id"))
+        staged(exact_groups(rows, "id", "t")), list(KEY)).where(F.col("id") != F.col("keep_id"))
     gone = copies.select("id", "uid").mapInArrow(_gone(buckets), PACKED_DDL)
     packed = rows.select("id", "uid", "t").mapInArrow(_probes(block, buckets), PACKED_DDL)
     hits = staged(packed.groupBy("dest").applyInPandas(_hits(buckets), PACKED_DDL).unionByName(gone))
