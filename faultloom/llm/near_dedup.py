@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import ascii_lower, gram_hashes, mixed, ship, staged, text_slices, word_hashes, words_of
+from faultloom.llm.common import ascii_lower, gram_hashes, mixed, partitions, ship, staged, text_slices, word_hashes, words_of
 from faultloom.llm.components import components
 
 #: Signature: this many MinHash values of 16 bits each.
@@ -105,47 +105,77 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, v])
                     keys.append(key)
             flat = np.stack(keys, axis=1).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(some, VALUES))], names=["key", "id"])
+            which = np.tile(np.arange(VALUES, dtype=np.int16), len(some))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(which), pa.array(np.repeat(some, VALUES))], names=["key", "which", "id"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, sig_a, sig_b), those within the signature distance."""
+    """Of pairs (a, b, x, y) with signatures x and y, those within the signature distance."""
     for batch in batches:
         one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, VALUES) for k in (2, 3))
         near = (one != two).sum(axis=1) <= MAX_DIFFERENT
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
 
-def _bucket_pairs(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sig: np.ndarray, most: int | None):
-    """Pairs of one block of a bucket within the distance and of different label; at most `most` a pair of labels."""
+_CHUNK_OF = np.concatenate([np.full(len(c), k) for k, c in enumerate(np.array_split(np.arange(VALUES), CHUNKS))])
+_CHUNK_AT = np.flatnonzero(np.concatenate(([True], _CHUNK_OF[1:] != _CHUNK_OF[:-1])))
+
+
+def _first_key(differ: np.ndarray) -> np.ndarray:
+    """Of rows of different values (n, VALUES): the first key both signatures have, by the value it leaves out."""
+    wrong = np.add.reduceat(differ, _CHUNK_AT, axis=1)
+    chunk = np.argmax(wrong <= 1, axis=1)
+    inside = differ & (_CHUNK_OF == chunk[:, None])
+    return np.where(inside.any(axis=1), np.argmax(inside, axis=1), _CHUNK_AT[chunk])
+
+
+def _bucket_pairs(which: int, ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sig: np.ndarray,
+                  most: int | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one block of a bucket that may be linked and differ in label.
+
+    most: each member's nearest so many only. Without it, all pairs whose first common key this bucket is, so a
+    pair comes from one bucket only.
+    """
     out = []
-    for i in range(len(ids) - 1):
-        j = np.flatnonzero((labels[i + 1 :] != labels[i]) & (sides[i + 1 :] != sides[i] if sides[i] else True)) + i + 1
-        if len(j):
-            far = (sig[j] != sig[i]).sum(axis=1)
-            j, far = j[far <= MAX_DIFFERENT], far[far <= MAX_DIFFERENT]
-            if most is not None and len(j) > most:
-                order = np.lexsort((far, labels[j]))
-                lab = labels[j][order]
-                place = np.arange(len(j)) - np.searchsorted(lab, lab)
-                j = j[order][place < most]
-            out += [(ids[i], ids[k]) for k in j]
+    for i in range(len(ids)):
+        other = labels != labels[i]
+        if sides[i]:
+            other &= sides != sides[i]
+        if most is None:
+            other[:i] = False
+        other &= (100 * sizes >= percent * sizes[i]) & (percent * sizes <= 100 * sizes[i])
+        j = np.flatnonzero(other)
+        if not len(j):
+            continue
+        differ = sig[j] != sig[i]
+        far = differ.sum(axis=1)
+        near = far <= MAX_DIFFERENT
+        if most is None:
+            near[near] = _first_key(differ[near]) == which
+            j = j[near]
+        else:
+            j, far = j[near], far[near]
+            if len(j) > most:
+                j = j[np.argsort(far, kind="stable")[:most]]
+        out += [(ids[i], ids[k]) for k in j]
     return out
 
 
-def _cross(most: int | None):
-    """Pairs of a partition's rows (key, id, label, side, sig), sorted by key, that lie in one bucket."""
+def _cross(most: int | None, percent: int):
+    """Pairs of a partition's rows (key, which, id, label, side, size, sig), sorted by key, that lie in one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
-            key, ids, labels, sides = (rows.column(k).to_numpy() for k in range(4))
-            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint16).reshape(-1, VALUES)
+            key, which, ids, labels, sides, sizes = (rows.column(k).to_numpy() for k in range(6))
+            sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, VALUES)
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
             found: set = set()
             for a, b in zip(cuts, np.append(cuts[1:], len(key))):
-                found.update((min(p), max(p)) for p in _bucket_pairs(ids[a:b], labels[a:b], sides[a:b], sig[a:b], most))
+                if b - a > 1:
+                    found.update((min(p), max(p)) for p in _bucket_pairs(
+                        int(which[a]), ids[a:b], labels[a:b], sides[a:b], sizes[a:b], sig[a:b], most, percent))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -194,7 +224,6 @@ def _linked(percent: int):
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that are linked on their full sets."""
-    pairs = staged(pairs.distinct())
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS
     sets = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "t").mapInArrow(_sets(n), "id long, shingles binary")
@@ -218,8 +247,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     3. In each bucket, every class is compared with the smallest one; close pairs are confirmed on full sets,
        and components of confirmed links become labels. Buckets whose members all have one label are done, so
        a large group of near copies never becomes pairs.
-    4. In the other buckets, close pairs of different label are confirmed, a few for each two labels and round
-       as long as labels merge, at last all of them. Large buckets are dealt out as pairs of blocks.
+    4. In the other buckets, close pairs of different label are confirmed: the nearest few of every member, round
+       after round as long as labels merge, at last all that are left, each from one bucket only. Large buckets
+       are dealt out as pairs of blocks. Sets whose sizes rule a link out are not compared.
 
     NULL or blank texts have empty sets and are linked with nothing. Rows that share an identifier are one node:
     links of either are links of both. A row without identifier is linked with nothing and kept. Other columns
@@ -230,28 +260,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     signed = staged(rows.mapInArrow(_signed(n), "id long, n_shingles long, set_a long, set_b long, sig binary"))
     real = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     whole = ["n_shingles", "set_a", "set_b"]
-    classes = real.groupBy(*whole).agg(F.min("id").alias("rep"))
-    members = staged(real.join(classes, whole).select("id", "rep", "sig"))
-    reps = staged(members.where("id = rep").select("id", "sig").dropDuplicates())
-    keys = reps.mapInArrow(_keys, "key long, id long")
+    # Staged, so that the join shuffles both sides anew and Spark can split a class of very many copies.
+    classes = staged(real.groupBy(*whole).agg(F.min("id").alias("rep")))
+    members = staged(real.join(classes, whole).select("id", "rep", "n_shingles", "sig"))
+    reps = staged(members.where("id = rep").select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates())
+    keys = reps.select("id", "sig").mapInArrow(_keys, "key long, which short, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).where("hub < top")
     shared = staged(keys.join(hubs.drop("top"), "key"))
 
-    def close(pairs: DataFrame) -> DataFrame:
-        one = reps.select(F.col("id").alias("a"), F.col("sig").alias("x"))
-        two = reps.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_close, "a long, b long")
-
     stars = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("x"))
+    two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("y"))
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    stars = stars.join(one, "a").join(two, "b").where(fits).select("a", "b", "x", "y").mapInArrow(_close, "a long, b long")
+    tested = staged(stars.distinct())
     # Rows that share an identifier make their classes one node.
     twice = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
     twice = members.join(twice, "id").where("rep != a").select("a", F.col("rep").alias("b"))
-    links = staged(_confirmed(close(stars), rows, n, percent).union(twice).distinct())
+    links = staged(_confirmed(tested, rows, n, percent).union(twice).distinct())
     labels = components(links)
     most: int | None = 4
     while True:
         known = labels.withColumnRenamed("component", "known")
-        marked = shared.join(known, "id", "left").select("key", "size", "id", F.coalesce("known", "id").alias("label"))
+        marked = shared.join(known, "id", "left").select("key", "which", "size", "id", F.coalesce("known", "id").alias("label"))
         mixed_keys = marked.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
         open_rows = marked.join(mixed_keys, "key")
         # Buckets of more than a block go out once for each pair of blocks; side tells the two blocks apart.
@@ -261,16 +292,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.select(
             F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"),
-            "id", "label", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-        dealt = dealt.join(reps, "id").select("key", "id", "label", "side", "sig").repartition(parts, "key").sortWithinPartitions("key", "id")
-        found = _confirmed(dealt.mapInArrow(_cross(most), "a long, b long"), rows, n, percent)
+            "which", "id", "label", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
+        parts = max(partitions(docs.sparkSession), 8)
+        dealt = dealt.join(reps, "id").select("key", "which", "id", "label", "side", "n", "sig").repartition(parts, "key").sortWithinPartitions("key", "id")
+        fresh = dealt.mapInArrow(_cross(most, percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = staged(fresh)
+        found = _confirmed(fresh, rows, n, percent)
         merged = not found.isEmpty()
         if merged:
             links = staged(links.union(found))
             labels = components(links)
         if most is None:
             break
+        tested = staged(tested.union(fresh))
         if not merged:
             most = None
     by_rep = labels.select(F.col("id").alias("rep"), "component")
