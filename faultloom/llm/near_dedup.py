@@ -23,6 +23,8 @@ MAX_DIFFERENT = 28
 CHUNKS = 15
 #: Members of a bucket that are compared in one task; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Bits of the parity sketch of a set. Two sets differ in at least as many elements as their sketches do in bits.
+SKETCH = 2048
 #: Identifiers up to which a semi-join with the documents is a broadcast; beyond it, it is a shuffle join.
 BROADCAST_IDS = 2_000_000
 
@@ -58,7 +60,7 @@ def _shingles(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _signed(n: int):
-    """(id, n_shingles, two hashes of the set, signature) of every row (id, text)."""
+    """(id, n_shingles, two hashes of the set, signature, parity sketch) of every row (id, text)."""
     factors = mixed(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
     shifts = mixed(np.arange(1001, 1001 + VALUES, dtype=np.uint64))
 
@@ -71,6 +73,7 @@ def _signed(n: int):
                 starts = (np.cumsum(sizes) - sizes)[full]
                 sums = np.zeros((2, b - a), np.uint64)
                 sig: list = [None] * (b - a)
+                sketch: list = [None] * (b - a)
                 if len(full):
                     sums[0, full] = np.add.reduceat(mixed(h), starts)
                     sums[1, full] = np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), starts)
@@ -78,12 +81,14 @@ def _signed(n: int):
                     for k in range(VALUES):
                         least = np.minimum.reduceat(h * factors[k] + shifts[k], starts)
                         values[:, k] = (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
-                    for r, v in zip(full, values):
-                        sig[r] = v.tobytes()
+                    odd = np.bincount(of * SKETCH + (h >> np.uint64(53)).astype(np.int64), minlength=(b - a) * SKETCH) & 1
+                    odd = np.packbits(odd.astype(bool).reshape(b - a, SKETCH)[full], axis=1)
+                    for r, v, o in zip(full, values, odd):
+                        sig[r], sketch[r] = v.tobytes(), o.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(sizes.astype(np.int64)),
-                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary())],
-                    names=["id", "n_shingles", "set_a", "set_b", "sig"])
+                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())],
+                    names=["id", "n_shingles", "set_a", "set_b", "sig", "sketch"])
 
     return run
 
@@ -109,12 +114,32 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(which), pa.array(np.repeat(some, VALUES))], names=["key", "which", "id"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, x, y) with signatures x and y, those within the signature distance."""
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, VALUES) for k in (2, 3))
-        near = (one != two).sum(axis=1) <= MAX_DIFFERENT
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _possible(n_a, n_b, sketch_a: np.ndarray, sketch_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and sketches may be linked; False is proof that they are not.
+
+    Linked sets differ in at most (100 - percent) / (100 + percent) of their added sizes, and not in fewer
+    elements than their sketches in bits.
+    """
+    apart = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * apart <= (100 - percent) * (n_a + n_b)
+
+
+def _close(percent: int):
+    """Of pairs (a, b, sizes, signatures, sketches), those that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
+            one, two = (_matrix(batch.column(k), np.uint16, VALUES) for k in (4, 5))
+            near = (one != two).sum(axis=1) <= MAX_DIFFERENT
+            near &= _possible(n_a, n_b, *(_matrix(batch.column(k), np.uint64, SKETCH // 64) for k in (6, 7)), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 _CHUNK_OF = np.concatenate([np.full(len(c), k) for k, c in enumerate(np.array_split(np.arange(VALUES), CHUNKS))])
@@ -130,7 +155,7 @@ def _first_key(differ: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(which: int, ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sig: np.ndarray,
-                  most: int | None, percent: int) -> list[tuple[int, int]]:
+                  sketch: np.ndarray, most: int | None, percent: int) -> list[tuple[int, int]]:
     """Pairs of one block of a bucket that may be linked and differ in label.
 
     most: each member's nearest so many only. Without it, all pairs whose first common key this bucket is, so a
@@ -150,6 +175,7 @@ def _bucket_pairs(which: int, ids: np.ndarray, labels: np.ndarray, sides: np.nda
         differ = sig[j] != sig[i]
         far = differ.sum(axis=1)
         near = far <= MAX_DIFFERENT
+        near[near] = _possible(sizes[j[near]], sizes[i], sketch[j[near]], sketch[i], percent)
         if most is None:
             near[near] = _first_key(differ[near]) == which
             j = j[near]
@@ -162,20 +188,20 @@ def _bucket_pairs(which: int, ids: np.ndarray, labels: np.ndarray, sides: np.nda
 
 
 def _cross(most: int | None, percent: int):
-    """Pairs of a partition's rows (key, which, id, label, side, size, sig), sorted by key, that lie in one bucket."""
+    """Pairs of a partition's rows (key, which, id, label, side, size, sig, sketch), sorted by key, that lie in one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
             key, which, ids, labels, sides, sizes = (rows.column(k).to_numpy() for k in range(6))
-            sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, VALUES)
+            sig, sketch = _matrix(rows.column(6), np.uint16, VALUES), _matrix(rows.column(7), np.uint64, SKETCH // 64)
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
             found: set = set()
             for a, b in zip(cuts, np.append(cuts[1:], len(key))):
                 if b - a > 1:
                     found.update((min(p), max(p)) for p in _bucket_pairs(
-                        int(which[a]), ids[a:b], labels[a:b], sides[a:b], sizes[a:b], sig[a:b], most, percent))
+                        int(which[a]), ids[a:b], labels[a:b], sides[a:b], sizes[a:b], sig[a:b], sketch[a:b], most, percent))
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -249,7 +275,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        a large group of near copies never becomes pairs.
     4. In the other buckets, close pairs of different label are confirmed: the nearest few of every member, round
        after round as long as labels merge, at last all that are left, each from one bucket only. Large buckets
-       are dealt out as pairs of blocks. Sets whose sizes rule a link out are not compared.
+       are dealt out as pairs of blocks. Pairs whose sizes or parity sketches (2,048 bits a set) prove that
+       they are not linked are left out, so groups of copies just below the threshold cost no full comparisons.
 
     NULL or blank texts have empty sets and are linked with nothing. Rows that share an identifier are one node:
     links of either are links of both. A row without identifier is linked with nothing and kept. Other columns
@@ -257,22 +284,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    signed = staged(rows.mapInArrow(_signed(n), "id long, n_shingles long, set_a long, set_b long, sig binary"))
+    signed = staged(rows.mapInArrow(_signed(n), "id long, n_shingles long, set_a long, set_b long, sig binary, sketch binary"))
     real = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     whole = ["n_shingles", "set_a", "set_b"]
     # Staged, so that the join shuffles both sides anew and Spark can split a class of very many copies.
     classes = staged(real.groupBy(*whole).agg(F.min("id").alias("rep")))
-    members = staged(real.join(classes, whole).select("id", "rep", "n_shingles", "sig"))
-    reps = staged(members.where("id = rep").select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates())
+    members = staged(real.join(classes, whole).select("id", "rep", "n_shingles", "sig", "sketch"))
+    reps = staged(members.where("id = rep").select("id", F.col("n_shingles").alias("n"), "sig", "sketch").dropDuplicates(["id", "sig", "sketch"]))
     keys = reps.select("id", "sig").mapInArrow(_keys, "key long, which short, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("size")).where("hub < top")
     shared = staged(keys.join(hubs.drop("top"), "key"))
 
     stars = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("x"))
-    two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("y"))
+    one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("x"), F.col("sketch").alias("u"))
+    two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("y"), F.col("sketch").alias("v"))
     fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    stars = stars.join(one, "a").join(two, "b").where(fits).select("a", "b", "x", "y").mapInArrow(_close, "a long, b long")
+    stars = stars.join(one, "a").join(two, "b").where(fits).select("a", "b", "n_a", "n_b", "x", "y", "u", "v").mapInArrow(_close(percent), "a long, b long")
     tested = staged(stars.distinct())
     # Rows that share an identifier make their classes one node.
     twice = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
@@ -294,7 +321,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"),
             "which", "id", "label", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
         parts = max(partitions(docs.sparkSession), 8)
-        dealt = dealt.join(reps, "id").select("key", "which", "id", "label", "side", "n", "sig").repartition(parts, "key").sortWithinPartitions("key", "id")
+        dealt = dealt.join(reps, "id").select("key", "which", "id", "label", "side", "n", "sig", "sketch").repartition(parts, "key").sortWithinPartitions("key", "id")
         fresh = dealt.mapInArrow(_cross(most, percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         fresh = staged(fresh)
         found = _confirmed(fresh, rows, n, percent)
