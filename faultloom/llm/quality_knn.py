@@ -66,22 +66,25 @@ def terms(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, bounds in text_slices(batch.column(2)):
-            rows = [r.tobytes() for r in terms(data, bounds)]
+            rows = [r.tobytes() for r in terms(data, bounds).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())], names=["id", "y", "terms"])
 
 
 def fit(x: np.ndarray, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(projection of terms to latent dimensions, unit latent vectors of the rows of x), by a seeded randomised SVD."""
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    w = x * idf
+    """(projection of terms to latent dimensions, unit latent vectors of the rows of x), by a seeded randomised SVD.
+
+    x is weighted in place.
+    """
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    w = x
+    w *= idf
     d = min(dimensions, *x.shape)
     probe = np.random.default_rng(0).standard_normal((x.shape[1], min(d + 16, x.shape[1]))).astype(np.float32)
     for _ in range(3):
         q, _ = np.linalg.qr(w @ probe)
         probe = w.T @ q
     _, _, v = np.linalg.svd(q.T @ w, full_matrices=False)
-    project = (idf[:, None] * v[:d].T).astype(np.float32)
-    return project, unit(x @ project)
+    return (idf[:, None] * v[:d].T).astype(np.float32), unit(w @ v[:d].T)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -119,8 +122,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     chosen, _ = sample(docs, labels, label, train, per_class, id_col, text_col)
     got = chosen.mapInArrow(_term_rows, "id long, y int, terms binary").orderBy("id", "terms").collect()
     y = np.array([r["y"] for r in got], np.float64)
-    if len(got):
-        project, known = fit(np.frombuffer(b"".join(r["terms"] for r in got), np.float32).reshape(-1, TERMS))
+    if got:
+        x = np.frombuffer(b"".join(r["terms"] for r in got), np.float16).reshape(-1, TERMS).astype(np.float32)
+        del got
+        project, known = fit(x)
     else:
         project, known, y = np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.array([0.5])
     share = float(y.mean())
