@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .rolling import add_rolling
 from .slices import ROWS_PER_SLICE, SLICES, Series, lookback_series
+from .staging import staged
 
 HISTORY = 10
 WIDTH = 3.0
@@ -77,12 +78,13 @@ def anomaly_runs(
         .withColumn("_local", F.sum("_changed").over(so_far))
         .where(~F.col("_carried"))
     )
-    parts = rows.groupBy("kpi_id", *SLICES, "_local").agg(
+    # Read twice, for the numbers of the slices and for the runs; the windows run once.
+    parts = staged(rows.groupBy("kpi_id", *SLICES, "_local").agg(
         F.min("event_time").alias("run_start"),
         F.max("event_time").alias("run_end"),
         F.count(F.lit(1)).alias("run_length"),
         F.max("kind").alias("kind"),
-    )
+    ))
     earlier = (
         Window.partitionBy("kpi_id").orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     )

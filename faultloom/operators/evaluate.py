@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ratio, signed_log
+from ..functions import ratio
 from .slices import ROWS_PER_SLICE, running_totals
 
 
@@ -78,8 +78,7 @@ def _ranked(
         .agg(F.count_if(F.col("_t") == 1).alias("pos"), F.count_if(F.col("_t") == 0).alias("neg"))
     )
     return running_totals(
-        per_score, keys, ["score"], {"pos": F.col("pos"), "neg": F.col("neg")},
-        signed_log(F.col("score")), rows_per_slice,
+        per_score, keys, ["score"], {"pos": F.col("pos"), "neg": F.col("neg")}, rows_per_slice
     )
 
 

@@ -133,12 +133,14 @@ def log_windows(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Training windows: each event with the ``history`` events before it in its block. Events
-    with fewer predecessors have no window."""
+    with fewer predecessors have no window; NULL events take part like any other."""
     series = lookback_series(
         events.select(BLOCK, "event", *order), [BLOCK], order, history, rows_per_slice
     )
-    before = F.collect_list("event").over(series.window.rowsBetween(-history, -1))
-    windows = series.finish(series.rows.withColumn("history", before))
+    # A list of bare events would leave NULL out.
+    before = F.collect_list(F.struct("event")).over(series.window.rowsBetween(-history, -1))
+    events_before = F.transform(before, lambda e: e["event"])
+    windows = series.finish(series.rows.withColumn("history", events_before))
     return windows.where(F.size("history") == history).select(
         BLOCK, *order, "history", F.col("event").alias("next_event")
     )

@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import signed_log
 from .slices import ROWS_PER_SLICE, running_totals
 
 
@@ -34,9 +33,7 @@ def exact_quantiles(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Quantiles per key from ``value_counts``; one column per entry of ``fractions``."""
-    ranked = running_totals(
-        counts, keys, [value], {"n": F.col("n")}, signed_log(F.col(value)), rows_per_slice
-    )
+    ranked = running_totals(counts, keys, [value], {"n": F.col("n")}, rows_per_slice)
     v, last = F.col(value), F.col("n_upto")
     first = last - F.col("n")
     picks = []

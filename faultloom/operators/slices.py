@@ -7,10 +7,9 @@ the last few rows (``lookback_series``) or the sums so far (``running_totals``).
 instead of joining keeps every operator at one shuffle of the data on ``(key, slice)``.
 
 Results do not depend on where the cuts fall: slices are a monotone function of the sort order.
-Cuts come from exact minima, maxima and counts, so a recomputed task sees the same slices.
-
-A table that the optimizer estimates to be no larger than one slice is left whole, which keeps the
-plan of a small table at a single window.
+Cuts come from exact minima, maxima and counts. They are found in rounds, each of which reads the
+slices that are still too long; so preparing a series runs jobs (one count per key if nothing has
+to be cut).
 """
 
 from __future__ import annotations
@@ -23,19 +22,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import epoch_micros
-from .sizes import estimated_bytes
+from .staging import staged
 
 ROWS_PER_SLICE = 2_000_000
-SLICES = ["_slice_1", "_slice_2", "_slice_3"]
-_SPLIT = "_split"
-# A row of key and sort column takes about this much in a compressed file.
-_ROW_BYTES = 8
-# Cutting finer than needed lets two levels zoom into a burst or a dense value range. Empty slices
-# cost nothing, and a long key has so many rows that this many slices are still large.
-_OVERSPLIT = 8
-_MIN_PARTS = 1024
-# Most rows a broadcast table of cuts may have.
-MAX_CUTS = 500_000
+# The place of a slice in its key: the parts it lies in, from the first cut to the last.
+SLICES = ["_slice"]
+# Bytes of a text that are compared at a time.
+_TEXT_STEP = 6
+# Least parts of a cut: a round finds six bits of a position. Empty parts cost nothing.
+_LEAST_PARTS = 64
+# Cuts of one round that are broadcast; more of them are joined by key and slice.
+BROADCAST_CUTS = 200_000
+_SALTS = 32
+
+
+
+class _Position(NamedTuple):
+    """A number with the order of (part of) a sort column, and how its differences are taken."""
+
+    value: Column
+    exact: bool
 
 
 def order_position(df: DataFrame, column: str) -> Column:
@@ -48,86 +54,122 @@ def order_position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def fits_one_slice(df: DataFrame, rows_per_slice: int) -> bool:
-    """Whether the estimated table is below one slice of rows, so that cutting it is no use."""
-    return estimated_bytes(df) <= rows_per_slice * _ROW_BYTES
+def _positions(df: DataFrame, order: Sequence[str]) -> list[_Position]:
+    """Positions of the sort columns in turn. A text has one for every few of its bytes, up to
+    the longest text, and one for its length; a column of another kind ends the list."""
+    found: list[_Position] = []
+    for c in order:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType):
+            longest = df.agg(F.max(F.octet_length(c))).first()[0] or 0
+            code = F.encode(F.col(c), "utf-8")
+            for at in range(0, longest, _TEXT_STEP):
+                part = F.rpad(F.hex(F.substring(code, at + 1, _TEXT_STEP)), 2 * _TEXT_STEP, "0")
+                found.append(_Position(F.conv(part, 16, 10).cast("bigint"), True))
+            found.append(_Position(F.octet_length(c).cast("bigint"), True))
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            found.append(_Position(F.col(c).cast("double"), False))
+        elif isinstance(kind, T.BooleanType):
+            found.append(_Position(F.col(c).cast("bigint"), True))
+        elif isinstance(kind, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+            found.append(_Position(order_position(df, c).cast("bigint"), True))
+        else:
+            break
+    return found
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """Sort column and, if it has numbers or times, the first tie-break."""
-    sortable = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
-    return [
-        order_position(df, c)
-        for c in order[:2]
-        if isinstance(df.schema[c].dataType, sortable)
-    ]
+def _part(position: _Position, lo: Column, width: Column, parts: Column) -> Column:
+    """Part of a cut a position falls into: equal widths between the finite extremes; NULL, minus
+    infinity, infinity and NaN each apart, in their sort order."""
+    p = position.value
+    if position.exact:
+        # 64-bit differences can overflow and lose digits as doubles; decimals do neither.
+        offset = (p.cast("decimal(20,0)") - lo).cast("double")
+        inner = F.least(F.floor(offset / width * parts), parts - 1)
+        return F.when(p.isNull(), -2).when(width.isNull(), 0).otherwise(inner).cast("bigint")
+    endless = F.lit(float("inf"))
+    inner = F.least(F.floor((p / 2 - lo) / width * parts), parts - 1)
+    return (
+        F.when(p.isNull(), -2)
+        .when(F.isnan(p), parts + 1)
+        .when(p == endless, parts)
+        .when(p == -endless, -1)
+        .when(width.isNull(), 0)
+        .otherwise(inner)
+        .cast("bigint")
+    )
+
+
+def _cut(df: DataFrame, cuts: DataFrame, path: Sequence[str], position: _Position, few: bool) -> DataFrame:
+    """Appends the part to ``_slice`` of the rows whose slice is in ``cuts``."""
+    match = F.lit(True)
+    for i, k in enumerate(path):
+        match = match & F.col(k).eqNullSafe(F.col(f"_at_{i}"))
+    if few:
+        joined = df.join(F.broadcast(cuts), match, "left")
+    else:
+        copies = cuts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = df.withColumn(
+            "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SALTS)).cast("int")
+        )
+        joined = salted.join(copies, match & (F.col("_salt") == F.col("_copy")), "left")
+    part = _part(position, F.col("_lo"), F.col("_width"), F.col("_parts"))
+    longer = F.concat(F.col("_slice"), F.array(part))
+    return joined.withColumn(
+        "_slice", F.when(F.col("_parts").isNotNull(), longer).otherwise(F.col("_slice"))
+    ).select(*df.columns)
 
 
 def add_slices(
     df: DataFrame,
     keys: Sequence[str],
-    positions: Sequence[Column],
+    positions: Sequence[_Position],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Adds the slice columns. Keys of up to ``rows_per_slice`` rows stay in one slice; longer
-    ones are cut into equal widths of the first position, and slices that are still too long are
-    cut once more. A slice that is too long because all its rows share one position is cut along
-    the second position, the tie-break.
-
-    The table of cuts has one row per key (then per slice) that is longer than a slice. Slices
-    get longer where ``rows_per_slice`` would allow more than ``MAX_CUTS`` of them, so the
-    broadcast has at most ``MAX_CUTS`` rows, whatever the number of rows and keys.
+    """Adds ``_slice`` (empty for keys of up to ``rows_per_slice`` rows).
+
+    A longer key is cut into equal widths of the first position; slices that are still too long
+    are cut again as long as they hold several values of it, then along the next position. What
+    is left too long agrees in all positions. Every round counts the rows of each slice (map-side)
+    and stages its cuts, one row per slice that it cuts. At most ``BROADCAST_CUTS`` of them are
+    broadcast, more are joined on key and slice with the rows of a slice spread by a salt.
     """
-    most = F.ceil(df.select(F.count(F.lit(1))).scalar() / MAX_CUTS)
-    limit = F.greatest(F.lit(rows_per_slice).cast("bigint"), most)
-    out = df.withColumns({f"_position_{i}": p.cast("double") for i, p in enumerate(positions)})
-    path = list(keys)
-    for level, name in enumerate(SLICES):
-        along = "_position_1" if level == 2 else "_position_0"
-        if along not in out.columns:
-            out = out.withColumn(name, F.lit(0).cast("bigint"))
-            continue
-        one_position = F.min("_position_0") == F.max("_position_0")
-        cuts = (
-            (out if level == 0 else out.where(_SPLIT))
-            .groupBy(*path)
-            .agg(
-                F.min(along).alias("_lo"),
-                F.nullif(F.max(along) - F.min(along), F.lit(0.0)).alias("_width"),
-                F.count(F.lit(1)).alias("_rows"),
-                (one_position if level == 2 else F.lit(True)).alias("_cut_here"),
-            )
-            .withColumn("_limit", limit)
-            .where((F.col("_rows") > F.col("_limit")) & F.col("_cut_here"))
-            .withColumn(
-                "_parts",
-                F.greatest(
-                    F.ceil(F.col("_rows") / F.col("_limit")) * _OVERSPLIT, F.lit(_MIN_PARTS)
-                ),
-            )
-        )
-        if path:
-            cuts = cuts.select(
-                *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)],
-                "_lo", "_width", "_parts",
-            )
-            match = F.lit(True)
-            for i, k in enumerate(path):
-                match = match & F.col(k).eqNullSafe(F.col(f"_at_{i}"))
-            out = out.join(F.broadcast(cuts), match, "left")
+    names = [f"_position_{i}" for i in range(len(positions))]
+    out = df.withColumns({"_slice": F.array().cast("array<bigint>"), **{n: p.value for n, p in zip(names, positions)}})
+    path = [*keys, "_slice"]
+    at = 0
+    while at < len(positions):
+        p, exact = F.col(names[at]), positions[at].exact
+        if exact:
+            finite, low = p, F.min(p).cast("decimal(20,0)")
+            width = (F.max(p).cast("decimal(20,0)") - low).cast("double")
+        else:  # halves keep the width of doubles finite
+            finite = F.when(~F.isnan(p) & (F.abs(p) != float("inf")), p)
+            low = F.min(finite) / 2
+            width = F.max(finite) / 2 - low
+        rows = F.count(F.lit(1))
+        several = (F.min(p) < F.max(p)) | ((F.count(p) > 0) & (F.count(p) < rows))
+        found = out.groupBy(*path).agg(
+            low.alias("_lo"), F.nullif(width, F.lit(0.0)).alias("_width"),
+            rows.alias("_rows"), F.coalesce(several, F.lit(False)).alias("_several"),
+        ).where(F.col("_rows") > rows_per_slice)
+        parts = F.greatest(F.ceil(F.col("_rows") / rows_per_slice) * 2, F.lit(_LEAST_PARTS))
+        found = staged(found.select(
+            *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)],
+            "_lo", "_width", parts.alias("_parts"), "_several",
+        ))
+        size = found.agg(
+            F.count(F.lit(1)).alias("long"), F.count_if("_several").alias("several")
+        ).first()
+        if not size["long"]:
+            break
+        if size["several"]:
+            cuts = found.where("_several").drop("_several")
+            few = size["several"] <= BROADCAST_CUTS
+            out = _cut(out, cuts, path, _Position(p, exact), few)
         else:
-            cut = cuts.select(F.struct("_lo", "_width", "_parts")).scalar()
-            out = out.withColumn("_cut", cut).withColumns(
-                {c: F.col(f"_cut.{c}") for c in ("_lo", "_width", "_parts")}
-            )
-        parts = F.col("_parts")
-        index = F.floor((F.col(along) - F.col("_lo")) / F.col("_width") * parts)
-        out = out.withColumn(name, F.coalesce(F.least(index, parts - 1), F.lit(0).cast("bigint")))
-        if level == 0:
-            out = out.withColumn(_SPLIT, parts.isNotNull())
-        out = out.drop("_lo", "_width", "_parts", "_cut", *[f"_at_{i}" for i in range(len(path))])
-        path.append(name)
-    return out.drop("_position_0", "_position_1")
+            at += 1
+    return out.drop(*names)
 
 
 class Series(NamedTuple):
@@ -138,7 +180,7 @@ class Series(NamedTuple):
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drops the carried-over rows and the helper columns, once windows are computed."""
-        return df.where(~F.col("_carried")).drop("_carried", *SLICES)
+        return df.where(~F.col("_carried")).drop("_carried", "_tie", *SLICES)
 
 
 def lookback_series(
@@ -149,41 +191,39 @@ def lookback_series(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> Series:
     """Prepares windows that look at most ``depth`` rows back along ``order`` (a time column and
-    its tie-breaks) within ``keys``.
+    its tie-breaks) within ``keys``. Rows that agree in all of ``order`` follow in the order of a
+    hash of their other columns.
 
-    Only the last ``depth`` rows of each slice of a split key are ranked and copied. That boundary
-    table is ``depth`` rows per slice, so one task can walk the boundaries of one key.
+    Only the last ``depth`` rows of each slice of a cut key are ranked and copied. One task walks
+    these rows of a key: ``depth`` rows for every slice, a small fraction of the key.
     """
-    place = [*keys, *SLICES]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (*keys, *order)]
+    tied = df.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0).cast("bigint"))
+    order = [*order, "_tie"]
     ascending = [F.col(c).asc() for c in order]
-    window = Window.partitionBy(*place).orderBy(*ascending)
-    if fits_one_slice(df, rows_per_slice):
-        whole = {s: F.lit(0).cast("bigint") for s in SLICES}
-        return Series(df.withColumns({**whole, "_carried": F.lit(False)}), window)
-    sliced = add_slices(df, keys, _positions(df, order), rows_per_slice)
+    window = Window.partitionBy(*keys, *SLICES).orderBy(*ascending)
+    sliced = add_slices(tied, keys, _positions(tied, order), rows_per_slice)
+    rows = sliced.withColumn("_carried", F.lit(False))
+    cut = sliced.where(F.size("_slice") > 0)
+    if not depth or cut.isEmpty():
+        return Series(rows, window)
 
-    from_end = Window.partitionBy(*place).orderBy(*[F.col(c).desc() for c in order])
+    from_end = Window.partitionBy(*keys, *SLICES).orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        sliced.where(_SPLIT)
-        .withColumn("_from_end", F.row_number().over(from_end))
+        cut.withColumn("_from_end", F.row_number().over(from_end))
         .where(F.col("_from_end") <= depth)
         .drop("_from_end")
     )
     along_key = Window.partitionBy(*keys).orderBy(*ascending)
-    path = F.struct(*SLICES)
-    previous = F.lag(path).over(along_key)
-    payload = F.struct(*[F.col(c) for c in df.columns])
+    payload = F.struct(*[F.col(f"`{c}`") for c in tied.columns])
     carried = (
-        tails.withColumn("_previous", previous)
-        .withColumn(
-            "_before", F.collect_list(payload).over(along_key.rowsBetween(-depth, -1))
-        )
-        .where(F.col("_previous").isNotNull() & (F.col("_previous") != path))
-        .select(*SLICES, F.explode("_before").alias("_row"))
-        .select("_row.*", *SLICES, F.lit(True).alias("_carried"))
+        tails.withColumn("_previous", F.lag("_slice").over(along_key))
+        .withColumn("_before", F.collect_list(payload).over(along_key.rowsBetween(-depth, -1)))
+        .where(F.col("_previous").isNotNull() & (F.col("_previous") != F.col("_slice")))
+        .select("_slice", F.explode("_before").alias("_row"))
+        .select("_row.*", "_slice", F.lit(True).alias("_carried"))
     )
-    rows = sliced.drop(_SPLIT).withColumn("_carried", F.lit(False)).unionByName(carried)
-    return Series(rows, window)
+    return Series(rows.unionByName(carried), window)
 
 
 def running_totals(
@@ -191,7 +231,6 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[str],
     measures: Mapping[str, Column],
-    position: Column | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Adds, for each measure ``m``, its sum up to and including the row (``m_upto``) and over
@@ -201,18 +240,8 @@ def running_totals(
     leading row, so no ordered window ever spans a whole key.
     """
     along_key = Window.partitionBy(*(keys or [F.lit(0)]))
-    if fits_one_slice(df, rows_per_slice):
-        walk = along_key.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        added = {}
-        for m, c in measures.items():
-            added[f"{m}_upto"] = F.sum(c).over(walk)
-            added[f"{m}_total"] = F.sum(c).over(along_key)
-        return df.withColumns(added)
-    positions = _positions(df, order) if position is None else [position]
     measured = df.withColumns({f"_m_{m}": c for m, c in measures.items()})
-    sliced = add_slices(measured, keys, positions, rows_per_slice).drop(_SPLIT)
+    sliced = add_slices(measured, keys, _positions(df, order), rows_per_slice)
     place = [*keys, *SLICES]
     earlier = along_key.orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     leading = (

@@ -23,7 +23,6 @@ from faultloom.operators.slices import (
     SLICES,
     _positions,
     add_slices,
-    fits_one_slice,
     lookback_series,
     running_totals,
 )
@@ -145,7 +144,6 @@ SCHEMA = "kpi_id string, event_time timestamp, event_id int, value double"
 
 def test_slices_follow_the_order_and_split_bursts(spark):
     df = spark.createDataFrame(bursty_rows(), SCHEMA)
-    assert not fits_one_slice(df, 20)
     sliced = add_slices(df, ["kpi_id"], _positions(df, ["event_time", "event_id"]), 20)
     by_time = Window.partitionBy("kpi_id").orderBy("event_time", "event_id")
     path = F.struct(*SLICES)
@@ -215,14 +213,56 @@ def test_quantiles_match_percentile(spark, rows):
             assert a[k][n] == pytest.approx(b[k][n], rel=1e-12)
 
 
-def test_slices_grow_to_keep_the_cuts_few(spark, monkeypatch):
+def largest(spark, rows, schema, order, limit):
+    """Rows of the largest slice; every slice must follow the sort order."""
+    df = spark.createDataFrame(rows, schema)
+    sliced = add_slices(df, [], _positions(df, order), limit)
+    before = F.lag("_slice").over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    assert sliced.withColumn("_b", before).where(F.col("_b") > F.col("_slice")).count() == 0
+    return sliced.groupBy("_slice").count().agg(F.max("count")).first()[0]
+
+
+def test_two_adjacent_busy_seconds_are_cut(spark):
+    start = datetime.datetime(2021, 1, 1)
+    rows = [(start + datetime.timedelta(minutes=i), i) for i in range(5000)]
+    rows += [(start + datetime.timedelta(minutes=777, seconds=i % 2), 10**6 + i) for i in range(2000)]
+    assert largest(spark, rows, "at timestamp, id bigint", ["at", "id"], 100) <= 200
+
+
+def test_text_ties_are_cut(spark):
+    at = datetime.datetime(2021, 1, 1)
+    rows = [(at, f"commonprefix-{i * 7919 % 3000:06d}") for i in range(3000)] + [(at, None), (at, "")]
+    assert largest(spark, rows, "at timestamp, id string", ["at", "id"], 100) <= 200
+
+
+def test_dense_values_and_infinities_are_cut(spark):
+    rng = random.Random(3)
+    rows = [(rng.random(),) for _ in range(2000)] + [(0.5 + i * 1e-12,) for i in range(2000)]
+    rows += [(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (1.7e308,), (-1.7e308,)]
+    assert largest(spark, rows, "v double", ["v"], 100) <= 200
+
+
+def test_long_numbers_keep_their_order(spark):
+    rows = [(2**62 + i, -i) for i in range(1500)] + [(-(2**63), 0), (2**63 - 1, 0)]
+    assert largest(spark, rows, "a bigint, b bigint", ["a", "b"], 50) <= 100
+
+
+def test_many_cuts_are_joined_with_a_salt(spark, monkeypatch):
+    monkeypatch.setattr(slices, "BROADCAST_CUTS", 0)
     df = spark.createDataFrame(bursty_rows(), SCHEMA)
-    monkeypatch.setattr(slices, "MAX_CUTS", 2)
-    longer = add_slices(df, ["kpi_id"], _positions(df, ["event_time"]), 5)
-    assert [r[0] for r in longer.where("_split").select("kpi_id").distinct().collect()] == ["hot"]
+    sliced = add_slices(df, ["kpi_id"], _positions(df, ["event_time", "event_id"]), 20)
+    assert sliced.count() == 403
+    assert sliced.where("kpi_id = 'hot'").groupBy("_slice").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_rows_of_one_time_without_ties_have_an_order(spark):
+    at = datetime.datetime(2021, 1, 1)
+    df = spark.createDataFrame([("k", at, float(i)) for i in range(500)], "kpi_id string, event_time timestamp, value double")
+    one, two = (features.add_series_features(df, rows_per_slice=n) for n in (40, 10_000))
+    assert sorted(one.collect(), key=repr) == sorted(two.collect(), key=repr)
 
 
 def test_cuts_are_broadcast_only_for_long_keys(spark):
     df = spark.createDataFrame(bursty_rows(), SCHEMA)
     one_long = add_slices(df, ["kpi_id"], _positions(df, ["event_time", "event_id"]), 300)
-    assert one_long.where("_split").select("kpi_id").distinct().count() == 1
+    assert one_long.where(F.size("_slice") > 0).select("kpi_id").distinct().count() == 1
