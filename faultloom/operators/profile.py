@@ -95,6 +95,8 @@ def summary_records(train: DataFrame, test: DataFrame | None = None) -> DataFram
     """One flat row per dataset."""
     rows = _tagged(train, test, "kpi_id", "event_time", "label")
     labelled = F.col("dataset").isin(_labelled(train, test))
+    columns = F.when(F.col("dataset") == TRAINING, len(train.columns)).otherwise(
+        len((train if test is None else test).columns))
     per_kpi = rows.groupBy("dataset", "kpi_id").agg(*_record_figures(rows))
     rolled = per_kpi.groupBy("dataset").agg(
         F.sum("records").alias("total_records"),
@@ -115,7 +117,7 @@ def summary_records(train: DataFrame, test: DataFrame | None = None) -> DataFram
     return with_times.select(
         "dataset",
         "total_records",
-        F.when(labelled, 4).otherwise(3).alias("total_columns"),
+        columns.alias("total_columns"),
         "kpi_count",
         "anomaly_count",
         "normal_count",

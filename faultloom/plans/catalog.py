@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators import (
     profile,
     quality,
 )
+from ..operators.slices import ROWS_PER_SLICE
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +56,12 @@ def dataset_summary(spark, d):
 
 
 def summary_record(spark, d):
-    record = profile.summary_record(views.kpi_train(spark, d)).drop("time_span")
+    record = profile.summary_record(views.kpi(spark, d)).drop("time_span")
     return _rounded(record, "anomaly_percentage")
 
 
-def descriptive_stats(spark, d):
-    return _rounded(profile.descriptive_statistics(*_both(spark, d)), "training", "testing")
+def descriptive_stats(spark, d, rows=ROWS_PER_SLICE):
+    return _rounded(profile.descriptive_statistics(*_both(spark, d), rows_per_slice=rows), "training", "testing")
 
 
 def label_distribution(spark, d):
@@ -109,19 +111,19 @@ def label_counts_desc(spark, d):
 
 
 def value_histogram(spark, d):
-    table = distributions.value_histogram(views.kpi_train(spark, d))
+    table = distributions.value_histogram(views.kpi(spark, d))
     return _rounded(table, "bin_lo", "bin_hi")
 
 
 _BOX = ("q1", "median", "q3", "whisker_lo", "whisker_hi")
 
 
-def box_stats(spark, d):
-    return _rounded(distributions.box_stats(views.kpi_train(spark, d)), *_BOX)
+def box_stats(spark, d, rows=ROWS_PER_SLICE):
+    return _rounded(distributions.box_stats(views.kpi(spark, d), rows_per_slice=rows), *_BOX)
 
 
-def box_stats_by_kpi(spark, d):
-    return _rounded(distributions.box_stats_by_kpi(views.kpi_train(spark, d)), *_BOX)
+def box_stats_by_kpi(spark, d, rows=ROWS_PER_SLICE):
+    return _rounded(distributions.box_stats_by_kpi(views.kpi(spark, d), rows_per_slice=rows), *_BOX)
 
 
 def lineitem_box_stats_by_kpi(spark, d):
@@ -129,11 +131,11 @@ def lineitem_box_stats_by_kpi(spark, d):
 
 
 def kpi_outliers(spark, d):
-    return distributions.kpi_outliers(views.kpi_train(spark, d), ["event_id"])
+    return distributions.kpi_outliers(views.kpi(spark, d), ["event_id"])
 
 
 def series_overlay(spark, d):
-    return _rounded(distributions.series_overlay(views.kpi_train(spark, d)), "avg")
+    return _rounded(distributions.series_overlay(views.kpi(spark, d)), "avg")
 
 
 # fusion and evaluation
@@ -194,12 +196,12 @@ def classification_report(spark, d):
     return _rounded(report, *report.columns)
 
 
-def roc_auc(spark, d):
-    return _rounded(evaluate.roc_auc(_predictions(spark, d)), "auc")
+def roc_auc(spark, d, rows=ROWS_PER_SLICE):
+    return _rounded(evaluate.roc_auc(_predictions(spark, d), rows_per_slice=rows), "auc")
 
 
-def roc_curve(spark, d):
-    points = evaluate.roc_curve(_predictions(spark, d))
+def roc_curve(spark, d, rows=ROWS_PER_SLICE):
+    points = evaluate.roc_curve(_predictions(spark, d), rows_per_slice=rows)
     return _rounded(_rounded(points, "fpr", "tpr"), "threshold", digits=9)
 
 
@@ -228,13 +230,13 @@ def clean_series(spark, d):
     return features.clean(lines)
 
 
-def lag_features(spark, d):
-    table = features.add_series_features(views.kpi_train(spark, d), TIES, windows=())
+def lag_features(spark, d, rows=ROWS_PER_SLICE):
+    table = features.add_series_features(views.kpi(spark, d), TIES, windows=(), rows_per_slice=rows)
     return table.select("event_id", "value", "lag_1", "lag_5", "lag_10")
 
 
-def rolling_features(spark, d):
-    table = features.add_series_features(views.kpi_train(spark, d), TIES, lags=())
+def rolling_features(spark, d, rows=ROWS_PER_SLICE):
+    table = features.add_series_features(views.kpi(spark, d), TIES, lags=(), rows_per_slice=rows)
     names = [f"rolling_{f}_{n}" for n in features.WINDOWS for f in ("mean", "std")]
     return _rounded(table.select("event_id", *names), *names)
 
@@ -251,13 +253,13 @@ def lineitem_rolling_features(spark, d):
 
 
 def calendar_features(spark, d):
-    return features.add_calendar(views.kpi_train(spark, d)).select(
+    return features.add_calendar(views.kpi(spark, d)).select(
         "event_id", "hour_of_day", "day_of_week"
     )
 
 
 def feature_report(spark, d):
-    table = features.kpi_features(views.kpi_train(spark, d), TIES)
+    table = features.kpi_features(views.kpi(spark, d), TIES)
     report = features.feature_report(table, features.feature_columns())
     return _rounded(report, "min", "max")
 
@@ -270,16 +272,16 @@ def scaled_features(spark, d):
 
 # detection
 
-def adaptive_threshold(spark, d):
-    table = detect.adaptive_threshold(views.kpi(spark, d).drop("event_type"), TIES)
+def adaptive_threshold(spark, d, rows=ROWS_PER_SLICE):
+    table = detect.adaptive_threshold(views.kpi(spark, d).drop("event_type"), TIES, rows_per_slice=rows)
     return _rounded(
         table.select("kpi_id", "event_id", "lower", "upper", "flagged"), "lower", "upper"
     )
 
 
-def anomaly_runs(spark, d):
+def anomaly_runs(spark, d, rows=ROWS_PER_SLICE):
     return detect.anomaly_runs(
-        views.kpi(spark, d).drop("event_type"), TIES, width=1.0, persistent=2
+        views.kpi(spark, d).drop("event_type"), TIES, width=1.0, persistent=2, rows_per_slice=rows
     )
 
 
@@ -313,8 +315,8 @@ def trace_length_stats(spark, d):
     return _rounded(stats, "mean", "q1", "median", "q3")
 
 
-def log_positions(spark, d):
-    placed = logs.log_positions(views.logs(spark, d), views.LOG_ORDER)
+def log_positions(spark, d, rows=ROWS_PER_SLICE):
+    placed = logs.log_positions(views.logs(spark, d), views.LOG_ORDER, rows)
     return placed.select("block_id", "event_id", "position", "event")
 
 
@@ -323,8 +325,8 @@ def log_sequences(spark, d):
     return table.select("block_id", "segment", F.concat_ws(",", "events").alias("events"))
 
 
-def log_windows(spark, d):
-    table = logs.log_windows(views.logs(spark, d), views.LOG_ORDER)
+def log_windows(spark, d, rows=ROWS_PER_SLICE):
+    table = logs.log_windows(views.logs(spark, d), views.LOG_ORDER, rows_per_slice=rows)
     return table.select(
         "block_id", "event_id", F.concat_ws(",", "history").alias("history"), "next_event"
     )
@@ -335,6 +337,24 @@ def next_event_misses(spark, d):
     return logs.next_event_misses(windows, logs.likely_next(windows))
 
 
+def _null_event_windows(spark, d) -> DataFrame:
+    """Every 17th event is NULL; in the history it shows as a question mark."""
+    known = F.when(F.col("event_id") % 17 != 0, F.col("event"))
+    events = views.logs(spark, d).withColumn("event", known)
+    return logs.log_windows(events, views.LOG_ORDER)
+
+
+def log_windows_null_events(spark, d):
+    table = _null_event_windows(spark, d)
+    history = F.array_join("history", ",", "?").alias("history")
+    return table.select("block_id", "event_id", history, "next_event")
+
+
+def next_event_misses_null_events(spark, d):
+    windows = _null_event_windows(spark, d)
+    return logs.next_event_misses(windows, logs.likely_next(windows))
+
+
 def _labelled_matrix(spark, d) -> DataFrame:
     lines = views.logs(spark, d)
     label = lines.groupBy("block_id").agg(F.max((F.col("value") >= 190).cast("int")).alias("label"))
@@ -374,7 +394,18 @@ QUERIES: dict[str, Query] = {
         calendar_features, feature_report, scaled_features,
         adaptive_threshold, anomaly_runs, isolation_forest_scores,
         event_frequencies, occurrence_matrix, trace_lengths, trace_length_stats, log_positions,
-        log_sequences, log_windows, next_event_misses, log_label_distribution,
+        log_sequences, log_windows, log_windows_null_events, next_event_misses,
+        next_event_misses_null_events, log_label_distribution,
         log_quality_checks, random_forest_predictions,
     )
 }
+
+# With this many rows a slice, every key of the test tables is cut.
+CUT_ROWS = 30
+QUERIES |= {
+    f"{f.__name__}_cut": partial(f, rows=CUT_ROWS)
+    for f in (
+        lag_features, rolling_features, adaptive_threshold, anomaly_runs, box_stats,
+        box_stats_by_kpi, descriptive_stats, roc_auc, roc_curve, log_positions, log_windows,
+    )
+}

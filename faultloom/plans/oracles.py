@@ -49,11 +49,11 @@ _METRICS = """
   FROM {table}"""
 
 _TRAIN_METRICS = _METRICS.format(
-    columns=4, anomalies="CAST(sum(label) AS DOUBLE)", normals="CAST(sum(1 - label) AS DOUBLE)",
+    columns="(SELECT count(*) FROM (DESCRIBE SELECT * FROM kpi_train))", anomalies="CAST(sum(label) AS DOUBLE)", normals="CAST(sum(1 - label) AS DOUBLE)",
     pct="100.0::DOUBLE * sum(label) / count(*)", table="kpi_train",
 )
 _TEST_METRICS = _METRICS.format(
-    columns=3, anomalies="CAST(NULL AS DOUBLE)", normals="CAST(NULL AS DOUBLE)",
+    columns="(SELECT count(*) FROM (DESCRIBE SELECT * FROM kpi_test))", anomalies="CAST(NULL AS DOUBLE)", normals="CAST(NULL AS DOUBLE)",
     pct="CAST(NULL AS DOUBLE)", table="kpi_test",
 )
 
@@ -144,7 +144,7 @@ featured AS (
          lag(value, 5) OVER {_SERIES} AS lag_5, lag(value, 10) OVER {_SERIES} AS lag_10,
          {_rolling(5)}, {_rolling(10)},
          hour(event_time) AS hour_of_day, isodow(event_time) - 1 AS day_of_week
-  FROM kpi_train)"""
+  FROM kpi)"""
 _FEATURE_NAMES = (
     "value", "lag_1", "lag_5", "lag_10", "rolling_mean_5", "rolling_std_5", "rolling_mean_10",
     "rolling_std_10", "hour_of_day", "day_of_week",
@@ -157,6 +157,14 @@ placed AS (SELECT *, row_number() OVER w AS position,
 windows AS (SELECT block_id, event_id, array_to_string(h, ',') AS history, event AS next_event
             FROM placed WHERE position > 3)"""
 
+_NULL_EVENTS = _LOGS + """,
+gaps AS (SELECT * REPLACE (CASE WHEN event_id % 17 <> 0 THEN event END AS event) FROM logs),
+placed AS (SELECT *, row_number() OVER w AS position,
+                  list(coalesce(event, '?')) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h
+           FROM gaps WINDOW w AS (PARTITION BY block_id ORDER BY event_time, event_id)),
+windows AS (SELECT block_id, event_id, array_to_string(h, ',') AS history, event AS next_event
+            FROM placed WHERE position > 3)"""
+
 _MATRIX_LABEL = _LOGS + """,
 labelled AS (SELECT block_id, max(CAST(value >= 190 AS INT)) AS label FROM logs GROUP BY block_id)"""
 
@@ -182,7 +190,7 @@ b AS (UNPIVOT ({_TEST_METRICS}) ON COLUMNS(*) INTO NAME metric VALUE testing)
 SELECT a.metric, round(training, 6) AS training, round(testing, 6) AS testing
 FROM a LEFT JOIN b ON a.metric = b.metric""",
     "summary_record": f"""WITH {_KPI}
-SELECT count(*) AS total_records, 4 AS total_columns, count(DISTINCT kpi_id) AS kpi_count,
+SELECT count(*) AS total_records, CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM kpi)) AS INT) AS total_columns, count(DISTINCT kpi_id) AS kpi_count,
        CAST(sum(label) AS BIGINT) AS anomaly_count, CAST(sum(1 - label) AS BIGINT) AS normal_count,
        round(100.0::DOUBLE * sum(label) / count(*), 6) AS anomaly_percentage,
        CASE WHEN least(avg(label), 1 - avg(label)) < 0.01 THEN 'Highly Imbalanced'
@@ -190,7 +198,7 @@ SELECT count(*) AS total_records, 4 AS total_columns, count(DISTINCT kpi_id) AS
             WHEN least(avg(label), 1 - avg(label)) < 0.4 THEN 'Slightly Imbalanced'
             ELSE 'Balanced' END AS class_imbalance,
        min(event_time) AS min_timestamp, max(event_time) AS max_timestamp,
-       count(DISTINCT event_time) AS unique_timestamps FROM kpi_train""",
+       count(DISTINCT event_time) AS unique_timestamps FROM kpi""",
     "descriptive_stats": f"""WITH {_KPI},
 a AS (UNPIVOT ({_STATISTICS.format(table="kpi_train")}) ON COLUMNS(*)
       INTO NAME statistic VALUE training),
@@ -224,25 +232,25 @@ UNION ALL SELECT 'Test', count(*) FROM b""",
 SELECT CASE label WHEN 0 THEN 'Normal' WHEN 1 THEN 'Anomaly' END AS category, count(*) AS records
 FROM kpi_train GROUP BY label""",
     "value_histogram": f"""WITH {_KPI},
-lim AS (SELECT min(value) AS lo, max(value) AS hi FROM kpi_train),
+lim AS (SELECT min(value) AS lo, max(value) AS hi FROM kpi),
 placed AS (SELECT least(CAST(floor((value - lo) * 50 / (hi - lo)) AS INT) + 1, 50) AS bin
-           FROM kpi_train, lim),
+           FROM kpi, lim),
 counted AS (SELECT bin, count(*) AS n FROM placed GROUP BY bin)
 SELECT CAST(g.i AS INT) AS bin, round(lo + (g.i - 1) * ((hi - lo) / 50), 6) AS bin_lo,
        round(lo + g.i * ((hi - lo) / 50), 6) AS bin_hi, coalesce(n, 0) AS frequency
 FROM lim, (SELECT unnest(generate_series(1, 50)) AS i) g LEFT JOIN counted ON counted.bin = g.i""",
-    "box_stats": f"WITH {_KPI}, {_box('kpi_train', False)}",
-    "box_stats_by_kpi": f"WITH {_KPI}, {_box('kpi_train', True)}",
+    "box_stats": f"WITH {_KPI}, {_box('kpi', False)}",
+    "box_stats_by_kpi": f"WITH {_KPI}, {_box('kpi', True)}",
     "lineitem_box_stats_by_kpi": f"WITH {_LINES}, {_box('lines', True)}",
     "kpi_outliers": f"""WITH {_KPI},
 q AS (SELECT kpi_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-      FROM kpi_train GROUP BY kpi_id)
-SELECT t.kpi_id, event_id, value FROM kpi_train t JOIN q ON t.kpi_id = q.kpi_id
+      FROM kpi GROUP BY kpi_id)
+SELECT t.kpi_id, event_id, value FROM kpi t JOIN q ON t.kpi_id = q.kpi_id
 WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
     "series_overlay": f"""WITH {_KPI}
 SELECT kpi_id, CAST(date_trunc('day', event_time) AS TIMESTAMP) AS bucket, min(value) AS min,
        max(value) AS max, round(avg(value), 6) AS avg, max(label) AS flagged
-FROM kpi_train GROUP BY 1, 2""",
+FROM kpi GROUP BY 1, 2""",
     "fused_scores": f"""WITH {_SCORES}
 SELECT event_id, round(kpi_score, 9) AS kpi_score, round(log_score, 9) AS log_score,
        round(score, 9) AS fused FROM fused""",
@@ -323,7 +331,7 @@ SELECT kpi_id, event_time, l_orderkey, l_linenumber, l_partkey, value, lag_1,
        CASE WHEN n = 10 THEN round(s, 4) END AS rolling_std_10 FROM f""",
     "calendar_features": f"""WITH {_KPI}
 SELECT event_id, CAST(hour(event_time) AS INT) AS hour_of_day,
-       CAST(isodow(event_time) - 1 AS INT) AS day_of_week FROM kpi_train""",
+       CAST(isodow(event_time) - 1 AS INT) AS day_of_week FROM kpi""",
     "feature_report": f"WITH {_KPI}, {_FEATURES} " + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, count(*) - count({f}) AS nulls,"
         f" round(CAST(min({f}) AS DOUBLE), 6) AS min, round(CAST(max({f}) AS DOUBLE), 6) AS max"
@@ -369,6 +377,16 @@ likely AS (SELECT history, next_event FROM (
 m AS (SELECT block_id, count(*) FILTER (l.history IS NULL) AS misses
       FROM windows w LEFT JOIN likely l ON w.history = l.history AND w.next_event = l.next_event
       GROUP BY block_id)
+SELECT block_id, misses, CAST(misses > 0 AS INT) AS flagged FROM m""",
+    "log_windows_null_events": f"WITH {_NULL_EVENTS} SELECT * FROM windows",
+    "next_event_misses_null_events": f"""WITH {_NULL_EVENTS},
+counted AS (SELECT history, next_event, count(*) AS n FROM windows GROUP BY 1, 2),
+likely AS (SELECT history, next_event FROM (
+  SELECT *, row_number() OVER (PARTITION BY history ORDER BY n DESC, next_event NULLS FIRST) AS r FROM counted)
+  WHERE r <= 2),
+m AS (SELECT block_id, count(*) FILTER (l.history IS NULL) AS misses
+      FROM windows w LEFT JOIN likely l ON w.history = l.history AND w.next_event IS NOT DISTINCT FROM l.next_event
+      GROUP BY block_id)
 SELECT block_id, misses, CAST(misses > 0 AS INT) AS flagged FROM m""",
     "log_label_distribution": f"""WITH {_MATRIX_LABEL}
 SELECT CASE label WHEN 0 THEN 'Normal' WHEN 1 THEN 'Anomaly' END AS label, count(*) AS count,
@@ -387,3 +405,10 @@ c AS (
             WHERE block_id NOT IN (SELECT block_id FROM labelled))
 SELECT *, violations = 0 AS passed FROM c""",
 }
+
+# The same tables from plans that cut every key into short slices.
+CUT = (
+    "lag_features", "rolling_features", "adaptive_threshold", "anomaly_runs", "box_stats",
+    "box_stats_by_kpi", "descriptive_stats", "roc_auc", "roc_curve", "log_positions", "log_windows",
+)
+ORACLES |= {f"{name}_cut": ORACLES[name] for name in CUT}

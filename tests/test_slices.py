@@ -38,7 +38,7 @@ def rounded(df, *columns, digits=6):
 
 def sliced_features(spark, rows):
     return features.add_series_features(
-        views.kpi_train(spark, SMALL), TIES, rows_per_slice=rows
+        views.kpi(spark, SMALL), TIES, rows_per_slice=rows
     )
 
 
@@ -69,19 +69,19 @@ def anomaly_runs(spark, rows):
 
 def box_stats(spark, rows):
     return rounded(
-        distributions.box_stats(views.kpi_train(spark, SMALL), rows_per_slice=rows), *catalog._BOX
+        distributions.box_stats(views.kpi(spark, SMALL), rows_per_slice=rows), *catalog._BOX
     )
 
 
 def box_stats_by_kpi(spark, rows):
     return rounded(
-        distributions.box_stats_by_kpi(views.kpi_train(spark, SMALL), rows_per_slice=rows),
+        distributions.box_stats_by_kpi(views.kpi(spark, SMALL), rows_per_slice=rows),
         *catalog._BOX,
     )
 
 
 def descriptive_stats(spark, rows):
-    train, test = views.kpi_train(spark, SMALL), views.kpi_test(spark, SMALL)
+    train, test = views.kpi(spark, SMALL), views.kpi_test(spark, SMALL)
     table = profile.descriptive_statistics(train, test, rows_per_slice=rows)
     return rounded(table, "training", "testing")
 
