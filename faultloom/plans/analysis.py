@@ -125,11 +125,14 @@ def summary_statistics(df: DataFrame) -> dict:
     return profile.summary_record(df).first().asDict()
 
 
-def save_all_reports(train: DataFrame, test: DataFrame, directory: str) -> None:
-    """Writes the five CSV reports and the JSON summary of the training table."""
+def save_all_reports(
+    train: DataFrame, test: DataFrame, directory: str, single_file: bool = False
+) -> None:
+    """Writes the five CSV reports and the JSON summary of the training table. ``single_file``
+    makes the report with a row per KPI one file instead of part files."""
     write_report(summary_report(train, test), directory, "dataset_summary")
     write_report(statistics_report(train, test), directory, "descriptive_statistics")
-    write_table(kpi_report(train, test), directory, "kpi_distribution", ["KPI ID"])
+    write_table(kpi_report(train, test), directory, "kpi_distribution", ["KPI ID"], single_file)
     if "label" in train.columns:
         write_report(label_report(train), directory, "anomaly_distribution")
     write_report(timestamp_report(train, test), directory, "timestamp_analysis")
@@ -157,9 +160,18 @@ def staging_folder(spark: SparkSession, report_dir: str) -> str:
     return f"{shared.rstrip('/')}/kpi_series" if shared else f"{report_dir.rstrip('/')}/_series"
 
 
-def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever file system it is, if it exists."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_analysis(
+    spark: SparkSession, data_dir: str, report_dir: str, single_file: bool = False
+) -> bool:
     """Runs the whole analysis. The validation report is written even when validation fails; the
-    profile and chart tables only follow when both tables are valid."""
+    profile and chart tables only follow when both tables are valid. ``single_file``: reports with
+    a row per KPI as one file each. The staged tables are removed at the end."""
     loaded = load_both(spark, data_dir, as_text=True)
     for error in loaded.errors:
         log.error("%s", error)
@@ -170,23 +182,28 @@ def run_analysis(spark: SparkSession, data_dir: str, report_dir: str) -> bool:
     test_result = quality.validate(loaded.test_df, labelled=False)
     train, test = loaded.train_df, loaded.test_df
     complete = all(set(UNLABELLED_COLUMNS) <= set(df.columns) for df in (train, test))
-    if complete:
-        folder = f"{staging_folder(spark, base)}/{uuid.uuid4().hex}"
-        train = stage(to_series(train), folder, "train")
-        test = stage(to_series(test), folder, "test")
-    ids = quality.compare_kpi_ids(train, test, "kpi_id" if complete else KPI_ID)
-    quality.write_validation_report(
-        spark, train_result, test_result, ids, f"{base}/validation_report.txt"
-    )
-    for result in (train_result, test_result):
-        log.info("%s", result.summary())
-    if not (train_result.is_valid and test_result.is_valid):
-        return False
-
-    save_all_reports(train, test, base)
-    for name, frame in distributions.all_distributions(train, test).items():
-        if "kpi_id" in frame.columns:
-            write_table(frame, f"{base}/plots", name, ["kpi_id"])
-        else:
-            write_report(frame, f"{base}/plots", name)
-    return True
+    folder = f"{staging_folder(spark, base)}/{uuid.uuid4().hex}"
+    try:
+        if complete:
+            train = stage(to_series(train), folder, "train")
+            test = stage(to_series(test), folder, "test")
+        ids = quality.compare_kpi_ids(train, test, "kpi_id" if complete else KPI_ID)
+        for name in ("train", "test", "overlap", "new"):
+            write_table(ids[f"{name}_df"], base, f"kpi_ids_{name}", ["kpi_id"], single_file)
+        quality.write_validation_report(
+            spark, train_result, test_result, ids, f"{base}/validation_report.txt"
+        )
+        for result in (train_result, test_result):
+            log.info("%s", result.summary())
+        if not (train_result.is_valid and test_result.is_valid):
+            return False
+
+        save_all_reports(train, test, base, single_file)
+        for name, frame in distributions.all_distributions(train, test).items():
+            if "kpi_id" in frame.columns:
+                write_table(frame, f"{base}/plots", name, ["kpi_id"], single_file)
+            else:
+                write_report(frame, f"{base}/plots", name)
+        return True
+    finally:
+        remove(spark, folder)

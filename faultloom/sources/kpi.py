@@ -27,6 +27,12 @@ MISSING_TEXTS = (
 )
 
 
+# Limits of what a bare number means as a time: the year 5138 in seconds, and the first year of a
+# date without separators.
+MOST_SECONDS = 1e11
+FIRST_YEAR = 1900
+
+
 class LoadResult(NamedTuple):
     train_df: DataFrame | None
     test_df: DataFrame | None
@@ -101,16 +107,23 @@ def whole_number(df: DataFrame, column: str) -> Column:
 
 
 def instant(df: DataFrame, column: str) -> Column:
-    """Epoch seconds (numeric or text) and ISO texts as timestamps."""
+    """Epoch seconds or milliseconds (numeric or text) and ISO texts as timestamps.
+
+    A text of eight digits that reads as a date from ``FIRST_YEAR`` on is one (``20210102``);
+    numbers beyond ``MOST_SECONDS`` are milliseconds."""
     c = F.col(f"`{column}`")
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(kind, T.DateType):
         return c.cast("timestamp")
-    epoch = F.timestamp_seconds(number(df, column))
+    n = number(df, column)
+    epoch = F.timestamp_seconds(F.when(F.abs(n) > MOST_SECONDS, n / 1000).otherwise(n))
     if isinstance(kind, T.StringType):
-        return F.coalesce(epoch, F.try_to_timestamp(c))
+        text = F.trim(c)
+        day = F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        day = F.when(F.year(day) >= FIRST_YEAR, day)
+        return F.coalesce(day, epoch, F.try_to_timestamp(c))
     return epoch
 
 

@@ -1,6 +1,6 @@
 """Report sinks. Every report is computed once. Reports of a few rows become one file with the
-report's name; reports with a row per KPI do so only if the rows that were written turn out to be
-few, and otherwise stay a directory of part files under that name."""
+report's name; reports with a row per KPI are a directory of part files unless one file is asked
+for."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-SINGLE_FILE_ROWS = 100_000
-
 
 def _hadoop(df: DataFrame):
     spark = df.sparkSession
@@ -37,25 +35,16 @@ def write_report(df: DataFrame, directory: str, name: str) -> None:
 
 
 def write_table(
-    df: DataFrame,
-    directory: str,
-    name: str,
-    order: Sequence[str],
-    single_file_rows: int = SINGLE_FILE_ROWS,
+    df: DataFrame, directory: str, name: str, order: Sequence[str], single_file: bool = False
 ) -> None:
-    """A report with any number of rows as ``directory/name.csv``, sorted by ``order``. It is
-    written in parallel first; its measured size then decides between one file and part files."""
-    base = str(directory).rstrip("/")
-    staging = f"{base}/_{name}.rows"
-    df.write.mode("overwrite").parquet(staging)
-    rows = df.sparkSession.read.parquet(staging)
-    if rows.count() <= single_file_rows:
-        _promote(rows.orderBy(*order), directory, f"{name}.csv", "csv")
+    """A report with any number of rows, sorted by ``order``: a directory of part files
+    ``directory/name.csv``, or, if the caller asks for it, one file of that name. The form never
+    depends on the number of rows."""
+    if single_file:
+        _promote(df.orderBy(*order), directory, f"{name}.csv", "csv")
     else:
-        rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(f"{base}/{name}.csv")
-    files, conf = _hadoop(df)
-    path = files.Path(staging)
-    path.getFileSystem(conf).delete(path, True)
+        target = f"{str(directory).rstrip('/')}/{name}.csv"
+        df.orderBy(*order).write.mode("overwrite").option("header", True).csv(target)
 
 
 def write_json_object(df: DataFrame, directory: str, name: str) -> None:

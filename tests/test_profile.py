@@ -139,7 +139,7 @@ def test_whole_analysis(spark, train, test, tmp_path):
         pdf = pdf.rename(columns={"event_time": "timestamp", "kpi_id": "KPI ID"})
         order = [c for c in ("timestamp", "value", "label", "KPI ID") if c in pdf]
         pdf[order].to_csv(data / f"{name}.csv", index=False)
-    assert analysis.run_analysis(spark, str(data), str(out)) is True
+    assert analysis.run_analysis(spark, str(data), str(out), single_file=True) is True
 
     summary = pd.read_csv(out / "dataset_summary.csv", dtype=str)
     assert list(summary.columns) == ["Metric", "Training", "Testing"]

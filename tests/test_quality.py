@@ -58,13 +58,13 @@ def test_empty_table_has_no_violations(spark, train):
 
 
 def test_kpi_id_comparison(spark, train, test):
-    ids = quality.compare_kpi_ids(train, test)
+    ids = quality.compare_kpi_ids(train, test, lists=True)
     assert ids["train_kpi_ids"] == ["KPI-1"] and ids["train_kpi_count"] == 1
     assert ids["test_kpi_ids"] == ["KPI-1", "KPI-2"] and ids["test_kpi_count"] == 2
     assert ids["overlap_kpi_ids"] == ["KPI-1"] and ids["new_kpi_ids"] == ["KPI-2"]
-    few = quality.compare_kpi_ids(train, test, listed=1)
-    assert few["test_kpi_ids"] is None and few["test_kpi_count"] == 2
-    assert [r[0] for r in few["test_df"].collect()] == ["KPI-1", "KPI-2"]
+    plain = quality.compare_kpi_ids(train, test)
+    assert "test_kpi_ids" not in plain and plain["test_kpi_count"] == 2
+    assert [r[0] for r in plain["test_df"].collect()] == ["KPI-1", "KPI-2"]
 
 
 def test_report_text(spark, train, test, tmp_path):
@@ -74,7 +74,7 @@ def test_report_text(spark, train, test, tmp_path):
         quality.compare_kpi_ids(train, test), str(path),
     )
     text = path.read_text()
-    for part in ("VALIDATION REPORT", "TRAINING", "TEST", "Checks Passed: 7/7", "['KPI-1']"):
+    for part in ("VALIDATION REPORT", "TRAINING", "TEST", "Checks Passed: 7/7", "table kpi_ids_new"):
         assert part in text
     assert "1 test KPI IDs are not in the training set" in text
 

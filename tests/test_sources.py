@@ -81,16 +81,26 @@ def test_epochs_isos_and_bad_fields(spark, tmp_path):
     ]
 
 
-def test_large_report_stays_in_parts(spark, tmp_path):
-    write_table(spark.range(10).repartition(3), str(tmp_path), "big", ["id"], single_file_rows=5)
-    assert (tmp_path / "big.csv").is_dir()
-    assert spark.read.option("header", True).csv(str(tmp_path / "big.csv")).count() == 10
-    write_table(spark.range(3).repartition(3), str(tmp_path), "small", ["id"])
-    write_report(spark.range(3), str(tmp_path), "few")
-    for name in ("small", "few"):
-        assert (tmp_path / f"{name}.csv").read_text().split() == ["id", "0", "1", "2"]
-    assert sorted(p.name for p in tmp_path.iterdir() if p.name[0] != ".") == [
-        "big.csv", "few.csv", "small.csv"]
+@pytest.mark.parametrize("rows", [3, 10])
+def test_the_form_of_a_report_does_not_depend_on_its_size(spark, tmp_path, rows):
+    table = spark.range(rows).repartition(3)
+    write_table(table, str(tmp_path), "parts", ["id"])
+    write_table(table, str(tmp_path), "one", ["id"], single_file=True)
+    write_report(table.orderBy("id"), str(tmp_path), "few")
+    assert (tmp_path / "parts.csv").is_dir()
+    assert spark.read.option("header", True).csv(str(tmp_path / "parts.csv")).count() == rows
+    for name in ("one", "few"):
+        assert (tmp_path / f"{name}.csv").read_text().split() == ["id", *map(str, range(rows))]
+
+
+def test_numbers_and_dates_as_times(spark):
+    from faultloom.sources.kpi import instant
+
+    rows = [("20210102",), ("1609545600",), ("1609545600000",), ("2021-01-02",), ("00000001",), ("x",)]
+    df = spark.createDataFrame(rows, "timestamp string")
+    got = [r[0] for r in df.select(instant(df, "timestamp")).collect()]
+    day = datetime.datetime(2021, 1, 2)
+    assert got == [day, day, day, day, datetime.datetime(1970, 1, 1, 0, 0, 1), None]
 
 
 def test_log_files(spark, tmp_path):
