@@ -124,7 +124,7 @@ def _blocks(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, ite
     rows = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t")).where("id is not null and t is not null")
     last = None
     while True:
-        block = (rows if last is None else rows.where(F.struct("id", "t") > F.struct(F.lit(last[0]), F.lit(last[1])))).distinct().orderBy("id", "t").limit(ITEMS).collect()
+        block = (rows if last is None else rows.where((F.col("id") > last[0]) | ((F.col("id") == last[0]) & (F.col("t") > F.lit(last[1]))))).distinct().orderBy("id", "t").limit(ITEMS).collect()
         if not block:
             return
         last = (block[-1]["id"], block[-1]["t"])
