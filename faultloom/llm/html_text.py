@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import ship
+from faultloom.llm.common import partitions, ship
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -149,16 +150,18 @@ def main_text(mine: list[tuple[str, str]], other: list[tuple[str, str]]) -> tupl
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, block, path, html) sorted by block and path: three pages are held at a time."""
+    """Rows (page_id, url, host, path, html, own) in the order of all pages, three held at a time; only own pages give a row."""
     before = current = None
     out: list[tuple] = []
 
     def done(page: tuple, last: tuple | None, following: tuple | None) -> None:
+        if not page[5]:
+            return
         near: tuple | None = None
         for other in (last, following):
             if other is not None and other[2] == page[2] and (near is None or _common(page[3], other[3]) > _common(page[3], near[3])):
                 near = other
-        text, n = main_text(page[4], near[4] if near else [])
+        text, n = main_text(page[6], near[6] if near else [])
         out.append((page[0], page[1], text, len(text), n, near[0] if near else None))
 
     def batch_of() -> pa.RecordBatch:
@@ -168,8 +171,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "text", "n_chars", "n_shared", "near_id"])
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            page = (*row[:4], lines(row[4] or ""))
+        for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            page = (*row, lines(row[4] or ""))
             if current is not None:
                 done(current, before, page)
             before, current = current, page
@@ -180,6 +183,37 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
+_ORDER = ("host", "path", "page_id", "url", "tie")
+
+
+def _key(host: str, path: str, page_id: int | None, url: str | None, tie: int) -> tuple:
+    """Orders pages as Spark orders the columns of _ORDER: NULL first."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", tie
+
+
+def _deal(first: list[tuple], last: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds range and own to rows (*_ORDER, html): every page goes to its range, and the first and last page of
+    a range also to the range before or after it, not as its own. first, last: keys of the ranges, in order."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple] = set()  # equal pages are lent once a task
+        for batch in batches:
+            rows, ranges, own = [], [], []
+            for i, key in enumerate(map(_key, *(batch.column(k).to_pylist() for k in range(5)))):
+                k = max(bisect_right(first, key) - 1, 0)
+                to = [k]
+                if key not in sent and (key == first[k] or key == last[k]):
+                    sent.add(key)
+                    to += [k - 1] * (key == first[k] and k > 0) + [k + 1] * (key == last[k] and k + 1 < len(first))
+                rows += [i] * len(to)
+                ranges += to
+                own += [True] + [False] * (len(to) - 1)
+            dealt = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.array(ranges, pa.int32()), pa.array(own, pa.bool_())], names=[*_ORDER, "html", "range", "own"])
+
+    return deal
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points), n_shared, near_id.
 
@@ -191,31 +225,27 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Shared lines inside an article element stay: pages with equal or similar articles would lose them.
 
-    A host with more pages than `limit` is split by all of the path but its last two characters, and a path with
-    more pages than that by page, so neighbours in the order stay together and no task gets a host whole. As
-    the limit is at least a 100,000th of all pages, fewer than 100,000 hosts and paths exceed it, and the tables
-    of these, which are broadcast, are bounded.
+    All pages are in one order (host, path, page_id, url, hash of html), cut into ranges of about equal size, so
+    no task gets a host whole; only rows that agree in all of these share a range. The first and last page of a
+    range are lent to the ranges beside it, so the pairs do not depend on where ranges are cut. The driver gets
+    these two keys of every range.
 
     NULL html is an empty page (empty text); a NULL or odd URL belongs to the host '' . Rows that repeat an
     identifier are separate pages. Other columns are ignored; an empty table gives no rows.
     """
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
         F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("stem", F.expr("substring(path, 1, greatest(length(path) - 2, 0))"))
-    stems = rows.groupBy("host", "stem").agg(F.count("*").alias("n"))
-    limit = max(256, (stems.agg(F.sum("n")).first()[0] or 0) / 100_000)
-    parts = F.ceil(F.col("n") / limit)
-    hosts = stems.groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("host", parts.alias("host_parts"))
-    paths = stems.where(F.col("n") > limit).select("host", "stem", parts.alias("path_parts"))
-    placed = rows.join(F.broadcast(hosts), "host", "left").join(F.broadcast(paths), ["host", "stem"], "left")
-    salt = F.when(F.col("host_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("stem"), F.col("host_parts")))
-    again = F.when(F.col("path_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id"), F.col("path_parts")))
-    placed = placed.select("page_id", "url", F.concat_ws(" ", "host", salt.cast("string"), F.when(F.col("path_parts").isNull(), F.lit("")).otherwise(F.col("stem")), again.cast("string")).alias("block"), "path", "html")
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "block").sortWithinPartitions("block", "path", "page_id").mapInArrow(
+    rows = rows.withColumn("tie", F.xxhash64("html")).select(*_ORDER, "html")
+    key = F.struct(*_ORDER)
+    cuts = rows.select(*_ORDER).repartitionByRange(partitions(spark), *_ORDER).groupBy(F.spark_partition_id().alias("k")).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    first, last = (sorted(_key(*r[c]) for r in cuts) for c in ("first", "last"))
+    dealt = rows.mapInArrow(_deal(first or [()], last or [()]), "host string, path string, page_id long, url string, tie long, html string, range int, own boolean")
+    placed = dealt.repartitionById(max(len(cuts), 1), F.col("range")).sortWithinPartitions("range", *_ORDER)
+    return placed.select("page_id", "url", "host", "path", "html", "own").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long, n_shared long, near_id long")

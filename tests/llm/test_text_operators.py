@@ -1,6 +1,7 @@
 """The operators against brute force, on odd inputs, and on empty tables."""
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 
@@ -453,6 +454,32 @@ def test_text_of_pages(spark):
     assert html_text.extract_text(df).count() == len(rows) and html_text.extract_text(df.limit(0)).count() == 0
 
 
+def plain_pairs(rows):
+    """near_id of every page from a plain sort by host, path and identifier."""
+    order = sorted((url.split("/")[2], url[len("http://") + len(url.split("/")[2]) :], i) for i, url, _ in rows)
+    out = {}
+    for k, (host, path, i) in enumerate(order):
+        beside = [o for o in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) if o and o[0] == host]
+        out[i] = max(beside, key=lambda o: len(os.path.commonprefix([path, o[1]])))[2] if beside else None
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "13", "400"])
+def test_pages_of_a_large_host_have_the_neighbours_of_a_plain_sort(spark, parts):
+    rng = np.random.default_rng(5)
+    page = "<body><div>Head {0}</div><p>Own {1}</p></body>"
+    urls = [f"http://hot.x/en/{n}.html" for n in rng.permutation(6000)[:200]] + [f"http://hot.x/s/{''.join(rng.choice(list('abcdef'), 9))}-{n}" for n in range(150)]
+    urls += [f"http://h{n}.x/a/{k}" for n in range(8) for k in range(n)]
+    rows = [(int(i), u, page.format(i % 3, i)) for i, u in zip(rng.permutation(len(urls)), urls)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows) and {r["page_id"]: r["near_id"] for r in got} == plain_pairs(rows)
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(300):
