@@ -19,11 +19,11 @@ PATTERNS = {
 }
 #: A term: a word that begins with a letter, with nothing of a word on either side.
 TERM = r"(?<=[^\p{L}\p{N}_'-])\p{L}[\p{L}\p{N}_'-]*+(?=[^\p{L}\p{N}_'-])"
-#: Characters before and after an entity whose whole words are its context.
-CONTEXT = 64
 #: A term discloses an entity if both meet in at least so many documents, and if seeing the term gives away at
 #: least this share of the entity's information content.
 MIN_TOGETHER, DISCLOSURE = 2, 0.8
+#: Terms up to this number are broadcast to the documents; more are joined by a shuffle, with the same result.
+BROADCAST_TERMS = 200_000
 
 SPAN = "struct<start:int,rank:int,end:int,match:string>"
 
@@ -72,14 +72,37 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The terms around a span, in lower case, with their places. text: with a space added at both ends."""
-    before = F.greatest(span["start"] + 1 - CONTEXT, F.lit(0))
-    left = F.substr(text, before + 1, span["start"] + 1 - before)
-    right = F.substr(text, span["end"] + 2, F.lit(CONTEXT))
-    # A word that ends where the entity begins is no whole word, nor is one that the context cuts.
-    both = F.concat(_spans(F.concat(left, F.lit("0")), TERM, len(KINDS), before - 1), _spans(F.concat(F.lit("0"), right), TERM, len(KINDS), span["end"] - 1))
-    return F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.lower(s["match"]).alias("match")))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Array of spans wherever one of the terms (in lower case) stands."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    words = F.regexp_extract_all(padded, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(padded, TERM), F.lit(1), F.size(words)), words, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
+    begin = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + pair["gap"]
+        end = start + F.length(pair["match"])
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), F.lower(pair["match"]).alias("match"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(pair["match"])), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(pairs, begin, step)["spans"]
+
+
+def _outside(spans: Column) -> Column:
+    """Sorted spans without the terms that begin inside a span of a pattern."""
+    begin = F.struct(F.lit(0).alias("reach"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        pattern = s["rank"] < len(KINDS)
+        kept = F.when(pattern | (s["start"] >= acc["reach"]), F.concat(acc["spans"], F.array(s))).otherwise(acc["spans"])
+        return F.struct(F.when(pattern, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach"), kept.alias("spans"))
+
+    return F.aggregate(spans, begin, step)["spans"]
 
 
 def _listed(spans: Column) -> Column:
@@ -105,10 +128,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   disclosure: float = DISCLOSURE) -> DataFrame:
     """Per document: doc_id, uid (hash of identifier and text), spans (array of start, rank, end, match) and base (those of the patterns).
 
-    Protected entities are the values the patterns find. A term t near an entity c tells log2 of
-    p(t, c) / (p(t) p(c)) bits about it, of the log2 of 1 / p(c) bits there are; probabilities are shares of all
-    documents, p(t) of those that contain the term anywhere. Terms above the threshold get a span of kind
-    "term" wherever they stand near that entity.
+    Protected entities are the values the patterns find. A term t tells log2 of p(t, c) / (p(t) p(c)) bits about
+    an entity c, of the log2 of 1 / p(c) bits there are; probabilities are shares of all documents, those that
+    contain the term, the entity, or both anywhere. Every occurrence of a term above the threshold gets a span of
+    kind "term", in all documents, but not inside a span of a pattern.
+
+    Entities of the same documents are counted as one. A term of n documents can only tell enough about an entity
+    of m if n <= N ** (1 - disclosure) * m ** disclosure, as both meet in at most m; other terms are left out
+    before they are paired, which changes no result.
 
     NULL texts count as empty; rows that agree in identifier and text share one result. Other columns are
     ignored; an empty table gives no rows. Only DataFrame functions are used.
@@ -116,25 +143,34 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "t"))
-    padded = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
-    found = rows.select("doc_id", "uid", "t", base_spans(F.col("t")).alias("base"))
-    found = staged(found.select("doc_id", "uid", "base", F.transform("base", lambda s: F.struct(
-        F.concat(s["rank"].cast("string"), F.lit(":"), s["match"]).alias("entity"), _context(padded, s).alias("terms"))).alias("near")))
-
-    entities = found.where(F.size("near") > 0).select("uid", F.explode("near").alias("e")).select("uid", "e.entity", F.explode_outer("e.terms").alias("term"))
-    pairs = entities.where("term is not null").groupBy("entity", F.col("term.match").alias("term"), "uid").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= together)
-    of_entity = entities.select("entity", "uid").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(padded), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.count()
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    told = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    disclosing = pairs.join(of_entity, "entity").join(of_term, "term").where((content > 0) & (told >= content * disclosure)).select("entity", "term")
-
-    places = entities.where("term is not null").select("uid", "entity", F.col("term.match").alias("term"), F.col("term").alias("span"))
-    added = places.join(disclosing, ["entity", "term"]).groupBy("uid").agg(F.collect_set("span").alias("added"))
+    found = staged(rows.select("doc_id", "uid", base_spans(F.col("t")).alias("base"), "t").select(
+        "doc_id", "uid", "base", F.when(F.size("base") > 0, _terms(F.col("t"))).alias("terms")))
+
+    holding = found.where(F.size("base") > 0)
+    value = F.array_distinct(F.transform("base", lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), s["match"])))
+    values = holding.select("uid", F.explode(value).alias("entity")).groupBy("entity", "uid").agg(F.count("*").alias("times"))
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "uid").cast("decimal(20,0)"))
+    sets = values.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count("*").alias("n_docs"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("n_docs") >= together)
+    sets = staged(values.join(sets, "entity").select(F.struct("n_entity", "a", "b").alias("set"), "n_entity", "uid", "times").distinct())
+
+    words = rows.select("uid", F.explode(_terms(F.col("t"))).alias("term"))
+    total = F.lit(float(max(rows.count(), 1)))
+    # A little above the bound, for rounding: told and content decide.
+    bound = lambda m: F.pow(total, F.lit(1 - disclosure)) * F.pow(m, F.lit(disclosure)) * 1.001
+    most = F.lit(float(sets.agg(F.max("n_entity")).first()[0] or 0))
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).where((F.col("n_term") >= together) & (F.col("n_term") <= bound(most)))
+    near = holding.select("uid", F.explode("terms").alias("term")).join(of_term, "term").join(sets, "uid").where(F.col("n_term") <= bound(F.col("n_entity")))
+    pairs = near.groupBy("set", "term").agg(
+        F.count("*").alias("n_both"), F.round(F.sum(1 / F.col("times"))).alias("n_docs"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    content = F.log2(total / F.col("n_entity"))
+    told = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    disclosing = staged(pairs.where((F.col("n_docs") >= together) & (content > 0) & (told >= content * disclosure)).select("term").distinct())
+
+    few = disclosing.count() <= BROADCAST_TERMS
+    holders = words.join(F.broadcast(disclosing) if few else disclosing, "term").groupBy("uid").agg(F.collect_set("term").alias("terms"))
+    added = rows.select("uid", "t").join(holders, "uid").select("uid", _term_spans(F.col("t"), F.col("terms")).alias("added")).dropDuplicates(["uid"])
     out = found.select("doc_id", "uid", "base").join(added, "uid", "left")
-    return out.select("doc_id", "uid", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    return out.select("doc_id", "uid", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(_outside(F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))))).alias("spans"))
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -305,6 +305,19 @@ def test_terms_that_disclose_an_entity_are_added(spark, odd, none):
     assert pii.personal_data(odd).count() == len(ODD) and pii.personal_data(none).count() == 0
 
 
+def test_terms_far_from_their_entity_and_without_it_are_spanned(spark):
+    far = "plain words common here " * 8
+    rows = [(i, f"report {i} {far}") for i in range(60)]
+    rows += [(100 + i, f"Zebulon {far} +1 555 123 4567 {far} zebulon") for i in range(4)]
+    rows += [(200, f"{far} ZEBULON"), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs.unionByName(docs.where("doc_id = 0"))).collect()}
+    for d, t in rows:
+        want = [m.span() for m in re.finditer("zebulon", t or "", re.I)]
+        assert [(s["start"], s["end"]) for s in spans[d] if s["rank"] == 4] == want, d
+    assert "zebulon" not in pii.sanitised(docs.where("doc_id <> 201")).where("doc_id >= 100").selectExpr("lower(string_agg(text))").first()[0]
+
+
 # licenses
 
 
