@@ -23,7 +23,10 @@ _TAG = re.compile(
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 # Element names of HTML by what they mean for the text.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "template", "textarea", "title", "iframe"}
+FOREIGN = {"svg", "math"}
+#: Elements of FOREIGN that are never shown.
+UNSEEN = {"desc", "metadata", "annotation", "annotation-xml"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 MAIN = {"article", "main"}
 BLOCKS = {
@@ -47,6 +50,7 @@ def lines(page: str) -> list[tuple[str, str]]:
     held: list[str] = []
     open_: list[tuple[str, int, bool]] = []  # name, dropped, main
     dropped = main = 0
+    foreign: list[str] = []  # open svg, math and foreignobject elements
 
     def flush() -> None:
         if held:
@@ -77,22 +81,32 @@ def lines(page: str) -> list[tuple[str, str]]:
         if tag["close"] or tag["close2"]:
             if name in BLOCKS:
                 flush()
+            if name in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(name) :]
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
                     close(k)
                     break
             continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        empty = (tag["attrs"] or "").endswith("/")
+        within = bool(foreign) and foreign[-1] in FOREIGN
+        if name in RAW or (within and name in UNSEEN):
+            if within and empty:
+                continue
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else at if name in UNSEEN else len(page)
             continue
-        if name == "br":
+        if (name in FOREIGN or (within and name == "foreignobject")) and not empty:
+            foreign.append(name)
+        elif within and name in BLOCKS:  # HTML ends an open svg or math
+            foreign.clear()
+        if name == "br" or (within and name == "text"):
             held.append(" ")
         if name in BLOCKS:
             flush()
             if open_ and open_[-1][0] == "p":  # a block ends an open paragraph
                 close(len(open_) - 1)
-        if name in VOID or (tag["attrs"] or "").endswith("/"):
+        if name in VOID or empty:
             continue
         marks = {w for m in _MARK.findall(tag["attrs"] or tag["attrs2"] or "") for w in re.split(r"[^a-z0-9]+", m.lower())}
         away = int(name in DROPPED or (name == "header" and not main) or (name not in ("html", "body") and bool(marks & MARKS)))

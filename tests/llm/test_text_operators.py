@@ -467,6 +467,16 @@ def test_text_of_pages(spark):
     assert html_text.extract_text(df).count() == len(rows) and html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>one</p><svg/><p>two</p>", ["one", "two"]), ('<p>one <svg class="i"/>x</p><math/><p>two</p>', ["one x", "two"]),
+    ("<p>a<math><mi>x</mi><annotation>tex</annotation></math>b</p>", ["axb"]), ("<svg><title>t</title><style/><desc>d</desc><path/></svg><p>two</p>", ["two"]),
+    ("<svg><p>one</p><script>no()</script><p>two</p>", ["one", "two"]), ("<noscript><p>one</p></noscript><object><p>two</p></object><canvas>three</canvas>", ["one", "two", "three"]),
+    ("<p>one</p><style>no</style><template><p>no</p></template><p>two</p>", ["one", "two"]),
+])
+def test_only_what_is_never_shown_is_skipped(page, want):
+    assert [t for _, t in html_text.lines(f"<article>{page}</article>")] == want
+
+
 def plain_pairs(rows):
     """near_id of every page from a plain sort by host, path and identifier."""
     order = sorted((url.split("/")[2], url[len("http://") + len(url.split("/")[2]) :], i) for i, url, _ in rows)
