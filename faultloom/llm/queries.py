@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.llm import (
-    decontaminate, exact_dedup, html_text, labelled, licenses, mixing, near_dedup, pii, quality_knn, substring, toxicity,
+    decontaminate, divergence, exact_dedup, html_text, importance, labelled, licenses, mixing, near_dedup, pii, quality_knn, simhash,
+    substring, toxicity,
 )
 
 
@@ -63,6 +64,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20, texts=False)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"), n=4, radius=4, seed=42)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.importance_sample(docs, target, percent=10, least_words=20, buckets=10_000, max_n=1, seed="2024")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": op1_quality_knn,
     "op2_toxicity": op2_toxicity,
@@ -74,4 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
