@@ -22,7 +22,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _shared_folder(spark: SparkSession) -> None:
+    """Where no folder is named, a local session gets a temporary one; executors of a cluster could not share it."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
 
 

@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # The label of the label; every label is a node and so has a row.
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        labels = staged(labels.join(up, "component").select("id", F.col("up").alias("component")))
+        # Dealt out by node again: most nodes may have one label, and their rows would stay where they met it.
+        labels = staged(labels.join(up, "component").select("id", F.col("up").alias("component")).repartition("id"))
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other")
         best = near.groupBy("id").agg(F.min("near").alias("near"))
         lower = labels.join(best, "id").select(

@@ -18,8 +18,6 @@ SEED, MATCH, MISMATCH, GAP, THRESHOLD = 3, 2, -1, -1, 0.5
 RARE = 1e-7
 #: Test items of one pass over the documents, which bounds what is broadcast.
 ITEMS = 5_000
-#: From so many rare seeds an item on, one seed alone starts no alignment.
-SINGLE = 8
 
 _OTHER = np.ones(256, dtype=bool)
 _OTHER[ord("0") : ord("9") + 1] = False
@@ -42,7 +40,7 @@ class Items:
     def __init__(self, ids: list[int], words: list[np.ndarray], vocabulary: np.ndarray, counts: np.ndarray, total: int):
         self.ids, self.words = ids, words
         share = {int(w): (int(c) + 1) / (total + 1) for w, c in zip(vocabulary, counts)}
-        seeds, owners, offsets, self.rare = [], [], [], []
+        seeds, owners, offsets = [], [], []
         for k, w in enumerate(words):
             n = min(SEED, len(w))
             h = gram_hashes(w, n, seed=0 if n == SEED else n)
@@ -53,7 +51,6 @@ class Items:
             seeds.append(h[rare])
             owners.append(np.full(len(rare), k))
             offsets.append(rare)
-            self.rare.append(len(rare))
         seed, owner, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (seeds, owners, offsets))
         order = np.argsort(seed, kind="stable")
         self.seed, self.owner, self.offset = seed[order].astype(np.uint64), owner[order], offset[order]
@@ -95,7 +92,7 @@ def _found(words: np.ndarray, bounds: np.ndarray, items: Items, threshold: float
     row, owner = row_of[at], items.owner[entry]
     begin = at - items.offset[entry]
     order = np.lexsort((begin, owner, row))
-    row, owner, begin = row[order], owner[order], begin[order]
+    row, owner, begin, at = row[order], owner[order], begin[order], at[order]
     lengths = np.array([len(w) for w in items.words] or [0])
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - begin[:-1] > lengths[owner[1:]])
@@ -104,16 +101,19 @@ def _found(words: np.ndarray, bounds: np.ndarray, items: Items, threshold: float
     for a, b in zip(firsts, np.append(firsts[1:], len(row))):
         k, r = int(owner[a]), int(row[a])
         item = items.words[k]
-        if b - a < 2 and items.rare[k] >= SINGLE:
-            continue
         pad = len(item) // 4 + 2
-        lo = max(int(begin[a]) - pad, int(bounds[r]))
-        hi = min(int(begin[b - 1]) + len(item) + pad, int(bounds[r + 1]))
-        best, end = align(item, words[lo:hi])
-        score = best / (MATCH * len(item))
-        if score >= threshold:
-            _, back = align(item[::-1], words[lo : lo + end][::-1])
-            out.append((r, k, score, lo + end - back - int(bounds[r]), back))
+        seeds = np.sort(at[a:b])
+        parts = [(max(int(begin[a]) - pad, int(bounds[r])), min(int(begin[b - 1]) + len(item) + pad, int(bounds[r + 1])))]
+        while parts:  # the best passage, then what is left before and after it, as long as seeds lie there
+            lo, hi = parts.pop()
+            if hi - lo < threshold * len(item) or np.searchsorted(seeds, lo) == np.searchsorted(seeds, hi):
+                continue
+            best, end = align(item, words[lo:hi])
+            score = best / (MATCH * len(item))
+            if score >= threshold:
+                _, back = align(item[::-1], words[lo : lo + end][::-1])
+                out.append((r, k, score, lo + end - back - int(bounds[r]), back))
+                parts += [(lo, lo + end - back), (lo + end, hi)]
     return out
 
 
@@ -165,12 +165,15 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, threshold: float = THRE
     rare: the product of their words' frequencies, counted over the whole corpus, is below RARE (so a passage
     planted many times stays rare). Where a document has seeds of an item on nearby diagonals, the passage
     around them is aligned with the item; score is the Smith-Waterman score (match 2, mismatch and gap -1) as
-    a share of the item's perfect score, so changed, added and dropped words each cost their part. A document
-    may hold several passages of one item; each is a row.
+    a share of the item's perfect score, so changed, added and dropped words each cost their part. Every seed
+    starts an alignment, a single one too. A document may hold several passages of one item, also back to back;
+    each is a row: beside the best one, the words before and after it are aligned again as long as they hold
+    seeds and reach the threshold. Of equally good alignments the one that ends first counts.
 
     Items go to the tasks in blocks of bounded size, one pass over the documents each; no rows are shuffled.
     NULL or empty texts and items match nothing, equal items match alike; items without identifier are
-    ignored, documents without one are reported with NULL. Other columns are ignored.
+    ignored, documents without one are reported with NULL. Texts are read whole, very long ones in a slice of
+    their own; repeated rows give their rows each. Empty tables give no rows. Other columns are ignored.
     """
     out = None
     for sent in _blocks(docs, items, text_col, item_col, item_text_col):

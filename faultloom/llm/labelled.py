@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_cl
     """(id, y, t) of at most per_class rows of each label that satisfy `train`, and the counts of all of them.
 
     Rows are taken in the order of a hash of the identifier, so the sample does not depend on partitions. An
-    identifier with several labels counts with the smallest; labels other than 0 and 1 are ignored.
+    identifier with several labels counts with the smallest; labels other than 0 and 1 are ignored. Of rows that
+    share an identifier one is taken, by a hash of the text; copies fold before they are shuffled.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(
         F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
@@ -27,4 +28,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_cl
     counts = {int(r["y"]): int(r["count"]) for r in ids.groupBy("y").count().collect()}
     order = [F.xxhash64("id"), F.col("id")]
     chosen = [ids.where(F.col("y") == y).dropDuplicates(["id"]).orderBy(*order).limit(per_class) for y in (0, 1)]
-    return rows.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "y", "t"), counts
+    found = rows.join(F.broadcast(chosen[0].union(chosen[1])), "id")
+    one = found.groupBy("id").agg(F.min("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
+    return one.select("id", "y", "t"), counts

@@ -404,9 +404,31 @@ def test_items_beyond_a_block_are_all_sought(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["n_words"]) for r in got) == [(i, i, 1, 12) for i in range(5)]
 
 
+def test_one_seed_is_enough_and_repeated_passages_are_rows(spark):
+    item = [f"q{k}" for k in range(15)]
+    changed = [f"new{k}" if k in (3, 6, 9, 12) else w for k, w in enumerate(item)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(["x", *changed, "y"])), (2, " ".join(["x", *item, *item, "y"])), (3, " ".join(item * 4)), (4, "nothing of it at all")],
+        "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = sorted((r["doc_id"], r["first_word"], r["n_words"], r["score"]) for r in decontaminate.benchmark_matches(docs, items).collect())
+    assert got == [(1, 1, 15, (22 - 4) / 30), (2, 1, 15, 1.0), (2, 16, 15, 1.0), *[(3, 15 * k, 15, 1.0) for k in range(4)]]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [4]
+
+
 # classifiers
 
 
+def test_sample_takes_one_row_of_an_identifier(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(900)] + [(k, None) for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] + [(1, 1)], "doc_id long, quality int")
+    rows, counts = labelled.sample(docs, labels, "quality", F.lit(True), 5)
+    rows = rows.collect()
+    assert len(rows) == 10 and len({r["id"] for r in rows}) == 10 and counts == {0: 19, 1: 919}
+    every, _ = labelled.sample(docs, labels, "quality", F.lit(True), 100)
+    assert sorted(r["id"] for r in every.collect()) == list(range(1, 40))
+
+
 def held_out(spark, scored, label, train):
     rows = scored.where(~train).join(spark.read.parquet(f"{SMALL}/../sf0.01/labels.parquet"), "doc_id").select("score", label).collect()
     return np.array([r["score"] for r in rows]), np.array([r[label] for r in rows])
