@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..sources.kpi import (
     KPI_ID,
     LABELLED_COLUMNS,
+    MALFORMED,
     UNLABELLED_COLUMNS,
     instant,
     number,
@@ -56,7 +57,8 @@ def _missing(df: DataFrame, column: str) -> Column:
 
 
 def quality_checks(df: DataFrame, labelled: bool) -> DataFrame:
-    """One row per check: ``check, violations, passed``."""
+    """One row per check: ``check, violations, passed``. A table read from text (with the column
+    ``MALFORMED``) has one check more: rows with too many or too few fields."""
     required = LABELLED_COLUMNS if labelled else UNLABELLED_COLUMNS
     absent = [c for c in required if c not in df.columns]
     there = [c for c in required if c in df.columns]
@@ -81,6 +83,8 @@ def quality_checks(df: DataFrame, labelled: bool) -> DataFrame:
     checks["timestamp_valid"] = (
         _count(instant(df, "timestamp").isNull()) if "timestamp" in df.columns else nothing
     )
+    if MALFORMED in df.columns:
+        checks["row_shape"] = _count(F.col(MALFORMED).isNotNull())
     counted = distinct_rows.agg(*[c.alias(name) for name, c in checks.items()])
     return counted.unpivot([], list(checks), "check", "violations").withColumn(
         "passed", F.col("violations") == 0

@@ -8,13 +8,13 @@ instead of joining keeps every operator at one shuffle of the data on ``(key, sl
 
 Results do not depend on where the cuts fall: slices are a monotone function of the sort order.
 Cuts come from exact minima, maxima and counts. They are found in rounds, each of which reads the
-slices that are still too long; so preparing a series runs jobs (one count per key if nothing has
-to be cut).
+slices that are still too long; so preparing a series runs jobs (one plain count per key if nothing
+has to be cut, and then the plan has no more than the window itself).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -54,10 +54,10 @@ def order_position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def _positions(df: DataFrame, order: Sequence[str]) -> list[_Position]:
-    """Positions of the sort columns in turn. A text has one for every few of its bytes, up to
-    the longest text, and one for its length; a column of another kind ends the list."""
-    found: list[_Position] = []
+def _positions(df: DataFrame, order: Sequence[str]) -> Iterator[_Position]:
+    """Positions of the sort columns in turn, each made when it is needed. A text has one for every
+    few of its bytes, up to the longest text, and one for its length; a column of another kind ends
+    the list."""
     for c in order:
         kind = df.schema[c].dataType
         if isinstance(kind, T.StringType):
@@ -65,17 +65,16 @@ def _positions(df: DataFrame, order: Sequence[str]) -> list[_Position]:
             code = F.encode(F.col(c), "utf-8")
             for at in range(0, longest, _TEXT_STEP):
                 part = F.rpad(F.hex(F.substring(code, at + 1, _TEXT_STEP)), 2 * _TEXT_STEP, "0")
-                found.append(_Position(F.conv(part, 16, 10).cast("bigint"), True))
-            found.append(_Position(F.octet_length(c).cast("bigint"), True))
+                yield _Position(F.conv(part, 16, 10).cast("bigint"), True)
+            yield _Position(F.octet_length(c).cast("bigint"), True)
         elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            found.append(_Position(F.col(c).cast("double"), False))
+            yield _Position(F.col(c).cast("double"), False)
         elif isinstance(kind, T.BooleanType):
-            found.append(_Position(F.col(c).cast("bigint"), True))
+            yield _Position(F.col(c).cast("bigint"), True)
         elif isinstance(kind, (T.IntegralType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-            found.append(_Position(order_position(df, c).cast("bigint"), True))
+            yield _Position(order_position(df, c).cast("bigint"), True)
         else:
-            break
-    return found
+            return
 
 
 def _part(position: _Position, lo: Column, width: Column, parts: Column) -> Column:
@@ -120,11 +119,18 @@ def _cut(df: DataFrame, cuts: DataFrame, path: Sequence[str], position: _Positio
     ).select(*df.columns)
 
 
+def has_long_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> bool:
+    """Whether a key has more rows than a slice may hold: one count per key, combined map-side."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return not counted.where(F.col("_rows") > rows_per_slice).isEmpty()
+
+
 def add_slices(
     df: DataFrame,
     keys: Sequence[str],
-    positions: Sequence[_Position],
+    positions: Iterable[_Position],
     rows_per_slice: int = ROWS_PER_SLICE,
+    known_long: bool = False,
 ) -> DataFrame:
     """Adds ``_slice`` (empty for keys of up to ``rows_per_slice`` rows).
 
@@ -132,14 +138,16 @@ def add_slices(
     are cut again as long as they hold several values of it, then along the next position. What
     is left too long agrees in all positions. Every round counts the rows of each slice (map-side)
     and stages its cuts, one row per slice that it cuts. At most ``BROADCAST_CUTS`` of them are
-    broadcast, more are joined on key and slice with the rows of a slice spread by a salt.
+    broadcast, more are joined on key and slice with the rows of a slice spread by a salt. Without
+    long keys nothing is staged and no position is made; ``known_long`` skips that first count.
     """
-    names = [f"_position_{i}" for i in range(len(positions))]
-    out = df.withColumns({"_slice": F.array().cast("array<bigint>"), **{n: p.value for n, p in zip(names, positions)}})
+    out = df.withColumn("_slice", F.array().cast("array<bigint>"))
+    if not known_long and not has_long_keys(df, keys, rows_per_slice):
+        return out
     path = [*keys, "_slice"]
-    at = 0
-    while at < len(positions):
-        p, exact = F.col(names[at]), positions[at].exact
+    for position in positions:
+        out = out.withColumn("_position", position.value)
+        p, exact = F.col("_position"), position.exact
         if exact:
             finite, low = p, F.min(p).cast("decimal(20,0)")
             width = (F.max(p).cast("decimal(20,0)") - low).cast("double")
@@ -149,27 +157,28 @@ def add_slices(
             width = F.max(finite) / 2 - low
         rows = F.count(F.lit(1))
         several = (F.min(p) < F.max(p)) | ((F.count(p) > 0) & (F.count(p) < rows))
-        found = out.groupBy(*path).agg(
-            low.alias("_lo"), F.nullif(width, F.lit(0.0)).alias("_width"),
-            rows.alias("_rows"), F.coalesce(several, F.lit(False)).alias("_several"),
-        ).where(F.col("_rows") > rows_per_slice)
         parts = F.greatest(F.ceil(F.col("_rows") / rows_per_slice) * 2, F.lit(_LEAST_PARTS))
-        found = staged(found.select(
-            *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)],
-            "_lo", "_width", parts.alias("_parts"), "_several",
-        ))
-        size = found.agg(
-            F.count(F.lit(1)).alias("long"), F.count_if("_several").alias("several")
-        ).first()
-        if not size["long"]:
-            break
-        if size["several"]:
+        while True:
+            found = out.groupBy(*path).agg(
+                low.alias("_lo"), F.nullif(width, F.lit(0.0)).alias("_width"),
+                rows.alias("_rows"), F.coalesce(several, F.lit(False)).alias("_several"),
+            ).where(F.col("_rows") > rows_per_slice)
+            found = staged(found.select(
+                *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(path)],
+                "_lo", "_width", parts.alias("_parts"), "_several",
+            ))
+            size = found.agg(
+                F.count(F.lit(1)).alias("long"), F.count_if("_several").alias("several")
+            ).first()
+            if not size["several"]:
+                break
             cuts = found.where("_several").drop("_several")
             few = size["several"] <= BROADCAST_CUTS
             out = _cut(out, cuts, path, _Position(p, exact), few)
-        else:
-            at += 1
-    return out.drop(*names)
+        out = out.drop("_position")
+        if not size["long"]:
+            break
+    return out
 
 
 class Series(NamedTuple):
@@ -202,11 +211,14 @@ def lookback_series(
     order = [*order, "_tie"]
     ascending = [F.col(c).asc() for c in order]
     window = Window.partitionBy(*keys, *SLICES).orderBy(*ascending)
-    sliced = add_slices(tied, keys, _positions(tied, order), rows_per_slice)
+    long = has_long_keys(tied, keys, rows_per_slice)
+    if not long:
+        return Series(tied.withColumns({"_slice": F.array().cast("array<bigint>"), "_carried": F.lit(False)}), window)
+    sliced = add_slices(tied, keys, _positions(tied, order), rows_per_slice, known_long=True)
     rows = sliced.withColumn("_carried", F.lit(False))
-    cut = sliced.where(F.size("_slice") > 0)
-    if not depth or cut.isEmpty():
+    if not depth:
         return Series(rows, window)
+    cut = sliced.where(F.size("_slice") > 0)
 
     from_end = Window.partitionBy(*keys, *SLICES).orderBy(*[F.col(c).desc() for c in order])
     tails = (
@@ -241,7 +253,13 @@ def running_totals(
     """
     along_key = Window.partitionBy(*(keys or [F.lit(0)]))
     measured = df.withColumns({f"_m_{m}": c for m, c in measures.items()})
-    sliced = add_slices(measured, keys, _positions(df, order), rows_per_slice)
+    if not has_long_keys(df, keys, rows_per_slice):
+        upto = along_key.orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        added = {f"{m}_upto": F.sum(f"_m_{m}").over(upto) for m in measures}
+        added |= {f"{m}_total": F.sum(f"_m_{m}").over(along_key) for m in measures}
+        return measured.withColumns(added).select(
+            *df.columns, *[f"{m}_{part}" for m in measures for part in ("upto", "total")])
+    sliced = add_slices(measured, keys, _positions(df, order), rows_per_slice, known_long=True)
     place = [*keys, *SLICES]
     earlier = along_key.orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     leading = (

@@ -11,12 +11,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def staged(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``: later readers see the same rows, and lost executors do not
-    lose them. It is written to ``spark.checkpoint.dir``, or to a temporary folder of this machine
-    where that is unset (a local session). The shuffle files behind it are removed at once."""
+    lose them. It is written to ``spark.checkpoint.dir``. Where that is unset, a local session gets
+    a temporary folder; on a cluster executors could not share one, so it is an error there. The shuffle files behind it are removed at once."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="stage-"))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

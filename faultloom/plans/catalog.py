@@ -15,12 +15,16 @@ from ..operators import (
     distributions,
     evaluate,
     features,
+    grid,
     logs,
     models,
     profile,
     quality,
+    shifts,
+    timeframes,
 )
 from ..operators.slices import ROWS_PER_SLICE
+from ..sources import LABELLED_COLUMNS, UNLABELLED_COLUMNS, parse_lines
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +92,15 @@ def quality_checks_lineitem(spark, d):
     return quality.quality_checks(_file_form(lines), labelled=True)
 
 
+def quality_checks_dirty(spark, d):
+    """Checks of lines with defects: as a labelled table, and as one whose header lacks the value."""
+    lines = views.kpi_lines(spark, d)
+    labelled = quality.quality_checks(parse_lines(lines, LABELLED_COLUMNS), labelled=True)
+    header = [c for c in LABELLED_COLUMNS if c != "value"]
+    headless = quality.quality_checks(parse_lines(lines, header), labelled=False)
+    return labelled.withColumn("dataset", F.lit("labelled")).unionByName(headless.withColumn("dataset", F.lit("no value")))
+
+
 def kpi_id_counts(spark, d):
     return quality.kpi_id_counts(*views.customer_series(spark, d))
 
@@ -160,6 +173,20 @@ def aligned_scores(spark, d):
     return _rounded(fused, "kpi_score", "log_score", "fused", digits=9)
 
 
+def nearest_errors(spark, d, rows=ROWS_PER_SLICE, direction="backward"):
+    """Events other than errors, each with the nearest error of its KPI within three days."""
+    s = views.kpi(spark, d)
+    error = F.col("event_type") == "error"
+    return align.pair_nearest(
+        s.where(~error).select("kpi_id", "event_time", "event_id"), s.where(error), ["kpi_id"],
+        {"value": "error_value", "event_time": "error_time"}, 3 * 86400, direction, rows_per_slice=rows,
+    )
+
+
+def nearest_errors_both_sides(spark, d, rows=ROWS_PER_SLICE):
+    return nearest_errors(spark, d, rows, "nearest")
+
+
 def _fused(spark, d) -> DataFrame:
     s = views.scores(spark, d)
     return s.withColumn("score", fuse(F.col("kpi_score"), F.col("log_score")))
@@ -241,6 +268,34 @@ def rolling_features(spark, d, rows=ROWS_PER_SLICE):
     return _rounded(table.select("event_id", *names), *names)
 
 
+def time_rolling_features(spark, d, rows=ROWS_PER_SLICE):
+    table = timeframes.add_time_rolling(views.kpi(spark, d), (3600, 5 * 86400), least=2, rows_per_slice=rows)
+    names = [f"rolling_{f}_{n}s" for n in (3600, 5 * 86400) for f in ("mean", "std")]
+    return _rounded(table.select("event_id", *names), *names, digits=9)
+
+
+def lineitem_time_rolling_features(spark, d):
+    """Days with several rows and gaps of weeks: all rows of the last 30 days."""
+    lines = views.lineitem_kpi(spark, d)
+    table = timeframes.add_time_rolling(lines, (30 * 86400,))
+    names = ["rolling_mean_2592000s", "rolling_std_2592000s"]
+    keys = ("kpi_id", "event_time", "l_orderkey", "l_linenumber", "l_partkey", "value")
+    return _rounded(table.select(*keys, *names), *names)
+
+
+def _hourly(spark, d, method, longest_gap, rows):
+    table = grid.regular_grid(views.kpi(spark, d).drop("event_type", "label"), 3600, method, longest_gap, TIES, rows)
+    return _rounded(table, "value")
+
+
+def hourly_forward(spark, d, rows=ROWS_PER_SLICE):
+    return _hourly(spark, d, "forward", None, rows)
+
+
+def hourly_linear(spark, d, rows=ROWS_PER_SLICE):
+    return _hourly(spark, d, "linear", 2 * 86400, rows)
+
+
 def lineitem_rolling_features(spark, d):
     table = features.add_series_features(
         views.lineitem_kpi(spark, d), views.LINEITEM_TIES, lags=(1,), windows=(10,)
@@ -285,6 +340,12 @@ def anomaly_runs(spark, d, rows=ROWS_PER_SLICE):
     )
 
 
+def level_shifts(spark, d, rows=ROWS_PER_SLICE):
+    return _rounded(shifts.level_shifts(
+        views.kpi(spark, d), TIES, allowance=0.25, threshold=2.0, clip=4.0, least_rows=2, rows_per_slice=rows,
+    ), "strength", digits=3)
+
+
 _FOREST_FEATURES = ("value", "lag_1", "rolling_mean_5", "rolling_std_5")
 
 
@@ -385,6 +446,8 @@ QUERIES: dict[str, Query] = {
         kpi_distribution, lineitem_kpi_records, dataset_summary, summary_record,
         descriptive_stats, label_distribution, timestamp_analysis,
         quality_checks_train, quality_checks_test, quality_checks_lineitem,
+        quality_checks_dirty, nearest_errors, nearest_errors_both_sides, level_shifts,
+        time_rolling_features, lineitem_time_rolling_features, hourly_forward, hourly_linear,
         kpi_id_counts, kpi_id_overlap, kpi_id_new,
         kpi_record_counts, label_counts_desc, value_histogram, box_stats, box_stats_by_kpi,
         lineitem_box_stats_by_kpi, kpi_outliers, series_overlay,
@@ -407,5 +470,7 @@ QUERIES |= {
     for f in (
         lag_features, rolling_features, adaptive_threshold, anomaly_runs, box_stats,
         box_stats_by_kpi, descriptive_stats, roc_auc, roc_curve, log_positions, log_windows,
+        nearest_errors, nearest_errors_both_sides, level_shifts, time_rolling_features,
+        hourly_forward, hourly_linear,
     )
 }

@@ -83,9 +83,14 @@ FROM {source} s JOIN f q ON {match} GROUP BY {pick} q1, median, q3"""
 
 
 def _checks(source: str, labelled: bool) -> str:
+    required = ["event_time", "value", "kpi_id", *(["label"] if labelled else [])]
     kinds = {
-        "required_columns": "0",
-        "data_types": "0",
+        "required_columns": f"(SELECT count(*) FROM unnest({required}) AS r(name)"
+        " WHERE NOT list_contains((SELECT json_keys(to_json(t)) FROM t LIMIT 1), name))",
+        "data_types": "(SELECT count(*) FILTER (value IS NOT NULL AND TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NULL)"
+        " + count(*) FILTER (event_time IS NOT NULL AND TRY_CAST(CAST(event_time AS VARCHAR) AS TIMESTAMP) IS NULL)"
+        + (" + count(*) FILTER (label IS NOT NULL AND TRY_CAST(CAST(label AS VARCHAR) AS INTEGER) IS NULL)" if labelled else "")
+        + " FROM t)",
         "missing_values": "(SELECT count(*) FILTER (event_time IS NULL)"
         " + count(*) FILTER (value IS NULL OR isnan(value)) + count(*) FILTER (kpi_id IS NULL)"
         + (" + count(*) FILTER (label IS NULL)" if labelled else "")
@@ -103,6 +108,79 @@ def _checks(source: str, labelled: bool) -> str:
     return f"t AS ({source}), c AS ({rows}) SELECT *, violations = 0 AS passed FROM c"
 
 
+def _line_checks(header: str, required: str, labelled: bool) -> str:
+    """Checks of CSV lines: fields by name, typed by TRY_CAST."""
+    names = header.split(",")
+
+    def field(name: str) -> str:
+        if name not in names:
+            return "NULL"
+        at = names.index(name) + 1
+        return f"CASE WHEN f[{at}] NOT IN ('', 'N/A', 'NaN') THEN f[{at}] END"
+
+    there = [c for c in required.split(",") if c in names]
+    columns = {"timestamp": "ts", "value": "v", "label": "l", "KPI ID": "k"}
+    kinds = {
+        "required_columns": f"max((SELECT count(*) FROM unnest(string_split('{required}', ',')) AS r(name)"
+        f" WHERE name NOT IN (SELECT unnest(string_split('{header}', ',')))))",
+        "data_types": "count(*) FILTER (v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL)"
+        " + count(*) FILTER (ts IS NOT NULL AND TRY_CAST(ts AS TIMESTAMP) IS NULL)"
+        + (" + count(*) FILTER (l IS NOT NULL AND TRY_CAST(l AS INTEGER) IS NULL)" if labelled else ""),
+        "missing_values": " + ".join(f"count(*) FILTER ({columns[c]} IS NULL)" for c in there),
+        "duplicate_rows": "count(*) - count(DISTINCT (ts, v, l, k, bad))",
+        "label_values": "count(*) FILTER (l IS NOT NULL AND coalesce(TRY_CAST(l AS INTEGER) NOT IN (0, 1), true))",
+        "kpi_id_present": "count(*) FILTER (k IS NULL)",
+        "timestamp_valid": "count(*) FILTER (TRY_CAST(ts AS TIMESTAMP) IS NULL)",
+        "row_shape": "count(*) FILTER (bad IS NOT NULL)",
+    }
+    if not labelled:
+        del kinds["label_values"]
+    parsed = (
+        f"SELECT {field('timestamp')} AS ts, {field('value')} AS v, {field('label')} AS l, {field('KPI ID')} AS k,"
+        f" CASE WHEN len(f) <> {len(names)} THEN line END AS bad FROM fields"
+    )
+    return " UNION ALL ".join(
+        f"SELECT '{k}' AS \"check\", CAST({c} AS BIGINT) AS violations FROM ({parsed})" for k, c in kinds.items()
+    )
+
+
+_DIRTY = """
+marked AS (
+  SELECT event_id AS n, label, kpi_id,
+         CASE WHEN event_id % 23 = 1 THEN 'yesterday' WHEN event_id % 31 = 2 THEN '' ELSE strftime(event_time, '%Y-%m-%d %H:%M:%S') END AS ts,
+         CASE WHEN event_id % 13 = 1 THEN 'abc' WHEN event_id % 13 = 4 THEN 'NaN' ELSE CAST(CAST(round(value) AS INTEGER) AS VARCHAR) END AS v
+  FROM kpi),
+texts AS (
+  SELECT n, concat_ws(',', ts, v) AS short,
+         concat_ws(',', ts, v, CASE n % 17 WHEN 2 THEN '7' WHEN 5 THEN 'maybe' WHEN 6 THEN '' ELSE CAST(label AS VARCHAR) END,
+                   CASE WHEN n % 19 = 3 THEN 'N/A' ELSE kpi_id END) AS whole
+  FROM marked),
+lines AS (
+  SELECT CASE WHEN n % 11 = 5 THEN short WHEN n % 11 = 3 THEN concat(whole, ',more') ELSE whole END AS line,
+         unnest(range(CASE WHEN n % 29 = 0 THEN 3 ELSE 1 END)) AS copy
+  FROM texts),
+fields AS (SELECT line, string_split(line, ',') AS f FROM lines)"""
+
+_GRID = """
+points AS (SELECT kpi_id, epoch_us(event_time) AS t, arg_min(value, event_id) AS v FROM kpi WHERE value IS NOT NULL GROUP BY ALL),
+following AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM points WINDOW w AS (PARTITION BY kpi_id ORDER BY t)),
+ticks AS (
+  SELECT *, unnest(range((t + 3599999999) // 3600000000 * 3600000000,
+                         CASE WHEN t2 IS NULL OR t2 - t > {longest} THEN t + 1 ELSE t2 END, 3600000000)) AS tick FROM following)
+SELECT kpi_id, make_timestamp(tick) AS event_time, round({value}, 6) AS value, CAST(tick > t AS INTEGER) AS filled FROM ticks"""
+
+_NEAREST = """
+l AS (SELECT kpi_id, event_time, event_id FROM kpi WHERE event_type <> 'error'),
+r AS (SELECT kpi_id, event_time, max(value) AS value FROM kpi WHERE event_type = 'error' GROUP BY ALL),
+b AS (SELECT l.*, r.value AS bv, r.event_time AS bt FROM l ASOF LEFT JOIN r ON l.kpi_id = r.kpi_id AND l.event_time >= r.event_time),
+f AS (SELECT b.*, r.value AS fv, r.event_time AS ft FROM b ASOF LEFT JOIN r ON b.kpi_id = r.kpi_id AND b.event_time <= r.event_time),
+picked AS (
+  SELECT kpi_id, event_time, event_id, CASE WHEN {ahead} THEN fv ELSE bv END AS v, CASE WHEN {ahead} THEN ft ELSE bt END AS t FROM f),
+near AS (SELECT *, epoch_us(t) - epoch_us(event_time) AS gap FROM picked)
+SELECT kpi_id, event_time, event_id,
+       CASE WHEN abs(gap) <= 259200000000 THEN v END AS error_value, CASE WHEN abs(gap) <= 259200000000 THEN t END AS error_time,
+       CASE WHEN abs(gap) <= 259200000000 THEN gap / 1000000 END AS gap_seconds FROM near"""
+
 _AUC = """
 per_score AS (SELECT {key} score, CAST(sum(y_true) AS DOUBLE) AS pos,
                      CAST(sum(1 - y_true) AS DOUBLE) AS neg
@@ -343,6 +421,50 @@ SELECT event_id, round((value - m) / d, 6) AS value FROM kpi_test, s""",
     "adaptive_threshold": f"""WITH {_KPI}, {_RANGE.format(k="3.0::DOUBLE")}
 SELECT kpi_id, event_id, round(lower, 6) AS lower, round(upper, 6) AS upper,
        CAST(kind IS NOT NULL AS INT) AS flagged FROM tagged""",
+    "level_shifts": f"""WITH RECURSIVE {_KPI},
+c AS (SELECT kpi_id, quantile_cont(value, 0.5) AS centre FROM kpi GROUP BY kpi_id),
+m AS (SELECT kpi_id, any_value(centre) AS centre, quantile_cont(abs(value - centre), 0.5) * 1.4826 AS spread
+      FROM kpi JOIN c USING (kpi_id) GROUP BY kpi_id),
+o AS (SELECT kpi_id, event_time, row_number() OVER (PARTITION BY kpi_id ORDER BY event_time, event_id) AS n,
+             CASE WHEN spread > 0 THEN (value - centre) / spread ELSE sign(value - centre) * 4.0 END AS far
+      FROM kpi JOIN m USING (kpi_id)),
+milli AS (SELECT *, CAST(round(greatest(least(far, 4.0), -4.0) * 1000) AS BIGINT) AS far_milli FROM o),
+steps AS (SELECT kpi_id, 'rise' AS direction, n, event_time, far_milli - 250 AS step FROM milli
+          UNION ALL SELECT kpi_id, 'fall', n, event_time, -far_milli - 250 FROM milli),
+walk AS (
+  SELECT kpi_id, direction, n, event_time, greatest(0, step) AS h, CAST(step <= 0 AS BIGINT) AS zeros FROM steps WHERE n = 1
+  UNION ALL
+  SELECT s.kpi_id, s.direction, s.n, s.event_time, greatest(0, w.h + s.step), w.zeros + CAST(w.h + s.step <= 0 AS BIGINT)
+  FROM walk w JOIN steps s ON s.kpi_id = w.kpi_id AND s.direction = w.direction AND s.n = w.n + 1),
+tops AS (SELECT *, max(h) OVER e AS top, min(n) OVER e AS first, min(event_time) OVER e AS run_start FROM walk WHERE h > 0
+         WINDOW e AS (PARTITION BY kpi_id, direction, zeros)),
+ends AS (SELECT kpi_id, direction, run_start, min(event_time) AS run_end, min(n) - first + 1 AS run_length, top FROM tops
+         WHERE h = top GROUP BY kpi_id, direction, zeros, run_start, first, top)
+SELECT kpi_id, direction, run_start, run_end, run_length, round(top / 1000, 3) AS strength FROM ends
+WHERE top >= 2000 AND run_length >= 2""",
+    "time_rolling_features": f"""WITH {_KPI}
+SELECT event_id,
+       round(CASE WHEN count(value) OVER a >= 2 THEN avg(value) OVER a END, 9) AS rolling_mean_3600s,
+       round(CASE WHEN count(value) OVER a >= 2 THEN stddev_samp(value) OVER a END, 9) AS rolling_std_3600s,
+       round(CASE WHEN count(value) OVER b >= 2 THEN avg(value) OVER b END, 9) AS rolling_mean_432000s,
+       round(CASE WHEN count(value) OVER b >= 2 THEN stddev_samp(value) OVER b END, 9) AS rolling_std_432000s
+FROM kpi WINDOW a AS (PARTITION BY kpi_id ORDER BY event_time RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW),
+                b AS (PARTITION BY kpi_id ORDER BY event_time RANGE BETWEEN INTERVAL 432000 SECOND PRECEDING AND CURRENT ROW)""",
+    "lineitem_time_rolling_features": f"""WITH {_LINES}
+SELECT kpi_id, event_time, l_orderkey, l_linenumber, l_partkey, value,
+       round(avg(value) OVER a, 6) AS rolling_mean_2592000s, round(stddev_samp(value) OVER a, 6) AS rolling_std_2592000s
+FROM lines WINDOW a AS (PARTITION BY kpi_id ORDER BY event_time RANGE BETWEEN INTERVAL 2592000 SECOND PRECEDING AND CURRENT ROW)""",
+    "hourly_forward": f"WITH {_KPI}," + _GRID.format(longest="9223372036854775807", value="v"),
+    "hourly_linear": f"WITH {_KPI}," + _GRID.format(
+        longest="172800000000", value="CASE WHEN tick = t THEN v ELSE v + (v2 - v) * ((tick - t) / (t2 - t)) END"),
+    "nearest_errors": f"WITH {_KPI}," + _NEAREST.format(ahead="false"),
+    "nearest_errors_both_sides": f"WITH {_KPI}," + _NEAREST.format(
+        ahead="coalesce(epoch_us(ft) - epoch_us(event_time) < epoch_us(event_time) - epoch_us(bt), bt IS NULL)"),
+    "quality_checks_dirty": f"WITH {_KPI},{_DIRTY}, c AS (SELECT 'labelled' AS dataset, * FROM ("
+    + _line_checks("timestamp,value,label,KPI ID", "timestamp,value,label,KPI ID", True)
+    + ") UNION ALL SELECT 'no value', * FROM ("
+    + _line_checks("timestamp,label,KPI ID", "timestamp,value,KPI ID", False)
+    + ")) SELECT *, violations = 0 AS passed FROM c",
     "anomaly_runs": f"""WITH {_KPI}, {_RANGE.format(k="1.0::DOUBLE")},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY kpi_id ORDER BY event_time, event_id)
                   - row_number() OVER (PARTITION BY kpi_id, kind ORDER BY event_time, event_id) AS g
@@ -410,5 +532,7 @@ SELECT *, violations = 0 AS passed FROM c""",
 CUT = (
     "lag_features", "rolling_features", "adaptive_threshold", "anomaly_runs", "box_stats",
     "box_stats_by_kpi", "descriptive_stats", "roc_auc", "roc_curve", "log_positions", "log_windows",
+    "nearest_errors", "nearest_errors_both_sides", "level_shifts", "time_rolling_features",
+    "hourly_forward", "hourly_linear",
 )
 ORACLES |= {f"{name}_cut": ORACLES[name] for name in CUT}

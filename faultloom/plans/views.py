@@ -100,3 +100,17 @@ def customer_series(spark: SparkSession, directory: str) -> tuple[DataFrame, Dat
     )
     split = F.to_timestamp_ntz(F.lit(CUSTOMER_SPLIT))
     return rows.where(F.col("event_time") < split), rows.where(F.col("event_time") >= split)
+
+
+def kpi_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The events as lines of a labelled CSV file with defects of every kind: a field too many or
+    too few, numbers, labels and times that are none, missing fields, repeated lines."""
+    n = F.col("event_id")
+    at = F.when(n % 23 == 1, "yesterday").when(n % 31 == 2, "").otherwise(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"))
+    value = F.when(n % 13 == 1, "abc").when(n % 13 == 4, "NaN").otherwise(F.round("value").cast("int").cast("string"))
+    label = F.when(n % 17 == 2, "7").when(n % 17 == 5, "maybe").when(n % 17 == 6, "").otherwise(F.col("label").cast("string"))
+    key = F.when(n % 19 == 3, "N/A").otherwise(F.col("kpi_id"))
+    line = F.when(n % 11 == 5, F.concat_ws(",", at, value)).when(
+        n % 11 == 3, F.concat_ws(",", at, value, label, key, F.lit("more"))).otherwise(F.concat_ws(",", at, value, label, key))
+    copies = F.explode(F.sequence(F.lit(0), F.when(n % 29 == 0, 2).otherwise(0)))
+    return kpi(spark, directory).select(line.alias("value"), copies.alias("copy")).select("value")

@@ -1,11 +1,13 @@
 from .kpi import (
     KPI_COLUMNS,
     LABELLED_COLUMNS,
+    MALFORMED,
     UNLABELLED_COLUMNS,
     LoadResult,
     load_both,
     load_test,
     load_train,
+    parse_lines,
     paths_exist,
     to_series,
     typed,
@@ -16,6 +18,7 @@ from .sinks import write_json_object, write_report, write_table
 __all__ = [
     "KPI_COLUMNS",
     "LABELLED_COLUMNS",
+    "MALFORMED",
     "UNLABELLED_COLUMNS",
     "LoadResult",
     "LogTables",
@@ -23,6 +26,7 @@ __all__ = [
     "load_logs",
     "load_test",
     "load_train",
+    "parse_lines",
     "paths_exist",
     "to_series",
     "typed",

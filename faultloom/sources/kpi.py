@@ -1,11 +1,14 @@
 """KPI tables: CSV scans, typing and the internal series form.
 
 CSV columns are read as text and typed by a projection, so a bad field becomes NULL (and a counted
-violation in ``operators.quality``) instead of aborting a job over many files.
+violation in ``operators.quality``) instead of aborting a job over many files. A row with more or
+fewer fields than the header keeps its whole text in the column ``MALFORMED``, so nothing of it is
+lost and the quality checks count it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -19,6 +22,8 @@ KPI_ID = "KPI ID"
 LABELLED_COLUMNS = ("timestamp", "value", "label", KPI_ID)
 UNLABELLED_COLUMNS = ("timestamp", "value", KPI_ID)
 KPI_COLUMNS = ("kpi_id", "event_time", "value", "label")
+# The text of a row whose number of fields is not that of the header, NULL for all other rows.
+MALFORMED = "_malformed"
 
 # Texts that stand for a missing field in the CSV files.
 MISSING_TEXTS = (
@@ -43,31 +48,67 @@ def _path(directory: str, name: str) -> str:
     return f"{str(directory).rstrip('/')}/{name}"
 
 
+def _text_schema(columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*columns, MALFORMED)])
+
+
+def _blank_to_null(raw: DataFrame) -> DataFrame:
+    """Texts that stand for a missing field as NULL, in all columns but ``MALFORMED``.
+
+    The reader tells malformed rows only where all fields are read; the condition, always true, has
+    a query on ``MALFORMED`` alone read them."""
+    fields = [c for c in raw.columns if c != MALFORMED]
+    read = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in fields])) >= 0
+    return raw.select(
+        *[
+            F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
+            for c in fields
+        ],
+        F.when(read, F.col(MALFORMED)).alias(MALFORMED),
+    )
+
+
 def _scan(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     try:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        header = reader.csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from error
         raise
-    return raw.select(
-        *[
-            F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
-            for c in raw.columns
-        ]
-    )
+    marked = reader.schema(_text_schema(header)).option("columnNameOfCorruptRecord", MALFORMED)
+    return _blank_to_null(marked.csv(path))
+
+
+def parse_lines(lines: DataFrame, columns: Sequence[str], line: str = "value") -> DataFrame:
+    """The text form of a KPI table that arrives as lines without a header (a text table, a queue):
+    ``columns`` and ``MALFORMED``, exactly as a file with these lines is read."""
+    schema = ", ".join(f"`{c}` string" for c in (*columns, MALFORMED))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+    return _blank_to_null(lines.select(F.from_csv(F.col(line), schema, options).alias("_row")).select("_row.*"))
+
+
+def _loaded(raw: DataFrame, as_text: bool, malformed: str) -> DataFrame:
+    if malformed not in ("keep", "drop"):
+        raise ValueError(f"malformed must be keep or drop, not {malformed!r}")
+    if malformed == "drop":
+        raw = raw.where(F.col(MALFORMED).isNull())
+    return raw if as_text else typed(raw.drop(MALFORMED))
 
 
-def load_train(spark: SparkSession, directory: str, as_text: bool = False) -> DataFrame:
-    """``train.csv`` of a directory, in file column order; ``as_text`` skips the typing, which is
-    what the quality checks want."""
-    raw = _scan(spark, _path(directory, "train.csv"))
-    return raw if as_text else typed(raw)
+def load_train(
+    spark: SparkSession, directory: str, as_text: bool = False, malformed: str = "keep"
+) -> DataFrame:
+    """``train.csv`` of a directory, in file column order. ``as_text`` skips the typing and adds
+    ``MALFORMED``, which is what the quality checks want. ``malformed``: ``keep`` rows with more or
+    fewer fields than the header (as far as their fields go) or ``drop`` them."""
+    return _loaded(_scan(spark, _path(directory, "train.csv")), as_text, malformed)
 
 
-def load_test(spark: SparkSession, directory: str, as_text: bool = False) -> DataFrame:
-    raw = _scan(spark, _path(directory, "test.csv"))
-    return raw if as_text else typed(raw)
+def load_test(
+    spark: SparkSession, directory: str, as_text: bool = False, malformed: str = "keep"
+) -> DataFrame:
+    return _loaded(_scan(spark, _path(directory, "test.csv")), as_text, malformed)
 
 
 def load_both(spark: SparkSession, directory: str, as_text: bool = False) -> LoadResult:

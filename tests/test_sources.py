@@ -4,11 +4,17 @@ import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from faultloom.operators import quality
 from faultloom.sources import (
+    LABELLED_COLUMNS,
+    MALFORMED,
     load_both,
     load_logs,
     load_test,
     load_train,
+    parse_lines,
     paths_exist,
     to_series,
     write_report,
@@ -16,12 +22,12 @@ from faultloom.sources import (
 )
 
 TRAIN = """timestamp,value,label,KPI ID
-2021-01-01 00:00:00,100.5,0,KPI-1
-2021-01-01 01:00:00,102.3,1,KPI-1
+2019-07-04 06:30:00,-3.25,0,disk
+2019-07-04 06:35:00,41.0,1,disk
 """
 TEST = """timestamp,value,KPI ID
-2021-02-01 00:00:00,105.0,KPI-1
-2021-02-01 01:00:00,103.2,KPI-2
+2019-09-09 23:55:00,0.5,disk
+2019-09-10 00:00:00,7.75,fan
 """
 
 
@@ -39,7 +45,7 @@ def test_train_keeps_columns_and_types(spark, data):
         "timestamp": "string", "value": "double", "label": "int", "KPI ID": "string"
     }
     assert [tuple(r) for r in df.collect()] == [
-        ("2021-01-01 00:00:00", 100.5, 0, "KPI-1"), ("2021-01-01 01:00:00", 102.3, 1, "KPI-1")
+        ("2019-07-04 06:30:00", -3.25, 0, "disk"), ("2019-07-04 06:35:00", 41.0, 1, "disk")
     ]
 
 
@@ -54,6 +60,31 @@ def test_both_without_errors(spark, data):
     assert result.train_df.count() == 2 and result.test_df.count() == 2
 
 
+@pytest.mark.parametrize("lines_only", [False, True])
+def test_rows_with_too_many_or_too_few_fields(spark, tmp_path, lines_only):
+    lines = ["2021-01-01 01:00:00,2,5,1,b", "2021-01-01 02:00:00,3", "", "2021-01-01 03:00:00,4,1,k", "2021-01-01 03:00:00,4,1,k,",
+             '2021-01-01 04:00:00,"5,0",0,k']
+    (tmp_path / "train.csv").write_text("\n".join(["timestamp,value,label,KPI ID", *lines]) + "\n")
+    if lines_only:
+        text = parse_lines(spark.createDataFrame([(x,) for x in lines if x], "value string"), LABELLED_COLUMNS)
+    else:
+        text = load_train(spark, str(tmp_path), as_text=True)
+    bad = [lines[0], lines[1], lines[4]]
+    assert text.columns == [*LABELLED_COLUMNS, MALFORMED]
+    assert sorted(r[0] for r in text.where(F.col(MALFORMED).isNotNull()).select(MALFORMED).collect()) == sorted(bad)
+    assert text.where(F.col(MALFORMED).isNotNull()).count() == 3  # also where no field is asked for
+    assert [r["value"] for r in text.where(F.col(MALFORMED).isNull()).select("value").collect()] == ["4", "5,0"]
+    checks = {r["check"]: r["violations"] for r in quality.quality_checks(text, labelled=True).collect()}
+    assert checks == {"required_columns": 0, "data_types": 1, "missing_values": 2, "duplicate_rows": 0,
+                      "label_values": 1, "kpi_id_present": 1, "timestamp_valid": 0, "row_shape": 3}
+    if not lines_only:
+        assert load_train(spark, str(tmp_path)).count() == 5
+        assert load_train(spark, str(tmp_path), malformed="drop").count() == 2
+        assert load_train(spark, str(tmp_path), malformed="drop").columns == list(LABELLED_COLUMNS)
+        with pytest.raises(ValueError):
+            load_train(spark, str(tmp_path), malformed="mend")
+
+
 def test_missing_files(spark, tmp_path):
     for load in (load_train, load_test):
         with pytest.raises(FileNotFoundError):
