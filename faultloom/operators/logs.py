@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import attach
@@ -55,11 +55,14 @@ def log_sequences(
     )
 
 
-def occurrence_matrix(events: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
-    """One row per block, one count column per event of ``vocabulary``. The conditional counts
-    combine map-side; the vocabulary is given, so no extra pass looks for it."""
+def occurrence_matrix(
+    events: DataFrame, vocabulary: Sequence[str], extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per block, one count column per event of ``vocabulary``, and the named aggregates
+    ``extra``. The conditional counts combine map-side; the vocabulary is given, so no extra pass
+    looks for it."""
     return events.groupBy(BLOCK).agg(
-        *[F.count_if(F.col("event") == e).alias(e) for e in vocabulary]
+        *[F.count_if(F.col("event") == e).alias(e) for e in vocabulary], *extra
     )
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import best_threshold
@@ -35,23 +35,32 @@ class KpiDetector:
         return IsolationForestModel(model.features, model.nodes, model.sample, threshold)
 
 
+def held_out(key: str, folds: int = 5) -> Column:
+    """Whether a row is one of the ``1 / folds`` that no model may learn from, by a hash of its key."""
+    return F.pmod(F.xxhash64(F.lit("held out"), F.col(key)), F.lit(folds)) == 0
+
+
 @dataclass(frozen=True)
 class LogDetector:
-    events: tuple[str, ...]
+    """A random forest on count columns (``events``) or on a vector column (``vector``)."""
+
+    events: tuple[str, ...] = ()
     trees: int = 20
     depth: int = 5
     seed: int = SEED
     model_name: str = "log-baseline"
+    vector: str | None = None
 
     def pipeline(self, label: str):
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler
 
+        columns = [] if self.vector else [VectorAssembler(inputCols=list(self.events), outputCol="_features")]
         return Pipeline(stages=[
-            VectorAssembler(inputCols=list(self.events), outputCol="_features"),
+            *columns,
             RandomForestClassifier(
-                labelCol=label, featuresCol="_features", predictionCol="_prediction",
+                labelCol=label, featuresCol=self.vector or "_features", predictionCol="_prediction",
                 probabilityCol="_probability", rawPredictionCol="_raw",
                 numTrees=self.trees, maxDepth=self.depth, seed=self.seed,
             ),

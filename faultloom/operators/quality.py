@@ -152,6 +152,15 @@ def kpi_id_new(train: DataFrame, test: DataFrame) -> DataFrame:
     return kpi_ids(test).join(kpi_ids(train), "kpi_id", "left_anti").orderBy("kpi_id")
 
 
+def kpi_id_consistency(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The check across both tables, in the form of ``quality_checks``: test KPI IDs that training
+    has not seen are its violations."""
+    unseen = kpi_ids(test).join(kpi_ids(train), "kpi_id", "left_anti")
+    return unseen.agg(
+        F.lit("kpi_ids_known").alias("check"), F.count(F.lit(1)).alias("violations")
+    ).withColumn("passed", F.col("violations") == 0)
+
+
 def kpi_id_counts(train: DataFrame, test: DataFrame) -> DataFrame:
     def counted(df: DataFrame, name: str) -> DataFrame:
         return kpi_ids(df).agg(

@@ -1,4 +1,5 @@
-"""Lasting level shifts of KPI series, by cumulative sums against a robust baseline.
+"""Lasting level shifts of KPI series, by cumulative sums against a robust baseline, and ranges that
+know the season.
 
 A range over the last few rows follows a shift and stops seeing it. Here each value is compared
 with the median of its KPI, in robust deviations; what exceeds an allowance is summed up, never
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import attach
@@ -26,17 +27,21 @@ LEAST_ROWS = 5
 MAD_TO_DEVIATION = 1.4826
 
 
-def robust_baseline(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """``kpi_id, centre, spread``: exact median, and median absolute deviation as a deviation."""
-    counts = staged(value_counts(df, ["kpi_id"], "value"))
-    centres = staged(exact_quantiles(counts, ["kpi_id"], "value", {"centre": 0.5}, rows_per_slice))
+def robust_baseline(
+    df: DataFrame, keys: Sequence[str] = ("kpi_id",), rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """The keys, ``centre``, ``spread`` and ``values`` of each key: exact median, median absolute
+    deviation as a deviation, and the number of values. Rows with a NULL key belong to none."""
+    keys = list(keys)
+    counts = staged(value_counts(df, keys, "value"))
+    centres = staged(exact_quantiles(counts, keys, "value", {"centre": 0.5}, rows_per_slice))
     away = F.abs(F.col("value") - F.col("centre"))
-    apart = attach(counts, centres, ["kpi_id"], ["value"]).groupBy("kpi_id", away.alias("away"))
-    spreads = exact_quantiles(
-        apart.agg(F.sum("n").alias("n")), ["kpi_id"], "away", {"mad": 0.5}, rows_per_slice
-    )
-    return centres.join(spreads, "kpi_id").select(
-        "kpi_id", "centre", (F.col("mad") * MAD_TO_DEVIATION).alias("spread")
+    apart = attach(counts, centres, keys, ["value"]).groupBy(*keys, away.alias("away"))
+    apart = staged(apart.agg(F.sum("n").alias("n")))
+    spreads = exact_quantiles(apart, keys, "away", {"mad": 0.5}, rows_per_slice)
+    sizes = apart.groupBy(*keys).agg(F.sum("n").alias("values"))
+    return centres.join(spreads, keys).join(sizes, keys).select(
+        *keys, "centre", (F.col("mad") * MAD_TO_DEVIATION).alias("spread"), "values"
     )
 
 
@@ -62,7 +67,7 @@ def level_shifts(
     by a hash of their other columns.
     """
     known = df.where(F.col("kpi_id").isNotNull() & F.col("event_time").isNotNull() & F.col("value").isNotNull())
-    base = staged(robust_baseline(known, rows_per_slice))
+    base = staged(robust_baseline(known, rows_per_slice=rows_per_slice).drop("values"))
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("kpi_id", "event_time", *ties)]
     tied = known.select("kpi_id", "event_time", *ties, "value", F.xxhash64(*rest).alias("_tie"))
     offset = F.col("value") - F.col("centre")
@@ -133,3 +138,43 @@ def level_shifts(
         )
         .where((F.col("strength") >= threshold) & (F.col("run_length") >= least_rows))
     )
+
+
+def season_slot(time: str = "event_time", season: str = "week") -> Column:
+    """Hour of the week (Monday 0:00 is 0) or of the day."""
+    if season not in ("week", "day"):
+        raise ValueError(f"season must be week or day, not {season!r}")
+    hour = F.hour(time)
+    return (F.weekday(time) * 24 + hour if season == "week" else hour).cast("int")
+
+
+def seasonal_range(
+    df: DataFrame,
+    history: DataFrame | None = None,
+    width: float = 3.0,
+    least: int = 3,
+    season: str = "week",
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Adds ``slot, lower, upper, flagged``: a value is flagged outside median ± ``width`` robust
+    deviations of the values its KPI had in ``history`` (by default the table itself) in the same
+    hour of the ``week`` or ``day``. So a wave that repeats raises no flag, and neither does its
+    steep side, which a range over the last rows would flag.
+
+    Slots of fewer than ``least`` values, and rows without KPI ID or time, have no range; neither
+    they nor rows without value are flagged. Values are counted by slot first (map-side), quantiles
+    are cut into slices, and the profile (one row per KPI and slot) is attached by its size.
+    """
+    past = (df if history is None else history).withColumn("slot", season_slot(season=season))
+    past = past.where(F.col("kpi_id").isNotNull() & F.col("slot").isNotNull())
+    profile = staged(
+        robust_baseline(past, ("kpi_id", "slot"), rows_per_slice).where(F.col("values") >= least)
+    )
+    reach = F.lit(float(width)) * F.col("spread")
+    bounds = profile.select(
+        "kpi_id", "slot", (F.col("centre") - reach).alias("lower"), (F.col("centre") + reach).alias("upper"))
+    rows = df.withColumn("slot", season_slot(season=season))
+    ranged = attach(rows, bounds, ["kpi_id", "slot"], df.columns, how="left")
+    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    return ranged.select(
+        *df.columns, "slot", "lower", "upper", F.coalesce(outside, F.lit(False)).cast("int").alias("flagged"))

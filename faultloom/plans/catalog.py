@@ -22,6 +22,7 @@ from ..operators import (
     quality,
     shifts,
     timeframes,
+    vocabulary,
 )
 from ..operators.slices import ROWS_PER_SLICE
 from ..sources import LABELLED_COLUMNS, UNLABELLED_COLUMNS, parse_lines
@@ -105,6 +106,10 @@ def kpi_id_counts(spark, d):
     return quality.kpi_id_counts(*views.customer_series(spark, d))
 
 
+def kpi_id_consistency(spark, d):
+    return quality.kpi_id_consistency(*views.customer_series(spark, d))
+
+
 def kpi_id_overlap(spark, d):
     return quality.kpi_id_overlap(*views.customer_series(spark, d))
 
@@ -346,6 +351,11 @@ def level_shifts(spark, d, rows=ROWS_PER_SLICE):
     ), "strength", digits=3)
 
 
+def seasonal_flags(spark, d):
+    table = shifts.seasonal_range(views.kpi(spark, d).drop("event_type", "label"), width=2.0, season="day")
+    return _rounded(table.select("event_id", "slot", "lower", "upper", "flagged"), "lower", "upper", digits=5)
+
+
 _FOREST_FEATURES = ("value", "lag_1", "rolling_mean_5", "rolling_std_5")
 
 
@@ -417,9 +427,8 @@ def next_event_misses_null_events(spark, d):
 
 
 def _labelled_matrix(spark, d) -> DataFrame:
-    lines = views.logs(spark, d)
-    label = lines.groupBy("block_id").agg(F.max((F.col("value") >= 190).cast("int")).alias("label"))
-    return logs.occurrence_matrix(lines, views.EVENT_TYPES).join(label, "block_id")
+    label = F.max((F.col("value") >= 190).cast("int")).alias("label")
+    return logs.occurrence_matrix(views.logs(spark, d), views.EVENT_TYPES, [label])
 
 
 def log_label_distribution(spark, d):
@@ -435,9 +444,24 @@ def log_quality_checks(spark, d):
 
 
 def random_forest_predictions(spark, d):
+    """All blocks, scored by a forest that has not seen those held out."""
     matrix = _labelled_matrix(spark, d)
-    model = models.LogDetector(views.EVENT_TYPES, trees=10).fit(matrix)
-    return model.transform(matrix).select("block_id", "score", "prediction")
+    kept = models.held_out("block_id")
+    model = models.LogDetector(views.EVENT_TYPES, trees=10).fit(matrix.where(~kept))
+    scored = model.transform(matrix.withColumn("held_out", kept.cast("int")))
+    return scored.select("block_id", "held_out", "score", "prediction")
+
+
+def lineitem_vocabulary(spark, d, rows=ROWS_PER_SLICE):
+    return vocabulary.event_vocabulary(views.order_logs(spark, d), least=2, rows_per_slice=rows)
+
+
+def lineitem_sparse_occurrences(spark, d):
+    """The sparse vector of every order as text, ``index:count`` by rising index."""
+    lines = views.order_logs(spark, d)
+    sparse = vocabulary.sparse_occurrences(lines, vocabulary.event_vocabulary(lines, least=20))
+    pairs = F.zip_with("indices", "counts", lambda i, n: F.concat_ws(":", i.cast("string"), n.cast("int").cast("string")))
+    return sparse.select("block_id", F.array_join(pairs, " ").alias("pairs"), "unknown")
 
 
 QUERIES: dict[str, Query] = {
@@ -448,6 +472,7 @@ QUERIES: dict[str, Query] = {
         quality_checks_train, quality_checks_test, quality_checks_lineitem,
         quality_checks_dirty, nearest_errors, nearest_errors_both_sides, level_shifts,
         time_rolling_features, lineitem_time_rolling_features, hourly_forward, hourly_linear,
+        seasonal_flags, lineitem_vocabulary, lineitem_sparse_occurrences, kpi_id_consistency,
         kpi_id_counts, kpi_id_overlap, kpi_id_new,
         kpi_record_counts, label_counts_desc, value_histogram, box_stats, box_stats_by_kpi,
         lineitem_box_stats_by_kpi, kpi_outliers, series_overlay,
@@ -471,6 +496,6 @@ QUERIES |= {
         lag_features, rolling_features, adaptive_threshold, anomaly_runs, box_stats,
         box_stats_by_kpi, descriptive_stats, roc_auc, roc_curve, log_positions, log_windows,
         nearest_errors, nearest_errors_both_sides, level_shifts, time_rolling_features,
-        hourly_forward, hourly_linear,
+        hourly_forward, hourly_linear, lineitem_vocabulary,
     )
 }

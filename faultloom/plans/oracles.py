@@ -305,6 +305,8 @@ SELECT 'Training' AS dataset, count(*) AS kpi_count FROM a
 UNION ALL SELECT 'Test', count(*) FROM b""",
     "kpi_id_overlap": f"WITH {_CUSTOMERS} SELECT kpi_id FROM a INTERSECT SELECT kpi_id FROM b",
     "kpi_id_new": f"WITH {_CUSTOMERS} SELECT kpi_id FROM b EXCEPT SELECT kpi_id FROM a",
+    "kpi_id_consistency": f"WITH {_CUSTOMERS}, n AS (SELECT kpi_id FROM b EXCEPT SELECT kpi_id FROM a)"
+    " SELECT 'kpi_ids_known' AS \"check\", count(*) AS violations, count(*) = 0 AS passed FROM n",
     "kpi_record_counts": f"WITH {_KPI} SELECT kpi_id, count(*) AS records FROM kpi GROUP BY kpi_id",
     "label_counts_desc": f"""WITH {_KPI}
 SELECT CASE label WHEN 0 THEN 'Normal' WHEN 1 THEN 'Anomaly' END AS category, count(*) AS records
@@ -442,6 +444,21 @@ ends AS (SELECT kpi_id, direction, run_start, min(event_time) AS run_end, min(n)
          WHERE h = top GROUP BY kpi_id, direction, zeros, run_start, first, top)
 SELECT kpi_id, direction, run_start, run_end, run_length, round(top / 1000, 3) AS strength FROM ends
 WHERE top >= 2000 AND run_length >= 2""",
+    "seasonal_flags": f"""WITH {_KPI},
+slots AS (SELECT *, CAST(hour(event_time) AS INTEGER) AS slot FROM kpi),
+c AS (SELECT kpi_id, slot, quantile_cont(value, 0.5) AS centre, count(*) AS n FROM slots GROUP BY ALL),
+m AS (SELECT kpi_id, slot, any_value(centre) AS centre, quantile_cont(abs(value - centre), 0.5) * 1.4826 AS spread
+      FROM slots JOIN c USING (kpi_id, slot) WHERE n >= 3 GROUP BY ALL)
+SELECT event_id, slot, round(centre - 2.0::DOUBLE * spread, 5) AS lower, round(centre + 2.0::DOUBLE * spread, 5) AS upper,
+       CAST(coalesce(value < centre - 2.0::DOUBLE * spread OR value > centre + 2.0::DOUBLE * spread, false) AS INTEGER) AS flagged
+FROM slots LEFT JOIN m USING (kpi_id, slot)""",
+    "lineitem_vocabulary": """WITH e AS (SELECT concat('T', l_partkey) AS event, count(*) AS records FROM lineitem GROUP BY ALL HAVING count(*) >= 2)
+SELECT event, CAST(row_number() OVER (ORDER BY records DESC, event) - 1 AS INTEGER) AS index, records FROM e""",
+    "lineitem_sparse_occurrences": """WITH e AS (SELECT l_orderkey AS block_id, concat('T', l_partkey) AS event, count(*) AS n FROM lineitem GROUP BY ALL),
+v AS (SELECT event, row_number() OVER (ORDER BY sum(n) DESC, event) - 1 AS index FROM e GROUP BY event HAVING sum(n) >= 20)
+SELECT block_id, coalesce(string_agg(concat(index, ':', n), ' ' ORDER BY index) FILTER (index IS NOT NULL), '') AS pairs,
+       CAST(coalesce(sum(n) FILTER (index IS NULL), 0) AS BIGINT) AS unknown
+FROM e LEFT JOIN v USING (event) GROUP BY block_id""",
     "time_rolling_features": f"""WITH {_KPI}
 SELECT event_id,
        round(CASE WHEN count(value) OVER a >= 2 THEN avg(value) OVER a END, 9) AS rolling_mean_3600s,
@@ -533,6 +550,6 @@ CUT = (
     "lag_features", "rolling_features", "adaptive_threshold", "anomaly_runs", "box_stats",
     "box_stats_by_kpi", "descriptive_stats", "roc_auc", "roc_curve", "log_positions", "log_windows",
     "nearest_errors", "nearest_errors_both_sides", "level_shifts", "time_rolling_features",
-    "hourly_forward", "hourly_linear",
+    "hourly_forward", "hourly_linear", "lineitem_vocabulary",
 )
 ORACLES |= {f"{name}_cut": ORACLES[name] for name in CUT}

@@ -114,3 +114,12 @@ def kpi_lines(spark: SparkSession, directory: str) -> DataFrame:
         n % 11 == 3, F.concat_ws(",", at, value, label, key, F.lit("more"))).otherwise(F.concat_ws(",", at, value, label, key))
     copies = F.explode(F.sequence(F.lit(0), F.when(n % 29 == 0, 2).otherwise(0)))
     return kpi(spark, directory).select(line.alias("value"), copies.alias("copy")).select("value")
+
+
+def order_logs(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders as blocks of log lines with one template per part: thousands of event types."""
+    return table(spark, directory, "lineitem").select(
+        F.col("l_orderkey").alias("block_id"),
+        F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("event"),
+        (F.col("l_quantity") >= 45).cast("int").alias("heavy"),
+    )

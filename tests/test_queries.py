@@ -31,5 +31,5 @@ def test_random_forest_query(spark, db):
         "SELECT count(DISTINCT (user_id, isoyear(ts), weekofyear(ts))) FROM events"
     ).fetchone()[0]
     rows = QUERIES["random_forest_predictions"](spark, SMALL).collect()
-    assert len(rows) == blocks
+    assert len(rows) == blocks and 0 < sum(r["held_out"] for r in rows) < blocks
     assert all(0 <= r["score"] <= 1 and r["prediction"] in (0, 1) for r in rows)
