@@ -69,6 +69,14 @@ def ship(spark: SparkSession) -> None:
     context._faultloom_shipped = True
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or the first of _name, __name, ... that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

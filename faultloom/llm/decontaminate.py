@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import gram_hashes, ship, text_slices, word_hashes, words_of
+from faultloom.llm.common import gram_hashes, ship, text_slices, unused, word_hashes, words_of
 
 #: Words of a seed; scores of a match, a mismatch and a gap; share of the best score from which a passage counts.
 SEED, MATCH, MISMATCH, GAP, THRESHOLD = 3, 2, -1, -1, 0.5
@@ -210,5 +210,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                         bad[a + r] = True
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(~bad)) for c in batch.columns[1:]], schema=pa.schema([*batch.schema][1:]))
 
-        kept = kept.select(F.col(text_col).cast("string").alias("__text"), "*").mapInArrow(clean, docs.schema)
+        kept = kept.select(F.col(text_col).cast("string").alias(unused(docs.columns, "text")), "*").mapInArrow(clean, docs.schema)
     return kept

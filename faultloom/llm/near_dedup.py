@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import ascii_lower, gram_hashes, mixed, partitions, ship, staged, text_slices, word_hashes, words_of
+from faultloom.llm.common import ascii_lower, gram_hashes, mixed, partitions, ship, staged, text_slices, unused, word_hashes, words_of
 from faultloom.llm.components import components
 
 #: Signature: this many MinHash values of 16 bits each.
@@ -343,5 +343,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the document of the smallest identifier of each group (see near_duplicates), all columns as they were."""
-    kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    name = unused(docs.columns, "kept")
+    kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi")

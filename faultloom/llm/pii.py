@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import staged
+from faultloom.llm.common import staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 # Each matches what the plain pattern of its kind matches: look-behinds only forbid starts that an earlier start
@@ -182,7 +182,9 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text redacted."""
-    spans = personal_data(docs, id_col, text_col).select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans")).dropDuplicates(["__uid"])
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    both = docs.withColumn("__key", key).join(spans, F.col("__key") == F.col("__uid"))
-    return both.withColumn(text_col, redacted(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    uid, found = (unused(docs.columns, name) for name in ("uid", "spans"))
+    spans = personal_data(docs, id_col, text_col).select(F.col("uid").alias(uid), F.col("spans").alias(found)).dropDuplicates([uid])
+    key = unused([*docs.columns, uid, found], "key")
+    both = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    both = both.join(spans, F.col(key) == F.col(uid))
+    return both.withColumn(text_col, redacted(F.col(text_col), F.col(found))).select(*[F.col(f"`{c}`") for c in docs.columns])

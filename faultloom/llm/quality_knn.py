@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import mixed, ship, text_slices, word_hashes, words_of
+from faultloom.llm.common import mixed, ship, text_slices, unused, word_hashes, words_of
 from faultloom.llm.labelled import sample
 
 #: Hashed terms: shapes of four characters, three bytes of text, and what happens from word to word.
@@ -115,10 +115,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     with all labelled vectors are exact products of blocks.
 
     NULL texts count as empty; an empty text has the vector of its length alone. Without labelled rows every
-    score is 0.5, with rows of one label only it is that label. Columns in `keep` are passed through.
+    score is 0.5, with rows of one label only it is that label. Columns in `keep` are passed through;
+    the score, the last column, is called _<score_col> if one of them has its name. Texts are read whole, very
+    long ones in slices; rows that repeat come out repeated, with one score; of equally near or equally hashed
+    rows the choice is fixed by their order. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
+    score_col = unused(keep or [], score_col)
     chosen, _ = sample(docs, labels, label, train, per_class, id_col, text_col)
     got = chosen.mapInArrow(_term_rows, "id long, y int, terms binary").orderBy("id", "terms").collect()
     y = np.array([r["y"] for r in got], np.float64)
@@ -140,7 +144,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.clip(np.concatenate(scores), 0, 1))], names=[*batch.schema.names[1:], score_col])
 
     names = [*([id_col] if id_col not in (keep or []) else []), *(keep or [])]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
+    rows = docs.select(F.col(text_col).cast("string").alias(unused(names, "text")), *[F.col(f"`{c}`") for c in names])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     out = rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{score_col}` double"]))
     return out

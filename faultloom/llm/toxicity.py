@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import mixed, ship
+from faultloom.llm.common import mixed, ship, unused
 from faultloom.llm.labelled import sample
 
 #: Lengths of character n-grams (word borders count as a character), hashed rows of the embedding table, its width.
@@ -131,10 +131,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: Column, id_c
     over its n-grams, so the model that goes to every task is two numbers a bucket (1 MB).
 
     NULL texts count as empty; a text without known n-grams scores as the bias alone. Without labelled rows of
-    both labels every score is the share of label 1, or 0 if there are none. Columns in `keep` are passed through.
+    both labels every score is the share of label 1, or 0 if there are none. Columns in `keep` are passed through;
+    the score, the last column, is called _<score_col> if one of them has its name. Texts are read whole, very
+    long ones in slices; rows that repeat come out repeated, with one score; of equally near or equally hashed
+    rows the choice is fixed by their order. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
+    score_col = unused(keep or [], score_col)
     chosen, counts = sample(docs, labels, label, train_rows, per_class, id_col, text_col)
     got = chosen.mapInArrow(_bags, "id long, y int, buckets binary, counts binary").orderBy("id", "buckets").collect()
     y = np.array([r["y"] for r in got])
@@ -159,6 +163,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: Column, id_c
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores))], names=[*batch.schema.names[1:], score_col])
 
     names = [*([id_col] if id_col not in (keep or []) else []), *(keep or [])]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names])
+    rows = docs.select(F.col(text_col).cast("string").alias(unused(names, "text")), *[F.col(f"`{c}`") for c in names])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return rows.mapInArrow(score, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{score_col}` double"]))
