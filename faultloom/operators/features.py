@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rolling import add_rolling
+from .saved import read_settings, read_table, write_model
 from .slices import ROWS_PER_SLICE, lookback_series
 
 LAGS = (1, 5, 10)
@@ -119,6 +120,17 @@ class FeatureScaler:
             {f: row[f"s_{f}"] for f in features},
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(f, self.means[f], self.deviations[f]) for f in self.means]
+        table = spark.createDataFrame(rows, "feature string, mean double, deviation double")
+        write_model(spark, path, "feature scaler", {"features": list(self.means)}, {"moments": table})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureScaler:
+        order = read_settings(spark, path, "feature scaler")["features"]
+        rows = {r["feature"]: r for r in read_table(spark, path, "moments").collect()}  # one a feature
+        return cls({f: rows[f]["mean"] for f in order}, {f: rows[f]["deviation"] for f in order})
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Replaces each feature by its z-score; NULLs become the learned mean, that is 0."""
 
@@ -139,6 +151,19 @@ class KpiPreprocessor:
     calendar: bool = True
     scaler: FeatureScaler | None = None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Settings, and the scaler once it is fitted, so that ``transform`` goes on elsewhere."""
+        if self.scaler is not None:
+            self.scaler.save(spark, f"{path.rstrip('/')}/scaler")
+        settings = {"ties": list(self.ties), "calendar": self.calendar, "fitted": self.scaler is not None}
+        write_model(spark, path, "KPI preprocessor", settings, {})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KpiPreprocessor:
+        settings = read_settings(spark, path, "KPI preprocessor")
+        scaler = FeatureScaler.load(spark, f"{path.rstrip('/')}/scaler") if settings["fitted"] else None
+        return cls(tuple(settings["ties"]), settings["calendar"], scaler)
+
     def _features(self, df: DataFrame) -> DataFrame:
         return kpi_features(clean(df, self.ties), self.ties, self.calendar)
 

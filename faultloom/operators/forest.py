@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Executors get the tree functions with the task, whether or not this package is installed there.
@@ -69,6 +69,22 @@ class IsolationForestModel:
     sample: int
     threshold: float
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The node table as Parquet beside the settings; see ``load``."""
+        from .saved import write_model
+
+        settings = {"features": list(self.features), "sample": self.sample, "threshold": self.threshold}
+        nodes = spark.createDataFrame(self.nodes, NODE_SCHEMA)
+        write_model(spark, path, "isolation forest", settings, {"nodes": nodes})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IsolationForestModel:
+        from .saved import read_settings, read_table
+
+        settings = read_settings(spark, path, "isolation forest")
+        nodes = read_table(spark, path, "nodes").toPandas().sort_values(["tree", "node"], ignore_index=True)
+        return cls(tuple(settings["features"]), nodes, settings["sample"], settings["threshold"])
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Appends ``score`` in (0, 1] and ``prediction`` (1 at or above the threshold)."""
         arrays = [

@@ -91,6 +91,16 @@ class LogDetectorModel:
     def __init__(self, fitted):
         self.fitted = fitted
 
+    def save(self, path: str) -> None:
+        """The fitted pipeline, trees as Parquet; a model that was there before is replaced."""
+        self.fitted.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> LogDetectorModel:
+        from pyspark.ml import PipelineModel
+
+        return cls(PipelineModel.load(path))
+
     def transform(self, matrix: DataFrame) -> DataFrame:
         """Appends ``score`` (probability of an anomaly) and ``prediction``."""
         from pyspark.ml.functions import vector_to_array
