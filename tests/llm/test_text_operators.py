@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -103,6 +104,39 @@ def test_merge_rounds_do_not_change_groups(spark, runs, fan_in):
     assert got == {f"k{i}": (i, len(range(i, 600, 11))) for i in range(11)}
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_sorted_runs_merge_as_plain_groups_do(spark, keep):
+    """A digest with a third of all rows, NULL identifiers, digests that agree and lengths that do not."""
+    rows = spark.range(0, 3000, 1, 23).select(
+        F.spark_partition_id().alias("run"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"),
+        F.sha2(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")), 256).alias("text_sha256"),
+        (F.col("id") % 2).alias("text_chars"), F.lit(2).cast("long").alias("text_check")).persist()
+    best = min if keep == "smallest" else max
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r["text_sha256"], r["text_chars"]].append(r["id"])
+    want = {k: (best([i for i in v if i is not None], default=None), len(v)) for k, v in want.items()}
+    for fan_in in (2, 16):
+        merged = exact_dedup.merge_runs(rows, 23, keep, fan_in).collect()
+        assert len(merged) == len(want)
+        assert {(r["text_sha256"], r["text_chars"]): (r["keep_id"], r["group_size"]) for r in merged} == want
+
+
+def test_merging_carries_open_entries_over_batches_and_refuses_disorder():
+    def batch(*entries):
+        columns = list(zip(*entries))
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(exact_dedup.ENTRY))
+
+    parts = [batch((0, "a", 1, 1, 5, 2)), batch((0, "a", 1, 1, 9, 1), (0, "b", 1, 1, 2, 1)),
+             batch((0, "b", 2, 1, 1, 1), (1, "a", 1, 1, 3, 4))]
+    got = [tuple(r.values()) for out in exact_dedup.merge_sorted(iter(parts)) for r in out.to_pylist()]
+    assert got == [(0, "a", 1, 1, 5, 3), (0, "b", 1, 1, 2, 1), (0, "b", 2, 1, 1, 1), (1, "a", 1, 1, 3, 4)]
+    assert list(exact_dedup.merge_sorted(iter([]))) == []
+    with pytest.raises(ValueError):
+        list(exact_dedup.merge_sorted(iter([parts[1], parts[0]])))
+
+
 # near duplicates
 
 
