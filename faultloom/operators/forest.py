@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Executors get the tree functions with the task, whether or not this package is installed there.
@@ -62,6 +62,34 @@ def grow_tree(tree: int, points: np.ndarray, limit: int, seed: int) -> pd.DataFr
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "path"])
 
 
+def tree_arrays(nodes: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """The node table as arrays for each tree."""
+    return [
+        tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
+        for _, t in nodes.sort_values(["tree", "node"]).groupby("tree")
+    ]
+
+
+def _points(columns: Sequence[pd.Series]) -> np.ndarray:
+    return np.nan_to_num(np.column_stack([c.to_numpy(dtype="float64") for c in columns]), nan=0.0)
+
+
+def mean_depths(points: np.ndarray, trees: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """The path length of every point, averaged over the trees."""
+    total = np.zeros(len(points))
+    row = np.arange(len(points))
+    for feature, cut, left, right, path in trees:
+        at = np.zeros(len(points), dtype=np.int64)
+        while True:
+            inner = feature[at] >= 0
+            if not inner.any():
+                break
+            below = points[row, feature[at]] <= cut[at]
+            at = np.where(inner, np.where(below, left[at], right[at]), at)
+        total += path[at]
+    return total / len(trees)
+
+
 @dataclass(frozen=True)
 class IsolationForestModel:
     features: tuple[str, ...]
@@ -87,36 +115,25 @@ class IsolationForestModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Appends ``score`` in (0, 1] and ``prediction`` (1 at or above the threshold)."""
-        arrays = [
-            tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
-            for _, t in self.nodes.sort_values(["tree", "node"]).groupby("tree")
-        ]
+        trees = tree_arrays(self.nodes)
         scale = float(mean_path(self.sample)) or 1.0
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
                 columns = [columns] if isinstance(columns, pd.Series) else columns
-                points = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-                points = np.nan_to_num(points, nan=0.0)
-                total = np.zeros(len(points))
-                row = np.arange(len(points))
-                for feature, cut, left, right, path in arrays:
-                    at = np.zeros(len(points), dtype=np.int64)
-                    while True:
-                        inner = feature[at] >= 0
-                        if not inner.any():
-                            break
-                        below = points[row, feature[at]] <= cut[at]
-                        at = np.where(inner, np.where(below, left[at], right[at]), at)
-                    total += path[at]
-                yield pd.Series(np.power(2.0, -(total / len(arrays)) / scale))
+                yield pd.Series(np.power(2.0, -mean_depths(_points(columns), trees) / scale))
 
         inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features]
         scored = df.withColumn("score", score(*inputs))
         return scored.withColumn("prediction", (F.col("score") >= self.threshold).cast("int"))
 
 
+def _tree(trees: Column) -> Column:
+    """The tree a drawn row goes to, from its hash and the deal."""
+    return F.pmod(F.pmod(F.xxhash64("_hash"), trees) + F.col("_deal"), trees).cast("int").alias("tree")
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """``fit`` counts the table and draws from it once; the driver only ever sees the node table,
@@ -138,20 +155,22 @@ class IsolationForest:
         """
         wanted = self.trees * self.sample
         rows = df.count()
-        bound = min(int(-(2**63) + min(1.0, 4.0 * wanted / max(rows, 1)) * 2**64), 2**63 - 1)
         deals = min(self.trees, -(-wanted // max(rows, 1)))
+        deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))
+        chosen = self._chosen(df, row_id, wanted, rows).withColumn("_deal", deal)
+        return chosen.select(_tree(F.lit(self.trees)), *self.features)
+
+    def _chosen(self, df: DataFrame, row_id: Sequence[str], wanted: int, rows: int) -> DataFrame:
+        """The ``wanted`` rows with the smallest hashes, with their ``_hash``."""
+        bound = min(int(-(2**63) + min(1.0, 4.0 * wanted / max(rows, 1)) * 2**64), 2**63 - 1)
         inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features]
         ids = [F.col(c) for c in row_id]
-        chosen = (
+        return (
             df.select(*inputs, F.xxhash64(*ids, F.lit(self.seed)).alias("_hash"))
             .where(F.col("_hash") <= bound)
             .orderBy("_hash")
             .limit(wanted)
         )
-        deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))
-        first = F.pmod(F.xxhash64("_hash"), F.lit(self.trees))
-        tree = F.pmod(first + F.col("_deal"), F.lit(self.trees)).cast("int")
-        return chosen.withColumn("_deal", deal).select(tree.alias("tree"), *self.features)
 
     def fit(self, df: DataFrame, row_id: Sequence[str]) -> IsolationForestModel:
         features, seed = list(self.features), self.seed
@@ -174,3 +193,65 @@ class IsolationForest:
         size = int(round(grown.groupby("tree")["size"].first().mean()))
         return IsolationForestModel(self.features, grown.drop(columns="size"), size,
                                     self.threshold)
+
+    def tune(
+        self, df: DataFrame, row_id: Sequence[str], label: str, grid: Sequence[tuple[int, int]]
+    ) -> tuple[IsolationForestModel, DataFrame]:
+        """The (trees, sample) pair of ``grid`` with the largest exact ROC area, as a model, and the
+        areas: ``trees, sample, auc`` (NULL if ``label`` has one class only). Ties go to the pair
+        that comes first; each forest is the one ``fit`` would grow.
+
+        The table is counted and drawn from once, all forests grow in one grouped job with the pair
+        as part of the key, and one pass scores every row with all of them.
+        """
+        from .evaluate import roc_auc
+
+        grid = list(dict.fromkeys((int(t), int(n)) for t, n in grid))
+        features, seed = list(self.features), self.seed
+        rows = df.count()
+        pairs = F.array(*[
+            F.struct(F.lit(i).alias("pair"), F.lit(t).alias("trees"), F.lit(t * n).alias("wanted"),
+                     F.lit(min(t, -(-(t * n) // max(rows, 1)))).alias("deals"))
+            for i, (t, n) in enumerate(grid)
+        ])
+        # At most the largest trees * sample rows are left here, so one task may number them.
+        place = F.row_number().over(Window.orderBy("_hash", *features))
+        drawn = (
+            self._chosen(df, row_id, max(t * n for t, n in grid), rows)
+            .withColumn("_place", place)
+            .withColumn("_pair", F.explode(pairs))
+            .where(F.col("_place") <= F.col("_pair.wanted"))
+            .withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_pair.deals") - 1)))
+            .select(F.col("_pair.pair").alias("pair"), _tree(F.col("_pair.trees")), *features)
+        )
+        limits = [int(np.ceil(np.log2(max(n, 2)))) for _, n in grid]
+
+        def grow(key, part):
+            points = part.sort_values(features)[features].to_numpy(dtype="float64")
+            nodes = grow_tree(int(key[1]), points, limits[int(key[0])], seed)
+            return nodes.assign(size=len(points), pair=int(key[0]))
+
+        grown = drawn.groupBy("pair", "tree").applyInPandas(
+            grow, f"{NODE_SCHEMA}, size int, pair int").toPandas()
+        if grown.empty:
+            raise ValueError("the training table has no rows")
+        nodes = [grown[grown["pair"] == i] for i in range(len(grid))]
+        sizes = [int(round(t.groupby("tree")["size"].first().mean())) for t in nodes]
+        forests = [(tree_arrays(t), float(mean_path(n)) or 1.0) for t, n in zip(nodes, sizes)]
+
+        @F.pandas_udf("array<double>")
+        def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                columns = [columns] if isinstance(columns, pd.Series) else columns
+                points = _points(columns)
+                each = [np.power(2.0, -mean_depths(points, trees) / scale) for trees, scale in forests]
+                yield pd.Series(list(np.column_stack(each)))
+
+        inputs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+        scored = df.select(F.col(label).alias("y_true"), F.posexplode(scores(*inputs)).alias("pair", "score"))
+        found = {r["pair"]: r["auc"] for r in roc_auc(scored, keys=["pair"]).collect()}
+        best = max(range(len(grid)), key=lambda i: (found.get(i) is not None, found.get(i) or 0.0, -i))
+        areas = df.sparkSession.createDataFrame(
+            [(*grid[i], found.get(i)) for i in range(len(grid))], "trees int, sample int, auc double")
+        kept = nodes[best].drop(columns=["size", "pair"])
+        return IsolationForestModel(self.features, kept, sizes[best], self.threshold), areas

@@ -134,9 +134,11 @@ def log_windows(
     order: Sequence[str],
     history: int = HISTORY,
     rows_per_slice: int = ROWS_PER_SLICE,
+    full: bool = True,
 ) -> DataFrame:
     """Training windows: each event with the ``history`` events before it in its block. Events
-    with fewer predecessors have no window; NULL events take part like any other."""
+    with fewer predecessors have no window, or a shorter one without ``full``; NULL events take
+    part like any other."""
     series = lookback_series(
         events.select(BLOCK, "event", *order), [BLOCK], order, history, rows_per_slice
     )
@@ -144,7 +146,9 @@ def log_windows(
     before = F.collect_list(F.struct("event")).over(series.window.rowsBetween(-history, -1))
     events_before = F.transform(before, lambda e: e["event"])
     windows = series.finish(series.rows.withColumn("history", events_before))
-    return windows.where(F.size("history") == history).select(
+    if full:
+        windows = windows.where(F.size("history") == history)
+    return windows.select(
         BLOCK, *order, "history", F.col("event").alias("next_event")
     )
 
@@ -180,3 +184,66 @@ def next_event_misses(
     return checked.groupBy(BLOCK).agg(missed.alias("misses")).withColumn(
         "flagged", (F.col("misses") > tolerated).cast("int")
     )
+
+
+def _text(*columns: Column | str) -> Column:
+    """Columns as one text in which NULL and empty events differ and match themselves."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _suffixes(history: str) -> Column:
+    """The last 0, 1, ... events of a history as ``length, context``."""
+    size = F.size(history)
+    return F.transform(
+        F.sequence(F.lit(0), size),
+        lambda k: F.struct(k.alias("length"), _text(F.slice(history, size - k + 1, k).alias("events")).alias("context")),
+    )
+
+
+def context_table(windows: DataFrame, top: int = TOP, seen: int = 1) -> DataFrame:
+    """Contexts of every length up to that of the histories: ``context, length, likely``, the
+    ``top`` most frequent next events of each context that came before at least ``seen`` events.
+
+    Histories are counted before they are cut into suffixes, and suffixes of all lengths are
+    counted in one aggregation, so even the empty context has at most one row per event type.
+    """
+    counted = windows.groupBy("history", "next_event").agg(F.count(F.lit(1)).alias("n"))
+    counted = (
+        counted.select(F.explode(_suffixes("history")).alias("_suffix"), "next_event", "n")
+        .groupBy("_suffix.length", "_suffix.context", "next_event")
+        .agg(F.sum("n").alias("n"))
+    )
+    one = Window.partitionBy("length", "context")
+    rank = F.row_number().over(one.orderBy(F.col("n").desc(), "next_event"))
+    return (
+        counted.withColumns({"_rank": rank, "_total": F.sum("n").over(one)})
+        .where((F.col("_rank") <= top) & (F.col("_total") >= seen))
+        .groupBy("length", "context")
+        .agg(F.collect_list(_text("next_event")).alias("likely"))
+    )
+
+
+def backed_off_misses(windows: DataFrame, contexts: DataFrame, tolerated: int = 0) -> DataFrame:
+    """Per block the events that are not among the likely ones after the longest known end of their
+    history (``misses``) and those whose whole history is unknown (``backed_off``); ``flagged`` as
+    in ``next_event_misses``. A history without any known end, not even the empty one, is a miss.
+
+    Ends are looked up once for each distinct history, not for each event.
+    """
+    whole = _text("history")
+    counted = windows.groupBy(BLOCK, "history", "next_event").agg(F.count(F.lit(1)).alias("n"))
+    ends = windows.select("history").distinct().select(
+        whole.alias("_history"), F.explode(_suffixes("history")).alias("_suffix")
+    ).select("_history", "_suffix.context")
+    known = attach(ends, contexts, ["context"], ["_history"], count_keys=False)
+    best = known.groupBy("_history").agg(
+        F.max("length").alias("_length"), F.max_by("likely", "length").alias("_likely"))
+    checked = attach(
+        counted.withColumn("_history", whole), best, ["_history"], [BLOCK], how="left", count_keys=False
+    )
+    expected = F.coalesce(F.array_contains("_likely", _text("next_event")), F.lit(False))
+    shorter = F.coalesce(F.col("_length"), F.lit(-1)) < F.size("history")
+    return checked.groupBy(BLOCK).agg(
+        F.sum(F.when(~expected, F.col("n")).otherwise(0)).alias("misses"),
+        F.sum(F.when(shorter, F.col("n")).otherwise(0)).alias("backed_off"),
+    ).withColumn("flagged", (F.col("misses") > tolerated).cast("int"))

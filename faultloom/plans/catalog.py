@@ -15,12 +15,14 @@ from ..operators import (
     distributions,
     evaluate,
     features,
+    forest,
     grid,
     logs,
     models,
     profile,
     quality,
     shifts,
+    sketches,
     timeframes,
     vocabulary,
 )
@@ -367,6 +369,42 @@ def isolation_forest_scores(spark, d):
     return scored.select("event_id", "score", "prediction")
 
 
+def given_forest_scores(spark, d):
+    """The detector's scores from the given node table: path lengths that SQL can follow."""
+    model = forest.IsolationForestModel(("value", "hour"), views.given_nodes(), views.GIVEN_SAMPLE, 0.6)
+    rows = views.kpi(spark, d).withColumn("hour", F.hour("event_time"))
+    return _rounded(model.transform(rows).select("event_id", "score", "prediction"), "score", digits=9)
+
+
+def isolation_forest_tuning(spark, d):
+    """Exact ROC area of every forest size on the labelled rows, all grown and scored together."""
+    train = features.add_series_features(views.kpi_train(spark, d), TIES)
+    grown = forest.IsolationForest(_FOREST_FEATURES)
+    return grown.tune(train, ["event_id"], "label", [(25, 64), (25, 256), (100, 256)])[1]
+
+
+def sketch_accuracy(spark, d):
+    """Figures merged from daily sketches, held against the rows: exact ones as they are, estimates by
+    whether they are within 4 % of the distinct events and 1 % of the rank."""
+    rows = views.kpi(spark, d)
+    merged = sketches.merged_sketches(sketches.daily_sketches(rows, "event_id"))
+    figures = sketches.sketch_figures(merged, [0.5, 0.9])
+    value = F.col("value")
+    exact = rows.join(F.broadcast(figures.select("kpi_id", "q_50", "q_90")), "kpi_id").groupBy("kpi_id").agg(
+        F.count_distinct("event_id").alias("_distinct"), F.count("value").alias("_n"),
+        *[c.alias(f"_{q}_{side}") for q in (50, 90) for side, c in
+          (("below", F.count_if(value < F.col(f"q_{q}"))), ("upto", F.count_if(value <= F.col(f"q_{q}"))))])
+
+    def near(q):
+        n = F.col("_n")
+        return (F.col(f"_{q}_below") <= n * (q / 100 + 0.01)) & (F.col(f"_{q}_upto") >= n * (q / 100 - 0.01))
+
+    return figures.join(exact, "kpi_id").select(
+        "kpi_id", "days", "n", "missing", "minimum", "maximum",
+        (F.abs(F.col("distinct_estimate") - F.col("_distinct")) <= F.col("_distinct") * 0.04).alias("distinct_near"),
+        near(50).alias("median_near"), near(90).alias("q90_near"))
+
+
 # logs
 
 def event_frequencies(spark, d):
@@ -426,6 +464,27 @@ def next_event_misses_null_events(spark, d):
     return logs.next_event_misses(windows, logs.likely_next(windows))
 
 
+def _open_windows(spark, d) -> DataFrame:
+    """Windows of up to six events before, those at the start of a block too; every 17th event is NULL."""
+    event = F.when(F.col("event_id") % 17 != 0, F.col("event"))
+    return logs.log_windows(views.logs(spark, d).withColumn("event", event), views.LOG_ORDER, history=6, full=False)
+
+
+def _contexts(spark, d) -> DataFrame:
+    """Learnt from the blocks of even weeks."""
+    learnt = _open_windows(spark, d).where(F.substring("block_id", -1, 1).cast("int") % 2 == 0)
+    return logs.context_table(learnt, seen=3)
+
+
+def event_contexts(spark, d):
+    return _contexts(spark, d).select("length", "context", F.array_join("likely", ",").alias("likely"))
+
+
+def backed_off_misses(spark, d):
+    """All blocks, with contexts of those of even weeks: histories that were never seen fall back."""
+    return logs.backed_off_misses(_open_windows(spark, d), _contexts(spark, d))
+
+
 def _labelled_matrix(spark, d) -> DataFrame:
     label = F.max((F.col("value") >= 190).cast("int")).alias("label")
     return logs.occurrence_matrix(views.logs(spark, d), views.EVENT_TYPES, [label])
@@ -480,7 +539,8 @@ QUERIES: dict[str, Query] = {
         classification_report, roc_auc, roc_curve, best_threshold, model_comparison,
         clean_series, lag_features, rolling_features, lineitem_rolling_features,
         calendar_features, feature_report, scaled_features,
-        adaptive_threshold, anomaly_runs, isolation_forest_scores,
+        adaptive_threshold, anomaly_runs, isolation_forest_scores, given_forest_scores,
+        isolation_forest_tuning, sketch_accuracy, event_contexts, backed_off_misses,
         event_frequencies, occurrence_matrix, trace_lengths, trace_length_stats, log_positions,
         log_sequences, log_windows, log_windows_null_events, next_event_misses,
         next_event_misses_null_events, log_label_distribution,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,3 +124,17 @@ def order_logs(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("event"),
         (F.col("l_quantity") >= 45).cast("int").alias("heavy"),
     )
+
+
+#: Two isolation trees on the value (feature 0) and the hour (1): tree, node, feature, cut, left, right, path.
+GIVEN_NODES = (
+    (0, 0, 0, 180.0, 1, 2, 0.0), (0, 1, 1, 11.0, 3, 4, 0.0), (0, 2, 0, 260.0, 5, 6, 0.0),
+    (0, 3, -1, 0.0, 3, 3, 9.5), (0, 4, -1, 0.0, 4, 4, 8.25), (0, 5, -1, 0.0, 5, 5, 4.0), (0, 6, -1, 0.0, 6, 6, 2.0),
+    (1, 0, 1, 5.0, 1, 2, 0.0), (1, 1, -1, 0.0, 1, 1, 6.75), (1, 2, 0, 20.0, 3, 4, 0.0),
+    (1, 3, -1, 0.0, 3, 3, 3.5), (1, 4, 0, 120.0, 5, 6, 0.0), (1, 5, -1, 0.0, 5, 5, 10.0), (1, 6, -1, 0.0, 6, 6, 5.5),
+)
+GIVEN_SAMPLE = 256
+
+
+def given_nodes() -> pd.DataFrame:
+    return pd.DataFrame(GIVEN_NODES, columns=["tree", "node", "feature", "cut", "left", "right", "path"])

@@ -132,3 +132,63 @@ def test_matrix_and_checks(spark, events):
         "label_block_present": 1, "label_block_unique": 1, "label_present": 1, "label_values": 1,
         "event_block_present": 0, "event_present": 0, "event_block_labelled": 1}
     assert events.agg(F.count(F.lit(1))).first()[0] == 9
+
+
+def test_tuning_grows_and_scores_every_forest_at_once(points):
+    """The areas and the model are those of forests fitted one by one; reruns and partitions do not matter."""
+    grown = forest.IsolationForest(("x", "y"), seed=3)
+    grid = [(3, 16), (20, 128), (3, 16), (10, 4096)]
+    model, areas = grown.tune(points.repartition(5), ["id"], "label", grid)
+    again, same = grown.tune(points, ["id"], "label", grid)
+    areas = {(r["trees"], r["sample"]): r["auc"] for r in areas.collect()}
+    assert areas == {(r["trees"], r["sample"]): r["auc"] for r in same.collect()} and len(areas) == 3
+    order = ["tree", "node"]
+    for (trees, sample), auc in areas.items():
+        alone = forest.IsolationForest(("x", "y"), trees=trees, sample=sample, seed=3).fit(points, ["id"])
+        assert evaluate.roc_auc_score(alone.transform(points), "label") == pytest.approx(auc)
+        if auc == max(areas.values()) and alone.sample == model.sample:
+            pd.testing.assert_frame_equal(
+                model.nodes.sort_values(order, ignore_index=True)[alone.nodes.columns],
+                alone.nodes.sort_values(order, ignore_index=True))
+    pd.testing.assert_frame_equal(
+        model.nodes.sort_values(order, ignore_index=True), again.nodes.sort_values(order, ignore_index=True))
+
+
+def test_tuning_without_both_classes_keeps_the_first_pair(points):
+    model, areas = forest.IsolationForest(("x", "y")).tune(points.where("label = 0"), ["id"], "label", [(2, 8), (3, 8)])
+    assert model.nodes["tree"].nunique() == 2 and all(r["auc"] is None for r in areas.collect())
+
+
+def test_unseen_histories_back_off(spark):
+    """Against a plain count of every suffix, with NULL events and blocks shorter than the history."""
+    rng = np.random.default_rng(5)
+    kinds = ["a", "b", "c", None]
+    learnt = [(f"k{b}", i, kinds[int(rng.integers(4))]) for b in range(20) for i in range(int(rng.integers(1, 15)))]
+    fresh = learnt[:40] + [("new", i, e) for i, e in enumerate(["z", "a", None, "b", "z", "z"])]
+    schema = "block_id string, position int, event string"
+
+    def windows(rows):
+        return logs.log_windows(spark.createDataFrame(rows, schema), ["position"], history=3, full=False)
+
+    def plain(rows):
+        blocks = {}
+        for block, _, event in rows:
+            blocks.setdefault(block, []).append(event)
+        return [(b, tuple(es[max(0, i - 3):i]), e) for b, es in blocks.items() for i, e in enumerate(es)]
+
+    counts = {}
+    for _, h, e in plain(learnt):
+        for k in range(len(h) + 1):
+            at = counts.setdefault(h[len(h) - k:], {})
+            at[e] = at.get(e, 0) + 1
+    want = {}
+    for block, h, e in plain(fresh):
+        ends = [h[k:] for k in range(len(h) + 1) if sum(counts.get(h[k:], {}).values()) >= 2]
+        top = sorted(counts[ends[0]].items(), key=lambda c: (-c[1], c[0] is not None, c[0] or ""))[:2]
+        misses, short = want.get(block, (0, 0))
+        want[block] = (misses + (e not in [t for t, _ in top]), short + (len(ends[0]) < len(h)))
+    got = logs.backed_off_misses(windows(fresh), logs.context_table(windows(learnt), seen=2), tolerated=1).collect()
+    assert {r["block_id"]: (r["misses"], r["backed_off"]) for r in got} == want
+    assert all(r["flagged"] == (r["misses"] > 1) for r in got) and want["new"][1] > 0
+    none = logs.backed_off_misses(windows(fresh), logs.context_table(windows(learnt).limit(0)))
+    assert all(r["misses"] == r["backed_off"] for r in none.collect())

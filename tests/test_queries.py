@@ -15,7 +15,8 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_only_trained_detectors_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"isolation_forest_scores", "random_forest_predictions"}
+    assert set(QUERIES) - set(ORACLES) == {
+        "isolation_forest_scores", "isolation_forest_tuning", "random_forest_predictions"}
 
 
 def test_isolation_forest_query(spark):
