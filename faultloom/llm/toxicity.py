@@ -15,7 +15,9 @@ from faultloom.llm.labelled import sample
 #: Lengths of character n-grams (word borders count as a character), hashed rows of the embedding table, its width.
 GRAMS, BUCKETS, WIDTH = (3, 4, 5, 6), 1 << 17, 8
 #: Labelled rows of each class at most, passes over them, rows a step, learning rate.
-PER_CLASS, EPOCHS, STEP_ROWS, RATE = 1500, 12, 32, 0.5
+PER_CLASS, EPOCHS, STEP_ROWS, RATE = 1500, 20, 32, 0.5
+#: Learning rate of the weights' logarithms, and their bound.
+GATE_RATE, GATE_BOUND = 0.3, 6
 SLICE_CHARS = 400_000
 
 
@@ -69,27 +71,22 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, odds: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(weight of every bucket, its share of the logit, bias): what scoring needs of embeddings and softmax.
 
-    Embeddings and softmax are trained together by Adagrad on the cross entropy. An n-gram enters the average
-    of its text with its count, weighted by how far apart its document frequencies in the two labels are (in
-    standard errors), so that the many n-grams of ordinary words do not drown the few that tell. `odds`: log odds of label 1 among all
+    Embeddings, softmax and the weight of every n-gram in the average are trained together by Adagrad on the
+    cross entropy; weights start equal, so the average starts as the plain one, and the many n-grams of ordinary
+    words lose weight to the few that tell. N-grams of one document have no vector. `odds`: log odds of label 1 among all
     rows less those of the sample; added to the bias, as the sample is taken by class.
     """
     seen = np.zeros(BUCKETS, np.float32)
     for b, _ in bags:
         seen[b] += 1
-    with_1 = np.zeros(BUCKETS, np.float32)
-    for (b, _), one in zip(bags, y):
-        with_1[b] += one
-    n_1, n_0 = float((y == 1).sum()), float((y == 0).sum())
-    share = (seen + 1) / (len(bags) + 2)
-    apart = np.abs((with_1 + 0.5) / (n_1 + 1) - (seen - with_1 + 0.5) / (n_0 + 1)) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
-    weight = np.where(seen > 1, np.maximum(apart - 1.5, 0) + 0.02, 0).astype(np.float32)
+    known = (seen > 1).astype(np.float32)
     rng = np.random.default_rng(0)
     table = rng.uniform(-0.5, 0.5, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
     table[seen == 0] = 0
     soft, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
     soft[:, 1] = rng.uniform(-0.5, 0.5, WIDTH)
     soft[:, 0] = -soft[:, 1]
+    gate, g_gate = np.zeros(BUCKETS, np.float32), np.full(BUCKETS, 1e-6, np.float32)
     g_table, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full_like(soft, 1e-6), np.full_like(bias, 1e-6)
     target = np.eye(2, dtype=np.float32)[y.astype(int)]
     for _ in range(EPOCHS):
@@ -99,9 +96,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, odds: float)
             if not rows:
                 continue
             b = np.concatenate([bags[r][0] for r in rows])
-            c = np.concatenate([bags[r][1] for r in rows]) * weight[b]
-            starts = np.cumsum([0] + [len(bags[r][0]) for r in rows])[:-1]
-            size = np.repeat(np.maximum(np.add.reduceat(c, starts), 1e-9), [len(bags[r][0]) for r in rows])
+            c = np.concatenate([bags[r][1] for r in rows]) * known[b] * np.exp(gate[b])
+            lengths = [len(bags[r][0]) for r in rows]
+            starts = np.cumsum([0] + lengths)[:-1]
+            size = np.repeat(np.maximum(np.add.reduceat(c, starts), 1e-9), lengths)
             c = (c / size).astype(np.float32)
             mean = np.add.reduceat(table[b] * c[:, None], starts, axis=0)
             logits = mean @ soft + bias
@@ -109,16 +107,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, odds: float)
             p /= p.sum(axis=1, keepdims=True)
             d = (p - target[rows]) / len(rows)
             d_soft, d_bias, d_mean = mean.T @ d, d.sum(axis=0), d @ soft.T
-            d_rows = np.repeat(d_mean, [len(bags[r][0]) for r in rows], axis=0) * c[:, None]
+            d_mean = np.repeat(d_mean, lengths, axis=0)
+            d_own = ((table[b] - np.repeat(mean, lengths, axis=0)) * d_mean).sum(axis=1) * c
+            d_rows = d_mean * c[:, None]
             used, inverse = np.unique(b, return_inverse=True)
             d_used = np.stack([np.bincount(inverse, weights=d_rows[:, k], minlength=len(used)) for k in range(WIDTH)], axis=1).astype(np.float32)
             g_table[used] += (d_used**2).mean(axis=1)
             table[used] -= RATE * d_used / np.sqrt(g_table[used])[:, None]
+            d_gate = np.bincount(inverse, weights=d_own, minlength=len(used)).astype(np.float32)
+            g_gate[used] += d_gate**2
+            gate[used] = np.clip(gate[used] - GATE_RATE * d_gate / np.sqrt(g_gate[used]), -GATE_BOUND, GATE_BOUND)
             g_soft += d_soft**2
             soft -= 0.1 * RATE * d_soft / np.sqrt(g_soft)
             g_bias += d_bias**2
             bias -= 0.1 * RATE * d_bias / np.sqrt(g_bias)
-    return weight, (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] + odds)
+    return known * np.exp(gate), (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] + odds)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text",
