@@ -202,7 +202,7 @@ def _suffixes(history: str) -> Column:
 
 def context_table(windows: DataFrame, top: int = TOP, seen: int = 1) -> DataFrame:
     """Contexts of every length up to that of the histories: ``context, length, likely``, the
-    ``top`` most frequent next events of each context that came before at least ``seen`` events.
+    ``top`` most frequent next events, by rank, of each context that came before at least ``seen`` events.
 
     Histories are counted before they are cut into suffixes, and suffixes of all lengths are
     counted in one aggregation, so even the empty context has at most one row per event type.
@@ -219,7 +219,8 @@ def context_table(windows: DataFrame, top: int = TOP, seen: int = 1) -> DataFram
         counted.withColumns({"_rank": rank, "_total": F.sum("n").over(one)})
         .where((F.col("_rank") <= top) & (F.col("_total") >= seen))
         .groupBy("length", "context")
-        .agg(F.collect_list(_text("next_event")).alias("likely"))
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", _text("next_event").alias("text")))).alias("_ranked"))
+        .select("length", "context", F.transform("_ranked", lambda r: r["text"]).alias("likely"))
     )
 
 
