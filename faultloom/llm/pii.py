@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.llm.common import staged, unused
+from faultloom.llm.common import staged, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 # Each matches what the plain pattern of its kind matches: look-behinds only forbid starts that an earlier start
@@ -19,9 +21,12 @@ PATTERNS = {
 }
 #: A term: a word that begins with a letter, with nothing of a word on either side.
 TERM = r"(?<=[^\p{L}\p{N}_'-])\p{L}[\p{L}\p{N}_'-]*+(?=[^\p{L}\p{N}_'-])"
-#: A term discloses an entity if both meet in at least so many documents, and if seeing the term gives away at
-#: least this share of the entity's information content.
-MIN_TOGETHER, DISCLOSURE = 2, 0.8
+#: A term discloses an entity if both meet in at least so many different texts, and if seeing the term gives away
+#: at least this share of the entity's information content even at the lower bound of its probability, which lies
+#: this many standard errors down.
+MIN_TOGETHER, DISCLOSURE, CERTAINTY = 2, 0.8, 1.0
+#: Spans whose places are summed in one go.
+PIECES = 64
 #: Terms up to this number are broadcast to the documents; more are joined by a shuffle, with the same result.
 BROADCAST_TERMS = 200_000
 
@@ -46,23 +51,45 @@ def _valid(kind: str, match: Column) -> Column:
     return n.between(14, 19) & _luhn(digits) if kind == "card" else n.between(10, 15)
 
 
-def _spans(text: Column, pattern: str, rank: int, offset: Column | int = 0) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(pieces: Column, rank: int, offset: int) -> Column:
+    """Array of spans of pieces (gap, match), by running sums of their lengths from `offset`.
+
+    Sums and arrays are built for PIECES at a time and then put together, so the work grows with the text.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    width = lambda c: F.aggregate(c, F.lit(0), lambda at, p: at + p["gap"] + F.length(p["match"]))
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + piece["gap"]
+        end = start + F.length(piece["match"])
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), piece["match"].alias("match"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    def begin(chunks: Column) -> Column:
+        zero = F.struct(F.lit(offset).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(chunks, zero, lambda acc, c: F.struct((acc["at"] + width(c)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+
+    spans = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]
+    chunks = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(PIECES)), lambda i: F.slice(pieces, i, PIECES))
+    return _let(chunks, lambda c: F.flatten(F.zip_with(c, begin(c), spans)))
+
+
+def _spans(text: Column, pattern: str, rank: int, offset: int = 0) -> Column:
     """Array of (start, rank, end, match) of all matches; code points from `offset`, end exclusive.
 
     The pieces between matches and the matches alternate, so running sums of their lengths give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found,
-                       lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    begin = F.struct((F.lit(0) + offset).cast("int").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def of(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern), F.lit(1), F.size(found))
+        pieces = F.zip_with(gaps, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
+        return F.when(F.size(found) > 0, _let(pieces, lambda p: _placed(p, rank, offset))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step)["spans"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def base_spans(text: Column) -> Column:
@@ -77,20 +104,10 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _term_spans(text: Column, terms: Column) -> Column:
-    """Array of spans wherever one of the terms (in lower case) stands."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    words = F.regexp_extract_all(padded, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(padded, TERM), F.lit(1), F.size(words)), words, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-    begin = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), F.lower(pair["match"]).alias("match"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(pair["match"])), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(pairs, begin, step)["spans"]
+def _word_spans(text: Column) -> Column:
+    """Array of the spans of all terms of a text; their match is in lower case."""
+    spans = _spans(F.concat(F.lit(" "), text, F.lit(" ")), TERM, len(KINDS), -1)
+    return F.transform(spans, lambda s: s.withField("match", F.lower(s["match"])))
 
 
 def _outside(spans: Column) -> Column:
@@ -124,51 +141,68 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
 
 
+def lower_share(both: Column, of: Column, certainty: float) -> Column:
+    """Lower bound of the probability behind `both` of `of` (Wilson's interval, one side)."""
+    z2 = F.lit(certainty * certainty)
+    p = both / of
+    spread = F.lit(certainty) * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))
+    return (p + z2 / (2 * of) - spread) / (1 + z2 / of)
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", together: int = MIN_TOGETHER,
-                  disclosure: float = DISCLOSURE) -> DataFrame:
+                  disclosure: float = DISCLOSURE, certainty: float = CERTAINTY) -> DataFrame:
     """Per document: doc_id, uid (hash of identifier and text), spans (array of start, rank, end, match) and base (those of the patterns).
 
-    Protected entities are the values the patterns find. A term t tells log2 of p(t, c) / (p(t) p(c)) bits about
-    an entity c, of the log2 of 1 / p(c) bits there are; probabilities are shares of all documents, those that
-    contain the term, the entity, or both anywhere. Every occurrence of a term above the threshold gets a span of
-    kind "term", in all documents, but not inside a span of a pattern.
+    Protected entities are the values the patterns find. A term t tells log2 of p(c | t) / p(c) bits about an
+    entity c, of the log2 of 1 / p(c) bits there are. Probabilities are shares of the different texts (copies
+    of a text say nothing new): p(c) of all of them, p(c | t) of those with the term, at the lower bound of a
+    confidence interval, so that few texts prove less than many. Every occurrence of a term above the threshold
+    gets a span of kind "term", in all documents, but not inside a span of a pattern.
 
-    Entities of the same documents are counted as one. A term of n documents can only tell enough about an entity
-    of m if n <= N ** (1 - disclosure) * m ** disclosure, as both meet in at most m; other terms are left out
-    before they are paired, which changes no result.
+    Entities of the same texts are counted as one. A term of n texts can only tell enough about an entity of m
+    if n <= N ** (1 - disclosure) * m ** disclosure, as both meet in at most m; other terms are left out before
+    they are paired, which changes no result.
 
-    NULL texts count as empty; rows that agree in identifier and text share one result. Other columns are
-    ignored; an empty table gives no rows. Only DataFrame functions are used.
+    NULL texts count as empty; rows that agree in identifier and text share one result. Very long texts are
+    worked through once, in time that grows with their length; spans are sorted by start, then kind, so there are
+    no ties. Other columns are ignored; an empty table gives no rows. Only DataFrame functions are used.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "t"))
-    found = staged(rows.select("doc_id", "uid", base_spans(F.col("t")).alias("base"), "t").select(
-        "doc_id", "uid", "base", F.when(F.size("base") > 0, _terms(F.col("t"))).alias("terms")))
+    found = written(rows.select(
+        "doc_id", "uid", F.monotonically_increasing_id().alias("row"), F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("same"),
+        base_spans(F.col("t")).alias("base"), _terms(F.col("t")).alias("terms")))
+
+    # Of equal texts, one row is evidence.
+    copies = found.groupBy("same").agg(F.min("row").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    copies = written(found.select("row", "same").join(copies, "same").where(F.col("row") != F.col("first")).select("row"))
+    texts = found.join(copies, "row", "left_anti")
 
-    holding = found.where(F.size("base") > 0)
+    holding = texts.where(F.size("base") > 0)
     value = F.array_distinct(F.transform("base", lambda s: F.concat(s["rank"].cast("string"), F.lit(":"), s["match"])))
     values = holding.select("uid", F.explode(value).alias("entity")).groupBy("entity", "uid").agg(F.count("*").alias("times"))
     mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "uid").cast("decimal(20,0)"))
-    sets = values.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count("*").alias("n_docs"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("n_docs") >= together)
-    sets = staged(values.join(sets, "entity").select(F.struct("n_entity", "a", "b").alias("set"), "n_entity", "uid", "times").distinct())
+    sets = values.groupBy("entity").agg(F.count("*").alias("n_entity"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("n_entity") >= together)
+    sets = staged(values.join(sets, "entity").select(F.struct("n_entity", "a", "b").alias("set"), "n_entity", "uid").distinct())
 
-    words = rows.select("uid", F.explode(_terms(F.col("t"))).alias("term"))
-    total = F.lit(float(max(rows.count(), 1)))
+    total = F.lit(float(max(texts.count(), 1)))
     # A little above the bound, for rounding: told and content decide.
     bound = lambda m: F.pow(total, F.lit(1 - disclosure)) * F.pow(m, F.lit(disclosure)) * 1.001
     most = F.lit(float(sets.agg(F.max("n_entity")).first()[0] or 0))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).where((F.col("n_term") >= together) & (F.col("n_term") <= bound(most)))
+    of_term = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(
+        (F.col("n_term") >= together) & (F.col("n_term") <= bound(most)))
     near = holding.select("uid", F.explode("terms").alias("term")).join(of_term, "term").join(sets, "uid").where(F.col("n_term") <= bound(F.col("n_entity")))
-    pairs = near.groupBy("set", "term").agg(
-        F.count("*").alias("n_both"), F.round(F.sum(1 / F.col("times"))).alias("n_docs"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = near.groupBy("set", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     content = F.log2(total / F.col("n_entity"))
-    told = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    disclosing = staged(pairs.where((F.col("n_docs") >= together) & (content > 0) & (told >= content * disclosure)).select("term").distinct())
+    told = F.log2(total / F.col("n_entity") * lower_share(F.col("n_both"), F.col("n_term"), certainty))
+    disclosing = staged(pairs.where((F.col("n_both") >= together) & (content > 0) & (told >= content * disclosure)).select("term").distinct())
 
     few = disclosing.count() <= BROADCAST_TERMS
-    holders = words.join(F.broadcast(disclosing) if few else disclosing, "term").groupBy("uid").agg(F.collect_set("term").alias("terms"))
-    added = rows.select("uid", "t").join(holders, "uid").select("uid", _term_spans(F.col("t"), F.col("terms")).alias("added")).dropDuplicates(["uid"])
+    told_by = F.broadcast(disclosing) if few else disclosing
+    holders = found.select("uid", F.explode("terms").alias("term")).join(told_by, "term").select("uid").distinct()
+    places = rows.join(holders, "uid", "left_semi").select("uid", F.explode(_word_spans(F.col("t"))).alias("span"))
+    added = places.withColumn("term", F.col("span.match")).join(told_by, "term").groupBy("uid").agg(F.collect_set("span").alias("added"))
     out = found.select("doc_id", "uid", "base").join(added, "uid", "left")
     return out.select("doc_id", "uid", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(_outside(F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))))).alias("spans"))
 

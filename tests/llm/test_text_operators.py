@@ -1,6 +1,7 @@
 """The operators against brute force, on odd inputs, and on empty tables."""
 
 import hashlib
+import math
 import os
 import re
 from collections import defaultdict
@@ -328,9 +329,62 @@ def test_pattern_spans_match_plain_patterns(spark, texts):
         assert got[d]["base_sha256"] == hashlib.sha256(plain_spans(t).encode()).hexdigest(), d
 
 
+def disclosing_terms(texts, together, disclosure, certainty):
+    """Terms whose information share about some entity is high enough, by a plain loop over the different texts."""
+    different = {t or "" for _, t in texts}
+    term = re.compile(r"(?<![\w'-])[^\W\d_][\w'-]*")
+    having, holding = {}, {}
+    for t in different:
+        for w in {m.lower() for m in term.findall(t)}:
+            having.setdefault(w, set()).add(t)
+        for span in filter(None, plain_spans(t).split(",")):
+            kind, a, b = span.split(":")
+            holding.setdefault((kind, t[int(a) : int(b)]), set()).add(t)
+    out = set()
+    for c in holding.values():
+        content = math.log2(len(different) / len(c))
+        for w, h in having.items():
+            both, n, z = len(h & c), len(h), certainty
+            if both < together or content <= 0:
+                continue
+            low = (both / n + z * z / (2 * n) - z * math.sqrt(both / n * (1 - both / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if math.log2(len(different) / len(c) * low) >= disclosure * content:
+                out.add(w)
+    return out, term
+
+
+@pytest.mark.parametrize("together,disclosure,certainty", [(2, 0.8, 1.0), (2, 0.5, 0.0), (3, 0.6, 2.0)])
+def test_terms_equal_a_plain_count_of_information_shares(spark, texts, together, disclosure, certainty):
+    rows = [*texts, *((10**6 + i, t) for i, (_, t) in enumerate(texts[:60]))]  # copies, which are no evidence
+    rows += [(2 * 10**6 + i, f"Zebulon{i % 7} of ward{i % 3} wrote from z{i % 7}@mail.org about {'x' * i}") for i in range(40)]
+    out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), together=together, disclosure=disclosure, certainty=certainty)
+    want, term = disclosing_terms(rows, together, disclosure, certainty)
+    assert "zebulon3" in want and "of" not in want
+    got = {r["doc_id"]: r for r in out.collect()}
+    for d, t in rows:
+        covered = [(s["start"], s["end"]) for s in got[d]["base"]]
+        spans = {m.span() for m in term.finditer(t or "") if m[0].lower() in want and not any(a <= m.start() < b for a, b in covered)}
+        assert {(s["start"], s["end"]) for s in got[d]["spans"] if s["rank"] == 4} == spans, d
+
+
+def test_copies_of_one_text_are_no_evidence(spark):
+    rows = [(i, f"report {i} plain words") for i in range(40)] + [(100 + i, "Zebulon called from +1 555 123 4567 here") for i in range(9)]
+    out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()
+    assert len(out) == 9 and all([s["rank"] for s in r["spans"]] == [3] for r in out)
+
+
+def test_long_lists_of_entities_and_terms(spark):
+    one = " ".join(f"Name{i} n{i}@list.org," for i in range(6000))
+    rows = [(i, f"plain words {i}") for i in range(50)] + [(100, one), (101, one + " end")]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert [(s["start"], s["end"], s["rank"]) for s in out[100]["base"]] == [(m.start(), m.end(), 0) for m in re.finditer(r"n[0-9]+@list\.org", one)]
+    names = [(m.start(), m.end()) for m in re.finditer(r"Name[0-9]+", one)]
+    assert [(s["start"], s["end"]) for s in out[101]["spans"] if s["rank"] == 4] == names
+
+
 def test_terms_that_disclose_an_entity_are_added(spark, odd, none):
     rows = [(i, f"report {i} plain words common here") for i in range(40)]
-    rows += [(100 + i, f"common Zebulon called from +1 555 123 456{7} common here") for i in range(3)]
+    rows += [(100 + i, f"common Zebulon called from +1 555 123 456{7} common here {i}") for i in range(3)]
     out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     spans = {r["doc_id"]: [(s["match"], s["rank"]) for s in r["spans"]] for r in out.collect()}
     assert ("zebulon", 4) in spans[100] and ("common", 4) not in spans[100] and spans[0] == []
@@ -342,7 +396,7 @@ def test_terms_that_disclose_an_entity_are_added(spark, odd, none):
 def test_terms_far_from_their_entity_and_without_it_are_spanned(spark):
     far = "plain words common here " * 8
     rows = [(i, f"report {i} {far}") for i in range(60)]
-    rows += [(100 + i, f"Zebulon {far} +1 555 123 4567 {far} zebulon") for i in range(4)]
+    rows += [(100 + i, f"Zebulon {far} +1 555 123 4567 {far} zebulon {i}") for i in range(4)]
     rows += [(200, f"{far} ZEBULON"), (201, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs.unionByName(docs.where("doc_id = 0"))).collect()}
