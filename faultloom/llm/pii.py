@@ -27,6 +27,8 @@ TERM = r"(?<=[^\p{L}\p{N}_'-])\p{L}[\p{L}\p{N}_'-]*+(?=[^\p{L}\p{N}_'-])"
 MIN_TOGETHER, DISCLOSURE, CERTAINTY = 2, 0.8, 1.0
 #: Spans whose places are summed in one go.
 PIECES = 64
+#: Terms of a text up to which only they are placed in it.
+ALTERNATIVES = 64
 #: Terms up to this number are broadcast to the documents; more are joined by a shuffle, with the same result.
 BROADCAST_TERMS = 200_000
 
@@ -79,7 +81,7 @@ def _placed(pieces: Column, rank: int, offset: int) -> Column:
     return _let(chunks, lambda c: F.flatten(F.zip_with(c, begin(c), spans)))
 
 
-def _spans(text: Column, pattern: str, rank: int, offset: int = 0) -> Column:
+def _spans(text: Column, pattern: str | Column, rank: int, offset: int = 0) -> Column:
     """Array of (start, rank, end, match) of all matches; code points from `offset`, end exclusive.
 
     The pieces between matches and the matches alternate, so running sums of their lengths give the places.
@@ -104,9 +106,17 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _word_spans(text: Column) -> Column:
-    """Array of the spans of all terms of a text; their match is in lower case."""
-    spans = _spans(F.concat(F.lit(" "), text, F.lit(" ")), TERM, len(KINDS), -1)
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Array of spans of a text, among them those of the given terms (in lower case); their match is in lower case.
+
+    Up to ALTERNATIVES terms are the alternatives of one pattern; with more, trying them all at every word would take
+    longer than placing every word. Either way other words may be placed too (a few letters match ignoring case but
+    differ in lower case), so callers compare the match.
+    """
+    # Of all letters, only this one has a lower case of two code points, which no pattern matches ignoring case.
+    either = F.replace(F.array_join(terms, "|"), F.lit("i\u0307"), F.lit("(?:i\u0307|\u0130)"))
+    pattern = F.concat(F.lit(r"(?iu)(?<=[^\p{L}\p{N}_'-])(?:"), either, F.lit(r")(?=[^\p{L}\p{N}_'-])"))
+    spans = _spans(F.concat(F.lit(" "), text, F.lit(" ")), F.when(F.size(terms) <= ALTERNATIVES, pattern).otherwise(F.lit(TERM)), len(KINDS), -1)
     return F.transform(spans, lambda s: s.withField("match", F.lower(s["match"])))
 
 
@@ -174,9 +184,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "uid", F.monotonically_increasing_id().alias("row"), F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("same"),
         base_spans(F.col("t")).alias("base"), _terms(F.col("t")).alias("terms")))
 
-    # Of equal texts, one row is evidence.
-    copies = found.groupBy("same").agg(F.min("row").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    copies = written(found.select("row", "same").join(copies, "same").where(F.col("row") != F.col("first")).select("row"))
+    # Of equal texts, one row is evidence. Rows are joined by their number, so a frequent text is no frequent key.
+    first = found.groupBy("same").agg(F.min("row").alias("row")).select("row")
+    copies = written(found.select("row").join(first, "row", "left_anti"))
     texts = found.join(copies, "row", "left_anti")
 
     holding = texts.where(F.size("base") > 0)
@@ -200,8 +210,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     few = disclosing.count() <= BROADCAST_TERMS
     told_by = F.broadcast(disclosing) if few else disclosing
-    holders = found.select("uid", F.explode("terms").alias("term")).join(told_by, "term").select("uid").distinct()
-    places = rows.join(holders, "uid", "left_semi").select("uid", F.explode(_word_spans(F.col("t"))).alias("span"))
+    holders = found.select("uid", F.explode("terms").alias("term")).join(told_by, "term").groupBy("uid").agg(F.collect_set("term").alias("terms"))
+    places = rows.join(holders, "uid").select("uid", F.explode(_term_spans(F.col("t"), F.col("terms"))).alias("span"))
     added = places.withColumn("term", F.col("span.match")).join(told_by, "term").groupBy("uid").agg(F.collect_set("span").alias("added"))
     out = found.select("doc_id", "uid", "base").join(added, "uid", "left")
     return out.select("doc_id", "uid", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(_outside(F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))))).alias("spans"))

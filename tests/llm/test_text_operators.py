@@ -373,6 +373,16 @@ def test_copies_of_one_text_are_no_evidence(spark):
     assert len(out) == 9 and all([s["rank"] for s in r["spans"]] == [3] for r in out)
 
 
+def test_terms_in_any_case_are_spanned(spark):
+    forms = ["Zeb\u0130lon", "ZEB\u0130LON", "zebi\u0307lon", "STRA\u1e9eE", "stra\u00dfe", "\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2"]
+    rows = [(i, f"plain words {i}") for i in range(50)] + [(100 + i, f"a@list.org {' '.join(forms)} {i}") for i in range(4)]
+    rows += [(200, "3" + forms[0] + " x-" + forms[4] + " " + forms[2] + "s")]  # parts of longer words are other terms
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    text = rows[50][1]
+    want = [(text.index(f, 10), text.index(f, 10) + len(f)) for f in forms]
+    assert [(s["start"], s["end"]) for s in got[100] if s["rank"] == 4] == want and got[200] == []
+
+
 def test_long_lists_of_entities_and_terms(spark):
     one = " ".join(f"Name{i} n{i}@list.org," for i in range(6000))
     rows = [(i, f"plain words {i}") for i in range(50)] + [(100, one), (101, one + " end")]
