@@ -1,78 +1,158 @@
 """Rolling figures over frames of time instead of a number of rows.
 
-A frame reaches back by a span, whatever number of rows it holds, so a slice of a long series needs
-all rows of earlier slices that lie within a span of its first row. Which slices those are follows
-from the extremes of the slices; only their rows are copied, once for each slice they reach into.
+Evaluating each frame anew costs rows times rows of a frame. Here time is cut into blocks as long as
+the span, so a frame covers the start of the block its last row is in and the end of the block
+before. Both are running figures, one forwards and one backwards, which take each row once, however
+many rows a frame holds. Figures of parts are merged and never subtracted, so nothing cancels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .slices import ROWS_PER_SLICE, SLICES, Series, _positions, add_slices, has_long_keys, order_position
+from .slices import ROWS_PER_SLICE, SLICES, _positions, add_slices, has_long_keys, order_position
 from .staging import staged
 
 SPANS = (300, 3600)
+# The rows of the block of a frame's last row, and those of the block before: how they are walked.
+_SIDES = {"own": F.asc, "old": F.desc}
+_FIGURES = ("n", "mean", "m2", "low", "high")
 
 
-def _same(left: str, right: str, columns: Sequence[str]):
-    match = F.lit(True)
-    for c in columns:
-        match = match & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return match
+class _Part(NamedTuple):
+    """Figures of some of the rows of a frame; all but ``n`` are NULL where there are none.
+    ``m2`` is the sum of the squared distances from the mean."""
 
+    n: Column
+    mean: Column
+    m2: Column
+    low: Column
+    high: Column
 
-def lookback_span(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    span: int,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> Series:
-    """Prepares range frames along ``_at`` (``time`` in microseconds) that reach back by ``span``
-    seconds. Rows that agree in time share a slice, since each is in the frames of all.
 
-    ``_tie`` holds no order here: a frame of time has none among rows that agree in time.
-    """
-    rows = df.withColumns({"_at": order_position(df, time), "_tie": F.lit(0).cast("bigint")})
-    window = Window.partitionBy(*keys, *SLICES).orderBy("_at")
-    empty = {"_slice": F.array().cast("array<bigint>"), "_carried": F.lit(False)}
-    if not has_long_keys(rows, keys, rows_per_slice):
-        return Series(rows.withColumns(empty), window)
-    sliced = add_slices(rows, keys, _positions(rows, ["_at"]), rows_per_slice, known_long=True)
-    timed = sliced.where((F.size("_slice") > 0) & F.col("_at").isNotNull())
-    along = Window.partitionBy(*keys).orderBy(*SLICES)
-    ends = staged(
-        timed.groupBy(*keys, *SLICES).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        .withColumn("_number", F.row_number().over(along))
-        .withColumn("_reach", F.col("_lo") - span * 1_000_000)
-    )
-    # The first slice that reaches into each slice: how many slices end before the reach, counted
-    # along the merged ends and reaches (two rows a slice).
-    marks = ends.select(*keys, F.col("_hi").alias("_mark"), F.lit(1).alias("_ends"), F.lit(None).cast("int").alias("_to"))
-    marks = marks.union(ends.select(*keys, "_reach", F.lit(0), "_number"))
-    merged = Window.partitionBy(*keys).orderBy("_mark", "_ends").rowsBetween(Window.unboundedPreceding, 0)
-    first = marks.withColumn("_first", F.sum("_ends").over(merged) + 1).where(F.col("_to").isNotNull())
-    reaching = first.where(F.col("_first") < F.col("_to")).select(
-        *keys, "_to", F.explode(F.sequence(F.col("_first"), F.col("_to") - 1)).alias("_from"))
-    source = ends.select(*keys, F.col("_number").alias("_from"), F.col("_slice").alias("_of")).alias("s")
-    target = ends.select(*keys, F.col("_number").alias("_to"), F.col("_slice").alias("_into"), "_reach").alias("t")
-    pairs = (
-        reaching.alias("p")
-        .join(source, _same("p", "s", [*keys, "_from"]))
-        .join(target, _same("p", "t", [*keys, "_to"]))
-        .select(*[F.col(f"p.{k}").alias(k) for k in keys], "_of", "_into", "_reach")
-        .alias("p")
-    )
-    carried = (
-        timed.alias("r")
-        .join(pairs, _same("r", "p", keys) & (F.col("r._slice") == F.col("p._of")) & (F.col("r._at") >= F.col("p._reach")))
-        .select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col("p._into").alias("_slice"), F.lit(True).alias("_carried"))
+def _part(name: str) -> _Part:
+    return _Part(*[F.col(f"_{name}_{f}") for f in _FIGURES])
+
+
+def _named(name: str, part: _Part) -> dict[str, Column]:
+    return {f"_{name}_{f}": c for f, c in zip(_FIGURES, part, strict=True)}
+
+
+def _finite(value: Column) -> Column:
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def _centre(value: Column, window: WindowSpec) -> Column:
+    """The value running figures start from, which is in all of them: sums of distances from it stay
+    small, so means stay exact, whatever values lie outside the frame."""
+    every = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.first(_finite(value), ignorenulls=True).over(every), F.lit(0.0))
+
+
+def _centred(points: DataFrame, place: Sequence[str]) -> DataFrame:
+    whole = Window.partitionBy(*place)
+    return points.withColumns({
+        f"_{side}_centre": _centre(F.col(f"_{side}_value"), whole.orderBy(order("_place")))
+        for side, order in _SIDES.items()
+    })
+
+
+def _merged(frame: DataFrame, parts: Sequence[_Part], least: int) -> DataFrame:
+    """Adds ``_mean`` and ``_std`` of all parts, NULL below ``least`` values; both are exact where
+    all values are equal."""
+    zero = F.lit(0.0)
+    n = sum((F.coalesce(p.n, F.lit(0)) for p in parts), F.lit(0))
+    low, high = F.least(*[p.low for p in parts]), F.greatest(*[p.high for p in parts])
+    counted = frame.withColumns({"_n": n, "_low": low, "_flat": high - low == 0})
+    n = F.nullif(F.col("_n"), F.lit(0))
+    mean = sum((F.coalesce(p.mean * (p.n / n), zero) for p in parts), zero)
+    centred = counted.withColumn("_all", F.when(F.col("_flat"), F.col("_low")).otherwise(mean))
+    off = [p.mean - F.col("_all") for p in parts]
+    m2 = sum((F.coalesce(p.m2 + p.n * d * d, zero) for p, d in zip(parts, off, strict=True)), zero)
+    m2 = F.when(F.col("_flat"), 0.0).otherwise(m2)
+    enough = (F.col("_n") > 0) & (F.col("_n") >= least) & F.col("_at").isNotNull()
+    return centred.withColumns({
+        "_mean": F.when(enough, F.col("_all")),
+        "_std": F.when(enough & (F.col("_n") > 1), F.sqrt(m2 / F.nullif(F.col("_n") - 1, F.lit(0)))),
+    })
+
+
+def _block_rows(rows: DataFrame, span: int) -> DataFrame:
+    """Every row in its block of time (``_own``) and once more in the next one, where frames reach
+    back to it. ``_place`` is the time since the start of the row's own block: a frame that ends at
+    a place holds the own rows up to it and the others from it on. Rows without time come once."""
+    width = max(span * 1_000_000, 1)
+    place = F.pmod(F.col("_at"), F.lit(width))
+    own, both = F.array(F.lit(True)), F.array(F.lit(True), F.lit(False))
+    return (
+        rows.withColumn("_place", place)
+        .withColumn("_own", F.explode(F.when(F.col("_at").isNotNull(), both).otherwise(own) if span else own))
+        .withColumn("_block", F.col("_at") - F.col("_place") + F.when(F.col("_own"), 0).otherwise(width))
+        .withColumns({f"_{side}_value": F.when(F.col("_own") == (side == "own"), F.col("value").cast("double")) for side in _SIDES})
     )
-    return Series(sliced.withColumn("_carried", F.lit(False)).unionByName(carried), window)
+
+
+def _carried(sliced: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row for each slice: the figures of the own rows of all earlier slices of its block, and
+    of the other rows of all later ones. The slices of a block are walked by one task."""
+    totals = {}
+    for side in _SIDES:
+        v, centre = F.col(f"_{side}_value"), F.col(f"_{side}_centre")
+        n = F.count(v)
+        mean = F.max(centre) + F.sum(v - centre) / F.nullif(n, F.lit(0))
+        totals |= _named(side, _Part(n, mean, F.var_pop(v) * n, F.min(v), F.max(v)))
+    place = [*group, *SLICES]
+    slices = _centred(sliced, place).groupBy(*place).agg(*[c.alias(name) for name, c in totals.items()])
+    for side, order in _SIDES.items():
+        along = Window.partitionBy(*group).orderBy(order(*SLICES))
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        p = _part(side)
+        n = F.coalesce(F.sum(p.n).over(before), F.lit(0))
+        away = F.sum((p.mean - F.col("_amid")) * p.n).over(before)
+        slices = slices.withColumn("_amid", _centre(p.mean, along)).withColumns({
+            f"_carried_{side}_n": n,
+            f"_carried_{side}_mean": F.col("_amid") + away / F.nullif(n, F.lit(0)),
+            f"_carried_{side}_low": F.min(p.low).over(before),
+            f"_carried_{side}_high": F.max(p.high).over(before),
+        })
+        # What each slice adds to the sum of squares of the slices before it.
+        past, off = _part(f"carried_{side}"), p.mean - F.col(f"_carried_{side}_mean")
+        adds = p.m2 + F.coalesce(off * off * (past.n * (p.n / F.nullif(past.n + p.n, F.lit(0)))), F.lit(0.0))
+        slices = slices.withColumn("_adds", adds).withColumn(
+            f"_carried_{side}_m2", F.sum("_adds").over(before))
+    names = [f"_carried_{side}_{f}" for side in _SIDES for f in _FIGURES]
+    return slices.select(*place, *names)
+
+
+def _add_span(rows: DataFrame, keys: Sequence[str], span: int, least: int, rows_per_slice: int, cut: bool) -> DataFrame:
+    """Adds ``_mean`` and ``_std`` over the frames that reach back by ``span`` seconds along ``_at``.
+
+    A block of one key with more than ``rows_per_slice`` rows is cut into slices along ``_place``
+    (``cut``); the figures of other slices of the block then enter a slice as one row. Rows that
+    agree in place share a slice, since running figures take them all at once."""
+    group, points = [*keys, "_block"], _block_rows(rows, span)
+    place, parts = group, [_part(side) for side in _SIDES]
+    if cut:
+        place, parts = [*group, *SLICES], parts + [_part(f"carried_{side}") for side in _SIDES]
+        points = add_slices(points, group, _positions(points, ["_place"]), rows_per_slice, known_long=True)
+    whole = Window.partitionBy(*place)
+    if cut:
+        points = points.unionByName(_carried(points, group), allowMissingColumns=True)
+        names = [f"_carried_{side}_{f}" for side in _SIDES for f in _FIGURES]
+        points = points.withColumns({c: F.max(c).over(whole) for c in names})
+    running = {}
+    for side, order in _SIDES.items():
+        upto = whole.orderBy(order("_place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        v, centre = F.col(f"_{side}_value"), F.col(f"_{side}_centre")
+        n = F.count(v).over(upto)
+        mean = centre + F.sum(v - centre).over(upto) / F.nullif(n, F.lit(0))
+        running |= _named(side, _Part(n, mean, F.var_pop(v).over(upto) * n, F.min(v).over(upto), F.max(v).over(upto)))
+    found = _merged(_centred(points, place).withColumns(running).where("_own"), parts, least)
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], "_mean", "_std")
 
 
 def add_time_rolling(
@@ -84,12 +164,18 @@ def add_time_rolling(
     """``rolling_mean_<n>s`` and ``rolling_std_<n>s`` over all rows of a KPI of the last ``n``
     seconds, both ends included, rows of the same time too. NULL values do not count; a figure is
     NULL below ``least`` values, the sample deviation also below two. Rows without time have none.
+
+    Every span is one shuffle of two rows for each row. A span whose blocks are cut reads the table
+    several times, so what earlier spans added is staged before it.
     """
-    series = lookback_span(df, ["kpi_id"], "event_time", max(spans), rows_per_slice)
-    figures = {}
-    for n in spans:
-        frame = series.window.rangeBetween(-n * 1_000_000, 0)
-        enough = F.col("_at").isNotNull() & (F.count("value").over(frame) >= least)
-        figures[f"rolling_mean_{n}s"] = F.when(enough, F.avg("value").over(frame))
-        figures[f"rolling_std_{n}s"] = F.when(enough, F.stddev_samp("value").over(frame))
-    return series.finish(series.rows.withColumns(figures)).drop("_at")
+    keys = ["kpi_id"]
+    rows = df.withColumn("_at", order_position(df, "event_time"))
+    kind = rows.select(F.avg("value").alias("mean")).schema["mean"].dataType
+    out = rows
+    for i, n in enumerate(spans):
+        cut = has_long_keys(_block_rows(rows, n), [*keys, "_block"], rows_per_slice)
+        found = _add_span(staged(out) if cut and i else out, keys, n, least, rows_per_slice, cut)
+        out = found.withColumns({
+            f"rolling_mean_{n}s": F.col("_mean").cast(kind), f"rolling_std_{n}s": F.col("_std"),
+        }).drop("_mean", "_std")
+    return out.drop("_at")

@@ -117,6 +117,41 @@ def test_time_frames_equal_a_scan(spark, rows, span):
             assert mean == pytest.approx(statistics.mean(inside)) and std == pytest.approx(statistics.stdev(inside), abs=1e-9)
 
 
+def test_time_frames_run_forwards_and_backwards(spark):
+    """Every frame of the plan starts at its first row: none is evaluated anew for each row."""
+    rng = random.Random(8)
+    points = [("a", rng.randrange(4000), rng.choice([None, 1.5, 2.0, 8.0])) for _ in range(1200)]
+    got = timeframes.add_time_rolling(series(spark, points), (30, 1000), least=2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+    for r in got.collect():
+        for span in (30, 1000):
+            inside = [v for _, s, v in points if v is not None and points[r["n"]][1] - span <= s <= points[r["n"]][1]]
+            want = (statistics.mean(inside), statistics.stdev(inside)) if len(inside) > 1 else (None, None)
+            found = (r[f"rolling_mean_{span}s"], r[f"rolling_std_{span}s"])
+            assert found == (want if want[0] is None else pytest.approx(want, abs=1e-9))
+
+
+@pytest.mark.parametrize("rows", CUTS)
+def test_time_frames_of_hard_values(spark, rows):
+    """Large numbers close together, level shifts, level lines and values that are not finite."""
+    rng = random.Random(9)
+    values = [1.7e9 + rng.random() / 100 for _ in range(60)] + [0.1] * 60 + [rng.random() for _ in range(40)]
+    values += [1e-3 * rng.random() + 1e6 * (i > 20) for i in range(40)] + [1.0, float("inf"), 2.0, 3.0] + [4.5] * 30
+    points = [("a", i, v) for i, v in enumerate(values)]
+    found = {r["n"]: r for r in timeframes.add_time_rolling(series(spark, points), (15,), rows_per_slice=rows).collect()}
+    for i in range(len(values)):
+        inside = values[max(0, i - 15):i + 1]
+        mean, std = found[i]["rolling_mean_15s"], found[i]["rolling_std_15s"]
+        if float("inf") in inside:
+            assert mean == float("inf") and std != std
+        elif len(inside) == 1:
+            assert mean == inside[0] and std is None
+        else:
+            assert mean == pytest.approx(statistics.mean(inside), rel=1e-14)
+            assert std == pytest.approx(statistics.stdev(inside), rel=1e-4) and (std == 0.0) == (len(set(inside)) == 1)
+
+
 # grids
 
 
