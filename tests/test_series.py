@@ -117,6 +117,17 @@ def test_time_frames_equal_a_scan(spark, rows, span):
             assert mean == pytest.approx(statistics.mean(inside)) and std == pytest.approx(statistics.stdev(inside), abs=1e-9)
 
 
+def shuffled_rows(df):
+    """Rows written by all shuffles of the plan that ``collect`` ran."""
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        written = plan.metrics().get("shuffleRecordsWritten")
+        total += written.get().value() if written.isDefined() else 0
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
 def test_time_frames_run_forwards_and_backwards(spark):
     """Every frame of the plan starts at its first row: none is evaluated anew for each row."""
     rng = random.Random(8)
@@ -132,6 +143,23 @@ def test_time_frames_run_forwards_and_backwards(spark):
             assert found == (want if want[0] is None else pytest.approx(want, abs=1e-9))
 
 
+def test_time_frames_carry_one_row_a_slice(spark):
+    """Frames that hold most of a cut key: what is shuffled keeps to a few rows for each row."""
+    points = [("a", i, float(i % 7)) for i in range(1500)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = timeframes.add_time_rolling(series(spark, points), (1000,), rows_per_slice=20)
+        found = {r["n"]: r for r in got.collect()}
+        assert 0 < shuffled_rows(got) < 20 * len(points)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for i in range(0, 1500, 50):
+        inside = [float(j % 7) for j in range(max(0, i - 1000), i + 1)]
+        assert found[i]["rolling_mean_1000s"] == pytest.approx(statistics.mean(inside))
+        if i:
+            assert found[i]["rolling_std_1000s"] == pytest.approx(statistics.stdev(inside))
+
+
 @pytest.mark.parametrize("rows", CUTS)
 def test_time_frames_of_hard_values(spark, rows):
     """Large numbers close together, level shifts, level lines and values that are not finite."""
