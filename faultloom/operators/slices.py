@@ -29,8 +29,10 @@ ROWS_PER_SLICE = 2_000_000
 SLICES = ["_slice"]
 # Bytes of a text that are compared at a time.
 _TEXT_STEP = 6
-# Least parts of a cut: a round finds six bits of a position. Empty parts cost nothing.
+# Least parts of a cut: a round finds six bits of a position. Empty parts cost nothing; the first cut
+# of a key makes fewer where parts would hold only a few rows, since each part with rows costs some.
 _LEAST_PARTS = 64
+_PART_ROWS = 16
 # Cuts of one round that are broadcast; more of them are joined by key and slice.
 BROADCAST_CUTS = 200_000
 _SALTS = 32
@@ -157,7 +159,9 @@ def add_slices(
             width = F.max(finite) / 2 - low
         rows = F.count(F.lit(1))
         several = (F.min(p) < F.max(p)) | ((F.count(p) > 0) & (F.count(p) < rows))
-        parts = F.greatest(F.ceil(F.col("_rows") / rows_per_slice) * 2, F.lit(_LEAST_PARTS))
+        few_rows = F.when(F.size("_slice") == 0, F.ceil(F.col("_rows") / _PART_ROWS))
+        least = F.least(few_rows, F.lit(_LEAST_PARTS))
+        parts = F.greatest(F.ceil(F.col("_rows") / rows_per_slice) * 2, least)
         while True:
             found = out.groupBy(*path).agg(
                 low.alias("_lo"), F.nullif(width, F.lit(0.0)).alias("_width"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .slices import ROWS_PER_SLICE, SLICES, _positions, add_slices, has_long_keys, order_position
@@ -20,45 +20,41 @@ from .staging import staged
 SPANS = (300, 3600)
 # The rows of the block of a frame's last row, and those of the block before: how they are walked.
 _SIDES = {"own": F.asc, "old": F.desc}
-_FIGURES = ("n", "mean", "m2", "low", "high")
+_FIGURES = ("n", "mean", "m2")
+_ADDED = ("_value", "_coarse", "_rest")
 
 
 class _Part(NamedTuple):
     """Figures of some of the rows of a frame; all but ``n`` are NULL where there are none.
-    ``m2`` is the sum of the squared distances from the mean."""
+    ``m2`` is the sum of the squared distances from the mean. Equal values have themselves as the mean
+    and 0 as ``m2``, without any rounding."""
 
     n: Column
     mean: Column
     m2: Column
-    low: Column
-    high: Column
 
 
 def _part(name: str) -> _Part:
     return _Part(*[F.col(f"_{name}_{f}") for f in _FIGURES])
 
 
-def _named(name: str, part: _Part) -> dict[str, Column]:
-    return {f"_{name}_{f}": c for f, c in zip(_FIGURES, part, strict=True)}
-
-
-def _finite(value: Column) -> Column:
-    return F.when(F.abs(value) < float("inf"), value)
-
+def _with_value(points: DataFrame, side: str) -> DataFrame:
+    """The values of a side as ``_value``, and in two parts: the leading 24 binary digits, whose sums
+    are exact as long as values are of like size, and the rest. So means are as exact as a number can
+    be, in one pass and in any order. Numbers too large for the split, or endless, have no rest."""
+    v, fits = F.col("_value"), F.abs("_value") < 1e290
+    of_side = F.when(F.col("_own") == (side == "own"), F.col("value").cast("double"))
+    high = v * float(2**29 + 1)
+    return (
+        points.withColumn("_value", of_side)
+        .withColumn("_coarse", F.when(fits, high - (high - v)).otherwise(v))
+        .withColumn("_rest", F.when(fits, v - F.col("_coarse")).otherwise(F.lit(0.0)))
+    )
 
-def _centre(value: Column, window: WindowSpec) -> Column:
-    """The value running figures start from, which is in all of them: sums of distances from it stay
-    small, so means stay exact, whatever values lie outside the frame."""
-    every = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.coalesce(F.first(_finite(value), ignorenulls=True).over(every), F.lit(0.0))
 
-
-def _centred(points: DataFrame, place: Sequence[str]) -> DataFrame:
-    whole = Window.partitionBy(*place)
-    return points.withColumns({
-        f"_{side}_centre": _centre(F.col(f"_{side}_value"), whole.orderBy(order("_place")))
-        for side, order in _SIDES.items()
-    })
+def _mean(n: Column, coarse: Column, rest: Column) -> Column:
+    n = F.nullif(n, F.lit(0))
+    return coarse / n + rest / n
 
 
 def _merged(frame: DataFrame, parts: Sequence[_Part], least: int) -> DataFrame:
@@ -66,8 +62,9 @@ def _merged(frame: DataFrame, parts: Sequence[_Part], least: int) -> DataFrame:
     all values are equal."""
     zero = F.lit(0.0)
     n = sum((F.coalesce(p.n, F.lit(0)) for p in parts), F.lit(0))
-    low, high = F.least(*[p.low for p in parts]), F.greatest(*[p.high for p in parts])
-    counted = frame.withColumns({"_n": n, "_low": low, "_flat": high - low == 0})
+    flat = F.greatest(*[p.m2 for p in parts]) == 0
+    low, high = F.least(*[p.mean for p in parts]), F.greatest(*[p.mean for p in parts])
+    counted = frame.withColumns({"_n": n, "_low": low, "_flat": flat & (high - low == 0)})
     n = F.nullif(F.col("_n"), F.lit(0))
     mean = sum((F.coalesce(p.mean * (p.n / n), zero) for p in parts), zero)
     centred = counted.withColumn("_all", F.when(F.col("_flat"), F.col("_low")).otherwise(mean))
@@ -92,38 +89,34 @@ def _block_rows(rows: DataFrame, span: int) -> DataFrame:
         rows.withColumn("_place", place)
         .withColumn("_own", F.explode(F.when(F.col("_at").isNotNull(), both).otherwise(own) if span else own))
         .withColumn("_block", F.col("_at") - F.col("_place") + F.when(F.col("_own"), 0).otherwise(width))
-        .withColumns({f"_{side}_value": F.when(F.col("_own") == (side == "own"), F.col("value").cast("double")) for side in _SIDES})
     )
 
 
 def _carried(sliced: DataFrame, group: Sequence[str]) -> DataFrame:
     """One row for each slice: the figures of the own rows of all earlier slices of its block, and
-    of the other rows of all later ones. The slices of a block are walked by one task."""
-    totals = {}
-    for side in _SIDES:
-        v, centre = F.col(f"_{side}_value"), F.col(f"_{side}_centre")
-        n = F.count(v)
-        mean = F.max(centre) + F.sum(v - centre) / F.nullif(n, F.lit(0))
-        totals |= _named(side, _Part(n, mean, F.var_pop(v) * n, F.min(v), F.max(v)))
+    of the other rows of all later ones. Rows are added up map-side; the slices of a block are walked
+    by one task."""
     place = [*group, *SLICES]
-    slices = _centred(sliced, place).groupBy(*place).agg(*[c.alias(name) for name, c in totals.items()])
+    slices = sliced.where(F.size("_slice") > 0)
+    sums = {}
+    for side in _SIDES:
+        slices = _with_value(slices, side).withColumnsRenamed({c: f"_{side}{c}" for c in _ADDED})
+        v = F.col(f"_{side}_value")
+        flat = F.max(v) - F.min(v) == 0
+        sums |= {f"_{side}{c}": F.sum(f"_{side}{c}") for c in ("_coarse", "_rest")}
+        sums |= {f"_{side}_n": F.count(v), f"_{side}_m2": F.when(flat, 0.0).otherwise(F.var_pop(v) * F.count(v))}
+    slices = slices.groupBy(*place).agg(*[c.alias(name) for name, c in sums.items()])
     for side, order in _SIDES.items():
-        along = Window.partitionBy(*group).orderBy(order(*SLICES))
-        before = along.rowsBetween(Window.unboundedPreceding, -1)
-        p = _part(side)
-        n = F.coalesce(F.sum(p.n).over(before), F.lit(0))
-        away = F.sum((p.mean - F.col("_amid")) * p.n).over(before)
-        slices = slices.withColumn("_amid", _centre(p.mean, along)).withColumns({
-            f"_carried_{side}_n": n,
-            f"_carried_{side}_mean": F.col("_amid") + away / F.nullif(n, F.lit(0)),
-            f"_carried_{side}_low": F.min(p.low).over(before),
-            f"_carried_{side}_high": F.max(p.high).over(before),
-        })
+        before = Window.partitionBy(*group).orderBy(order(*SLICES)).rowsBetween(Window.unboundedPreceding, -1)
+        added = [f"_{side}{c}" for c in ("_n", "_coarse", "_rest")]
+        slices = slices.withColumns({f"_past{c}": F.sum(c).over(before) for c in added})
+        n, past = F.col(f"_{side}_n"), F.coalesce(F.col(f"_past_{side}_n"), F.lit(0))
+        mean = _mean(past, *[F.col(f"_past{c}") for c in added[1:]])
         # What each slice adds to the sum of squares of the slices before it.
-        past, off = _part(f"carried_{side}"), p.mean - F.col(f"_carried_{side}_mean")
-        adds = p.m2 + F.coalesce(off * off * (past.n * (p.n / F.nullif(past.n + p.n, F.lit(0)))), F.lit(0.0))
-        slices = slices.withColumn("_adds", adds).withColumn(
-            f"_carried_{side}_m2", F.sum("_adds").over(before))
+        off = _mean(*[F.col(c) for c in added]) - mean
+        adds = F.col(f"_{side}_m2") + F.coalesce(off * off * (past * (n / F.nullif(past + n, F.lit(0)))), F.lit(0.0))
+        slices = slices.withColumns({f"_carried_{side}_n": past, f"_carried_{side}_mean": mean, "_adds": adds})
+        slices = slices.withColumn(f"_carried_{side}_m2", F.sum("_adds").over(before))
     names = [f"_carried_{side}_{f}" for side in _SIDES for f in _FIGURES]
     return slices.select(*place, *names)
 
@@ -139,19 +132,22 @@ def _add_span(rows: DataFrame, keys: Sequence[str], span: int, least: int, rows_
     if cut:
         place, parts = [*group, *SLICES], parts + [_part(f"carried_{side}") for side in _SIDES]
         points = add_slices(points, group, _positions(points, ["_place"]), rows_per_slice, known_long=True)
-    whole = Window.partitionBy(*place)
+    whole, found = Window.partitionBy(*place), points
     if cut:
-        points = points.unionByName(_carried(points, group), allowMissingColumns=True)
-        names = [f"_carried_{side}_{f}" for side in _SIDES for f in _FIGURES]
-        points = points.withColumns({c: F.max(c).over(whole) for c in names})
-    running = {}
+        found = points.unionByName(_carried(points, group), allowMissingColumns=True)
     for side, order in _SIDES.items():
-        upto = whole.orderBy(order("_place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        v, centre = F.col(f"_{side}_value"), F.col(f"_{side}_centre")
-        n = F.count(v).over(upto)
-        mean = centre + F.sum(v - centre).over(upto) / F.nullif(n, F.lit(0))
-        running |= _named(side, _Part(n, mean, F.var_pop(v).over(upto) * n, F.min(v).over(upto), F.max(v).over(upto)))
-    found = _merged(_centred(points, place).withColumns(running).where("_own"), parts, least)
+        # One order for each side: a slice is sorted and walked twice in all.
+        along = whole.orderBy(order("_place"))
+        upto = along.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        names = [f"_carried_{side}_{f}" for f in _FIGURES] if cut else []
+        found = _with_value(found, side).withColumns({c: F.max(c).over(every) for c in names} | {
+            f"_{side}_n": F.count("_value").over(upto), "_coarse": F.sum("_coarse").over(upto),
+            "_rest": F.sum("_rest").over(upto), "_var": F.var_pop("_value").over(upto),
+        })
+        n = F.col(f"_{side}_n")
+        found = found.withColumns({f"_{side}_mean": _mean(n, F.col("_coarse"), F.col("_rest")), f"_{side}_m2": F.col("_var") * n})
+    found = _merged(found.where("_own"), parts, least)
     return found.select(*[F.col(f"`{c}`") for c in rows.columns], "_mean", "_std")
 
 

@@ -160,6 +160,36 @@ def test_time_frames_carry_one_row_a_slice(spark):
             assert found[i]["rolling_std_1000s"] == pytest.approx(statistics.stdev(inside))
 
 
+def test_time_frames_of_short_blocks(spark):
+    """Blocks a little longer than a slice are cut into a few slices, not into one for every row, and
+    what slices carry is added up before it is shuffled."""
+    points = [("a", i, float(i % 7)) for i in range(2400)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = timeframes.add_time_rolling(series(spark, points), (40,), rows_per_slice=30)
+        found = {r["n"]: r for r in got.collect()}
+        assert 2 * len(points) < shuffled_rows(got) < 5 * len(points)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for i in range(1, 2400, 50):
+        inside = [float(j % 7) for j in range(max(0, i - 40), i + 1)]
+        assert found[i]["rolling_mean_40s"] == pytest.approx(statistics.mean(inside))
+        assert found[i]["rolling_std_40s"] == pytest.approx(statistics.stdev(inside))
+
+
+@pytest.mark.parametrize("rows", CUTS)
+def test_time_frames_of_endless_and_huge_values(spark, rows):
+    """Frames of one endless value repeated have no deviation; means of one huge or tiny value are exact."""
+    values = [float("inf")] * 30 + [3e200] * 30 + [1e-300] * 30 + [0.1] * 30
+    points = [("a", i, v) for i, v in enumerate(values)]
+    found = {r["n"]: r for r in timeframes.add_time_rolling(series(spark, points), (9,), rows_per_slice=rows).collect()}
+    for i in range(9, 120):
+        inside = values[i - 9:i + 1]
+        mean, std = found[i]["rolling_mean_9s"], found[i]["rolling_std_9s"]
+        if len(set(inside)) == 1:
+            assert mean == inside[0] and (std != std if mean == float("inf") else std == 0.0)
+
+
 @pytest.mark.parametrize("rows", CUTS)
 def test_time_frames_of_hard_values(spark, rows):
     """Large numbers close together, level shifts, level lines and values that are not finite."""

@@ -121,6 +121,16 @@ def test_sliced_plan_matches_sql(spark, db, build, rows):
     assert equal, message
 
 
+def test_first_cut_makes_few_parts_of_short_keys(spark):
+    """Two slices' worth of rows become a few slices, not one for every row; bursts are cut on."""
+    rows = [(f"k{k}", 1000 * i) for k in range(50) for i in range(64)] + [("burst", i % 50 + 10 ** 9 * (i == 0)) for i in range(64)]
+    sliced = add_slices(spark.createDataFrame(rows, "kpi_id string, n bigint"), ["kpi_id"], _positions(
+        spark.createDataFrame(rows, "kpi_id string, n bigint"), ["n"]), 30)
+    found = sliced.groupBy("kpi_id", *SLICES).agg(F.count("*").alias("rows")).collect()
+    assert max(r["rows"] for r in found) <= 30 and sum(r["rows"] for r in found) == len(rows)
+    assert sum(r["kpi_id"] != "burst" for r in found) <= 50 * 6
+
+
 def bursty_rows():
     """One key with a third of its rows in one minute, equal times and an outlier far away."""
     rng = random.Random(7)
