@@ -58,7 +58,8 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate(([0], np.flatnonzero(_differs(entries, ("run", *KEY))) + 1))
         sizes = np.add.reduceat(entries.column("group_size").to_numpy(), first)
         merged = entries.take(pa.array(first))
-        merged = merged.set_column(merged.schema.get_field_index("group_size"), "group_size", pa.array(sizes))
+        at = merged.schema.get_field_index("group_size")
+        merged = merged.set_column(at, merged.schema.field(at), pa.array(sizes))  # its field may allow no NULLs
         held = merged.slice(len(first) - 1)
         if len(first) > 1:
             yield merged.slice(0, len(first) - 1)

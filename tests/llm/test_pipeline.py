@@ -83,6 +83,15 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def test_exact_stage_of_partitions_of_several_batches(spark):
+    """Partitions of 12,500 rows come to Python as more than one batch each."""
+    docs = spark.range(0, 25_000, 1, 2).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 8000).cast("string")).alias("text"),
+        F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    got = stages()["exact_dedup"](spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(i, f"text {i}") for i in range(8000)]
+
+
 def odd_rows():
     seed = " ".join(f"q{i}" for i in range(12))
     return [
