@@ -123,6 +123,16 @@ def test_sorted_runs_merge_as_plain_groups_do(spark, keep):
         assert {(r["text_sha256"], r["text_chars"]): (r["keep_id"], r["group_size"]) for r in merged} == want
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_duplicates_of_partitions_of_several_batches(spark, keep):
+    """Partitions of 12,500 rows come to Python as more than one batch each."""
+    docs = spark.range(0, 25_000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 8000).cast("string")).alias("text"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs, keep=keep).collect()}
+    copies = {i: range(i, 25_000, 8000) for i in range(8000)}
+    best = {i: v[0] if keep == "smallest" else v[-1] for i, v in copies.items()}
+    assert got == {d: (best[i], len(v), d == best[i]) for i, v in copies.items() for d in v}
+
+
 def test_merging_carries_open_entries_over_batches_and_refuses_disorder():
     def batch(*entries):
         columns = list(zip(*entries))
