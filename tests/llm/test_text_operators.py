@@ -261,6 +261,14 @@ def test_repeats_match_brute_force(spark, texts):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_of_partitions_of_several_batches(spark):
+    """Partitions of 12,500 rows come to Python as more than one batch each; of every text all copies but the first go."""
+    text = F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), (F.col("id") % 8000).cast("string")) for j in range(25)])
+    docs = spark.range(0, 25_000, 1, 2).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(docs, texts=False).collect()}
+    assert got == {d: (25, 0 if d < 8000 else 25) for d in range(25_000)}
+
+
 def test_repeats_of_odd_rows(odd, none):
     rows = substring.remove_repeats(odd).collect()
     assert len(rows) == len(ODD)
